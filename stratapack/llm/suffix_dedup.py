@@ -140,14 +140,17 @@ def refine(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     (k, n, pos, done, more): done if an alike member exists elsewhere, more if the item goes on to the next level.
     """
     buckets = items.groupBy("c").agg(F.count("*").alias("t"), F.min("u").alias("a"), F.max("u").alias("z")).where("t > 1").select("c", (F.col("a") != F.col("z")).alias("mixed"))
+    # Both sides of a join are plain tables, so that it is split where a bucket is hot.
+    buckets = staged(buckets, "buckets")
     met = staged(items.join(buckets, "c"), "met")
     mixed = met.where("mixed")
     own = F.xxhash64("k", "n", "pos")
-    alike = mixed.groupBy("c", "u").agg(F.count("*").alias("t"), F.min(own).alias("rep"))
+    alike = staged(mixed.groupBy("c", "u").agg(F.count("*").alias("t"), F.min(own).alias("rep")), "alike")
     told = mixed.join(alike, ["c", "u"]).select("k", "n", "pos", (F.col("t") > 1).alias("done"), ((F.col("t") == 1) | (F.col("rep") == own)).alias("more"))
     told = staged(told.where("done or more"), "told")
     sure = staged(met.where("not mixed").select("k", "n", "pos").unionByName(told.where("done").select("k", "n", "pos")), "sure")
-    unstage(met)
+    for x in (buckets, met, alike):
+        unstage(x)
     return sure, told.where("more").select("k", "n", "pos")
 
 
