@@ -1,19 +1,21 @@
-"""Scores of texts under a weighted backoff automaton.
+"""Scores of texts under a weighted backoff automaton of word n-grams.
 
-Words are arcs of the start state. Its failure arc, taken with the mass that absolute discounting frees, leads into a
-byte automaton that spells the word: its states are byte n-gram contexts, each with a failure arc to the context
-shortened by its first byte. A traversal runs over a text once, carries its state and adds up log-probabilities.
+States are histories of up to two words, arcs the n-grams that extend them. A state's failure arc leads to the history
+without its first word and weighs what smoothing leaves for the words that the state has no arc for. From the empty
+history there is an arc for every word that was learned and one for all others. A text is traversed once from left
+to right: each token takes its arc, after as many failure arcs as it needs, and the weights add up.
 
-The byte automaton has at most 1 / LEAST arcs per order, so it is sent to every task. Word counts have no such bound
-and are never gathered in one place: texts are dealt into blocks by their hash, each block asks for the counts of its
-own distinct words, asks are summed by word, and each block gets its answers beside its texts.
+Longer n-grams are learned where they are at least LEAST of all tokens, so the automaton has at most 1 / LEAST arcs per
+order and is sent to every task. Single words have no such bound and are never gathered in one place: texts are dealt
+into blocks by their hash, each block asks for the counts of its own distinct words, asks are summed by word, and
+each block gets its answers beside its texts.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +29,12 @@ from .suffix_dedup import release
 
 #: Bytes of text in a block, and blocks at least.
 BLOCK, BLOCKS = 8 << 20, 64
-#: Bytes of the longest spelled n-gram; its least share of all, which bounds the arcs; the smoothing's pseudo-count.
-ORDER, LEAST, MASS = 5, 2e-6, 4.0
-#: What a seen word's count is discounted by.
-DISCOUNT = 0.75
-#: Distinct words of a block that a worker spells at a time.
-SPELL = 1 << 16
-END = xxhash.xxh64_intdigest(b" ") - (1 << 64 if xxhash.xxh64_intdigest(b" ") >> 63 else 0)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Least share of an n-gram of two or three words, least count, and what a count is discounted by.
+LEAST, TWICE, DISCOUNT = 2e-6, 2, 0.75
+#: Distinct n-grams that a task gathers before it hands them on.
+GATHER = 1 << 22
+#: Bits of a frequent word's number in an n-gram's code.
+BITS = 20
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -45,210 +42,239 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64).astype(np.int64)
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every symbol of the words and their ends: the last ORDER bytes as a number, how many of them count, the word.
+#: The end token; a word has no space.
+END = hashes([b" "])[0]
 
-    A word is preceded by a space, and its end is one; contexts do not reach beyond the space before."""
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    n = len(data) - 1
-    key = np.zeros(n, np.int64)
-    for j in range(ORDER):
-        src = data[1 - j if j < 1 else 0 : n + 1 - j].astype(np.int64)
-        key[n - len(src) :] |= src << (8 * j)
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    own = np.repeat(np.arange(len(words)), sizes)
-    since = np.arange(n) - (np.cumsum(sizes) - sizes)[own] + 1
-    return key, np.minimum(since + 1, ORDER), own
 
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-def _low(key: np.ndarray, order: np.ndarray | int) -> np.ndarray:
-    return key & ((np.int64(1) << (8 * np.asarray(order, np.int64))) - 1)
+
+def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the distinct tokens (END is the last), all texts' tokens as their numbers, and each text's length."""
+    ids: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        words = tokens(text)
+        for w in set(words).difference(ids):
+            ids[w] = len(ids)
+        rows.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+    last = np.array([len(ids)], np.int32)
+    flat = np.concatenate([x for r in rows for x in (r, last)]) if rows else np.empty(0, np.int32)
+    return np.append(hashes(list(ids)), END), flat, np.array([len(r) + 1 for r in rows], np.int64)
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def histories(frequent: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the two- and three-token n-grams that end at each token of texts, -1 where a token is not frequent or
+    belongs to the text before. frequent: the tokens' numbers among frequent words, or -1."""
+    n = len(frequent)
+    since = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    two, three = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    ok = (since[1:] >= 1) & (frequent[1:] >= 0) & (frequent[:-1] >= 0)
+    two[1:][ok] = (frequent[:-1][ok] << BITS) | frequent[1:][ok]
+    ok = (since[2:] >= 2) & (two[1:-1] >= 0) & (two[2:] >= 0)
+    three[2:][ok] = (two[1:-1][ok] << BITS) | frequent[2:][ok]
+    return two, three
 
 
 @dataclass
-class ByteAutomaton:
-    """Arcs (n-grams) and states (their contexts) by order, each sorted by number, with log10 weights."""
+class Automaton:
+    """words: keys of frequent words, sorted. Per order 2 and 3: codes of arcs and their log10 weights, codes of states
+    that have arcs and the log10 weights of their failure arcs."""
 
-    arcs: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
-    states: list[np.ndarray] = field(default_factory=list)
-    failures: list[np.ndarray] = field(default_factory=list)
+    words: np.ndarray
+    arcs: list[np.ndarray]
+    weights: list[np.ndarray]
+    states: list[np.ndarray]
+    failures: list[np.ndarray]
 
     @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray) -> ByteAutomaton:
-        """From counts of longest n-grams, numbered by their bytes, with the order from bit 48."""
-        out, order, body = cls(), keys >> 48, keys & ((1 << 48) - 1)
-        below = None
-        for m in range(1, ORDER + 1):
-            use = order >= m
-            arcs, at = np.unique(_low(body[use], m), return_inverse=True)
-            n = np.bincount(at, counts[use], len(arcs)) if len(arcs) else np.empty(0)
-            states, at = np.unique(arcs >> 8, return_inverse=True)
-            total = np.bincount(at, n, len(states)) if len(states) else np.empty(0)
-            low = np.full(len(arcs), 1 / 256) if below is None else below[1][np.searchsorted(below[0], _low(arcs, m - 1))]
-            p = (n + MASS * low) / (total[at] + MASS) if len(arcs) else np.empty(0)
-            out.arcs.append(arcs)
+    def of(cls, words: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], total: int) -> Automaton:
+        """From the counts of frequent words, of n-grams of two and of three tokens, and of all tokens."""
+        out = cls(words, [], [], [], [])
+        mask = (1 << BITS) - 1
+        one = np.maximum(counts - DISCOUNT, 0) / max(1, total)
+        below, held = None, (np.arange(len(words)), counts)
+        for codes, n in grams:
+            states, own = np.unique(codes >> BITS, return_inverse=True)
+            history = held[1][_place(held[0], states)] if len(states) else np.empty(0)
+            p = (n - DISCOUNT) / history[own] if len(codes) else np.empty(0)
+            # What the shorter history gives to the same words is what the failure arc must not give again.
+            low = one[codes & mask] if below is None else np.array([below(int(c)) for c in codes])
+            kept, given = np.bincount(own, p, len(states)), np.bincount(own, low, len(states))
+            out.arcs.append(codes)
             out.weights.append(np.log10(p))
             out.states.append(states)
-            out.failures.append(np.log10(MASS / (total + MASS)))
-            below = arcs, p
-        return out
+            out.failures.append(np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - given, 1e-9)))
+            two, held = out.arcs[0], (codes, n)
 
-    def spell(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the chance of each word, its end included, all words' symbols taking their arcs at once."""
-        out = np.zeros(len(words))
-        for a in range(0, len(words), SPELL):
-            part = words[a : a + SPELL]
-            key, order, own = spelled(part)
-            got, left = np.zeros(len(key)), np.arange(len(key))
-            for m in range(ORDER, 0, -1):
-                here = left[order[left] >= m]
-                for_k = _low(key[here], m)
-                arcs = self.arcs[m - 1]
-                at = np.minimum(np.searchsorted(arcs, for_k), max(0, len(arcs) - 1))
-                found = arcs[at] == for_k if len(arcs) else np.zeros(len(here), bool)
-                got[here[found]] += self.weights[m - 1][at[found]]
-                lost = here[~found]
-                if len(lost):
-                    states, ctx = self.states[m - 1], for_k[~found] >> 8
-                    if len(states):
-                        at = np.minimum(np.searchsorted(states, ctx), len(states) - 1)
-                        got[lost] += np.where(states[at] == ctx, self.failures[m - 1][at], 0)
-                done = np.zeros(len(key), bool)
-                done[here[found]] = True
-                left = left[~done[left]]
-            got[left] += math.log10(1 / 256)
-            out[a : a + len(part)] = np.bincount(own, got, len(part))
-        return out
+            def below(code: int, two=two) -> float:
+                code &= (1 << 2 * BITS) - 1
+                at = int(np.searchsorted(two, code))
+                if at < len(two) and two[at] == code:
+                    return float(10 ** out.weights[0][at])
+                at = int(_place(out.states[0], np.array([code >> BITS]))[0])
+                return float(one[code & mask]) * (10 ** out.failures[0][at] if at >= 0 else 1.0)
 
+        return out
 
-def _vocabulary(texts: list[str | None], train: list[bool]) -> tuple[dict[bytes, int], list[np.ndarray], np.ndarray]:
-    """Word numbers, each text's words as numbers, and the words' counts in training texts."""
-    ids: dict[bytes, int] = {}
-    rows = []
-    for text in texts:
-        words = tokens(text)
-        for w in set(words).difference(ids):
-            ids[w] = len(ids)
-        rows.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-    learned = [r for r, t in zip(rows, train, strict=True) if t]
-    return ids, rows, np.bincount(np.concatenate([np.empty(0, np.int32), *learned]).astype(np.int64), minlength=len(ids))
+    def traverse(self, frequent: np.ndarray, sizes: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """log10 of each token's chance after those before it in its text; single: its chance from the empty history.
+
+        A state depends on the two tokens before alone, so all texts of a block advance at once."""
+        out, two, three = np.zeros(len(frequent)), *histories(frequent, sizes)
+        prev = np.full(len(frequent), -1, np.int64)
+        prev[1:] = two[:-1]
+        last = np.full(len(frequent), -1, np.int64)
+        last[1:] = frequent[:-1]
+        first = np.cumsum(sizes) - sizes
+        prev[first], last[first] = -1, -1
+        left = np.ones(len(frequent), bool)
+        for order, (codes, state) in ((1, (three, prev)), (0, (two, last))):
+            here = np.flatnonzero(left & (state >= 0))
+            at = _place(self.arcs[order], codes[here])
+            found = at >= 0
+            out[here[found]] += self.weights[order][at[found]]
+            left[here[found]] = False
+            lost = here[~found]
+            at = _place(self.states[order], state[lost])
+            out[lost[at >= 0]] += self.failures[order][at[at >= 0]]
+        out[left] += single[left]
+        return out
 
 
 def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (held_out, text, block), a block's texts in one task -> (key, block, n): words with their training counts,
-    and as block -1 spelled n-grams."""
-    blocks: dict[int, dict[bytes, int]] = {}
-    total: dict[int, list[np.ndarray]] = {}
+    """Texts (held_out, text, block), a block's texts in one task -> (key, block, n): its words, counted in training."""
+    blocks: dict[int, tuple[dict[bytes, int], list[np.ndarray]]] = {}
     ends: dict[int, int] = {}
     for b in batches:
         for out, text, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            ids = blocks.setdefault(block, {})
+            ids, rows = blocks.setdefault(block, ({}, []))
             words = tokens(text)
             for w in set(words).difference(ids):
                 ids[w] = len(ids)
             if not out:
                 ends[block] = ends.get(block, 0) + 1
-                total.setdefault(block, []).append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    for block, ids in blocks.items():
-        words = list(ids)
-        n = np.bincount(np.concatenate(total[block]), minlength=len(words)).astype(np.int64) if total.get(block) else np.zeros(len(words), np.int64)
-        keys = np.append(hashes(words), END)
-        yield _ask(keys, block, np.append(n, ends.get(block, 0)))
-        for a in range(0, len(words), SPELL):
-            seen = np.flatnonzero(n[a : a + SPELL])
-            if len(seen):
-                key, order, own = spelled([words[a + i] for i in seen])
-                g, at = np.unique(_low(key, order) | (order.astype(np.int64) << 48), return_inverse=True)
-                grams.append((g, np.bincount(at, n[a + seen][own])))
-    if grams:
-        g, at = np.unique(np.concatenate([x[0] for x in grams]), return_inverse=True)
-        yield _ask(g, -1, np.bincount(at, np.concatenate([x[1] for x in grams])).astype(np.int64))
-
-
-def _ask(keys: np.ndarray, block: int, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block, np.int32)), pa.array(n)], names=["key", "block", "n"])
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Asks of all blocks for some words -> their sums, where they differ from what the block has itself; as block -1
-    the number of words with a count, and as block -2 the sum of counts."""
-    got = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
-    if not got:
-        return
-    key, block, n = (np.concatenate([x[i] for x in got]) for i in range(3))
-    words, at = np.unique(key, return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, at, n)
-    other = total[at] != n
-    yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(block[other]), pa.array(total[at][other])], names=["key", "block", "n"])
-    yield pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int64()), pa.array([-1, -2], pa.int32()), pa.array([int((total > 0).sum()), int(total.sum())], pa.int64())], names=["key", "block", "n"])
+                rows.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+    for block, (ids, rows) in blocks.items():
+        n = np.bincount(np.concatenate(rows), minlength=len(ids)) if rows else np.zeros(len(ids), np.int64)
+        keys = np.append(hashes(list(ids)), END)
+        yield _rows(keys, np.full(len(keys), block, np.int32), np.append(n, ends.get(block, 0)).astype(np.int64))
+
+
+def _rows(keys: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks.astype(np.int32)), pa.array(n)], names=["key", "block", "n"])
+
+
+def _answers(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Asks of all blocks for some words -> sums, to blocks that have not counted all themselves; to block -1 the
+        number of words with a count, and to block -2 the frequent words."""
+        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, block, n = (np.concatenate([x[i] for x in got]) for i in range(3))
+        words, at = np.unique(key, return_inverse=True)
+        total = np.zeros(len(words), np.int64)
+        np.add.at(total, at, n)
+        other = total[at] != n
+        yield _rows(key[other], block[other], total[at][other])
+        yield _rows(np.zeros(1, np.int64), np.array([-1]), np.array([int((total > 0).sum())]))
+        top = total >= least
+        yield _rows(words[top], np.full(int(top.sum()), -2), total[top])
+
+    return run
+
+
+def _grams(words):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> (m, code, n): n-grams of frequent words, counted within the task."""
+        held = {m: (np.empty(0, np.int64), np.empty(0, np.int64)) for m in (2, 3)}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for m, (codes, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), m, np.int32)), pa.array(codes), pa.array(n)], names=["m", "code", "n"])
+
+        for b in batches:
+            keys, flat, sizes = numbered(b.column(0).to_pylist())
+            for m, codes in zip((2, 3), histories(_place(words.value, keys)[flat], sizes), strict=True):
+                new, count = np.unique(codes[codes >= 0], return_counts=True)
+                both, at = np.unique(np.concatenate([held[m][0], new]), return_inverse=True)
+                held[m] = both, np.bincount(at, np.concatenate([held[m][1], count]), len(both)).astype(np.int64)
+            if sum(len(x[0]) for x in held.values()) > GATHER:
+                yield from out()
+                held = {m: (x[0][:0], x[1][:0]) for m, x in held.items()}
+        yield from out()
+
+    return run
 
 
 def _score(model, n_all: int, n_words: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        machine: ByteAutomaton = model.value
-        held = texts.column("held_out").to_pylist()
-        ids, rows, counts = _vocabulary(texts.column("text").to_pylist(), [not h for h in held])
-        words = list(ids)
-        keys = np.append(hashes(words), END)
-        c = np.append(counts, len(held) - sum(held))
-        told = answers.column("key").to_numpy()
+        machine: Automaton = model.value
+        out = np.array(texts.column("held_out").to_pylist(), bool)
+        keys, flat, sizes = numbered(texts.column("text").to_pylist())
+        learned = flat[np.repeat(~out, sizes)]
+        c = np.bincount(learned, minlength=len(keys))
+        told, sums = answers.column("key").to_numpy(), answers.column("n").to_numpy()
         by = np.argsort(told)
-        told, sums = told[by], answers.column("n").to_numpy()[by]
-        if len(told):
-            at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
-            c = np.where(told[at] == keys, sums[at], c)
+        at = _place(told[by], keys)
+        c = np.where(at >= 0, sums[by][at] if len(by) else 0, c)
         base = np.log10((c + 1) / (n_all + n_words + 1))
-        spell = machine.spell(words)
-        if n_all:
-            free = DISCOUNT * (n_words - 1) / n_all
-            p = np.maximum(c[:-1] - DISCOUNT, 0) / n_all + free * 10**spell
-            own = np.where(p > 1e-300, np.log10(np.maximum(p, 1e-300)), math.log10(free) + spell if free else -300.0)
-            own = np.append(own, math.log10(c[-1] / n_all) if c[-1] else -300.0)
-        else:
-            own = np.append(math.log10(0.5) + spell, math.log10(0.5))
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        add = lambda w: np.bincount(doc, w[flat], len(rows)) + w[-1]
-        cols = [texts.column("doc_id"), texts.column("held_out"), sizes + 1, add((c > 0).astype(float)).astype(np.int64), np.full(len(rows), n_all, np.int64), add(base), add(own)]
-        return pa.table(dict(zip(names, [x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in cols], strict=True)))
+        # From the empty history: discounted counts, and one arc for all words that were not learned.
+        rest = DISCOUNT * n_words / n_all if n_all else 1.0
+        single = np.log10(np.where(c > 0, np.maximum(c - DISCOUNT, 0) / max(1, n_all), rest))
+        chance = machine.traverse(_place(machine.words, keys)[flat], sizes, single[flat])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        add = lambda w: np.bincount(doc, w, len(sizes))
+        cols = [pa.array(sizes), pa.array(add((c > 0)[flat]).astype(np.int64)), pa.array(np.full(len(sizes), n_all, np.int64)), pa.array(add(base[flat])), pa.array(add(chance))]
+        return pa.table(dict(zip(names, [texts.column("doc_id"), texts.column("held_out"), *cols], strict=True)))
 
     return run
 
 
 def score(docs: DataFrame, out: str = "held_out") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text, and
-    the boolean column named by out: not learned from).
+    the boolean column named by out: not learned from; null is learned from).
 
     Null and white-space texts have the end token only. Repeated rows count as often as they stand. Nothing to learn
-    from: base_score 0, and score is the chance of the spelling by uniform bytes. No rows: no rows.
+    from: all scores are 0. No rows: no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", F.coalesce(F.col(out), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(BLOCKS, -(-size // BLOCK))
-    # Copies of a text part by their id, so that a block's size follows from the hash of many.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("text", "doc_id"), F.lit(blocks)).cast("int"))
+    # Copies of a text part by their id, so that blocks are alike in size.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("text", "doc_id"), F.lit(blocks)).cast("int"))
     parts = max(shuffle_partitions(spark), blocks // 4)
-    asks = staged(rows.select("held_out", "text", "block").repartition(parts, "block").mapInArrow(_asks, "key long, block int, n long"), "asks")
+    asks = staged(dealt.select("held_out", "text", "block").repartition(parts, "block").mapInArrow(_asks, "key long, block int, n long"), "asks")
     release(spark)
-    grams = asks.where("block = -1").groupBy("key").agg(F.sum("n").alias("n"))
-    total = asks.where("block = -1").agg(F.sum("n")).first()[0] or 0
-    top = grams.where(F.col("n") >= total * LEAST).toArrow().sort_by("key")
-    model = spark.sparkContext.broadcast(ByteAutomaton.of(top.column("key").to_numpy(), top.column("n").to_numpy().astype(float)))
-    answers = staged(asks.where("block >= 0").repartition(max(parts, asks.count() >> 20), "key").mapInArrow(_answers, "key long, block int, n long"), "answers")
+    sums = asks.agg(F.sum("n"), F.count("*")).first()
+    n_all, least = sums[0] or 0, max(TWICE, math.ceil((sums[0] or 0) * LEAST))
+    answers = staged(asks.repartition(max(parts, sums[1] >> 20), "key").mapInArrow(_answers(least), "key long, block int, n long"), "answers")
     unstage(asks)
     release(spark)
-    known = {r["block"]: r["n"] for r in answers.where("block < 0").groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    n_words = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
+    top = answers.where("block = -2").toArrow().sort_by("key")
+    words, counts = top.column("key").to_numpy(), top.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+    grams = rows.where("not held_out").select("text").mapInArrow(_grams(shared), "m int, code long, n long").groupBy("m", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by("code")
+    m, code, n = (grams.column(x).to_numpy() for x in ("m", "code", "n"))
+    model = spark.sparkContext.broadcast(Automaton.of(words, counts, [(code[m == k], n[m == k]) for k in (2, 3)], n_all))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    run = _score(model, known.get(-2, 0), known.get(-1, 0))
-    return rows.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    met = dealt.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    return met.applyInArrow(_score(model, n_all, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

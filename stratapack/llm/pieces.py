@@ -5,53 +5,81 @@ of a path that reaches it. The N best segmentations are found backwards by A*: a
 its own score plus the forward score of the place it has come to, which is exact, so complete paths leave the queue
 in order.
 
-No piece has a space mark behind another character, so the lattice is a chain of small lattices, one per word with
-the marks before it. The forward pass of a word is kept, with its best and second-best score; words in which one of
-the text's N best segmentations can differ from the best are those of the N - 1 smallest losses, and the search runs
-over these alone.
+Two neighbouring characters that stand next to each other in no piece are parted by every segmentation, so there the
+lattice falls into smaller ones, mostly words and marks. The forward pass of each is kept with its best and its
+second-best score. The N best of a text can differ from the best only in the N - 1 lattices that lose least, and the
+search runs over these.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from heapq import heappop, heappush, nsmallest
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK = "▁"
-#: Words whose forward passes a worker keeps.
-KEEP = 200_000
-#: Longest stretch without a space mark that is one lattice; longer ones are still one, but are not kept.
-LONG = 64
-_WORDS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+MARK, LITERAL = "▁", "\uffff"
+#: Lattices that a worker keeps in each of two generations, and the longest that is kept.
+KEEP, LONG = 250_000, 32
 #: What a byte piece costs beside the rarest piece, in nats.
 BYTE = 2.0
+#: Characters below this have a place of their own in the table of neighbours; then the mark, then all others.
+NEAR = 0x2F0
+
+
+class Kept:
+    """A bounded store in two generations: what was not asked for during a whole one is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
 
 
-@dataclass
 class Vocabulary:
-    """Pieces with ids and log-weights, byte pieces by byte, all pieces by id."""
+    """Pieces with ids and log-weights; weights follow Zipf's law from the pieces' order: log(1 / ((rank + 10) H))."""
 
-    pieces: dict[str, tuple[int, float]]
-    bytes_: list[int]
-    text: list[str]
-    byte_score: float
-    longest: int
-    best: dict[str, tuple] = field(default_factory=dict)
+    def __init__(self, text: list[str], plain: list[int], byte_ids: list[int]):
+        """text: all pieces by id; plain: ids of ordinary pieces, the most frequent first; byte_ids: by byte."""
+        norm = math.log(sum(1 / (r + 10) for r in range(len(plain))))
+        self.pieces = {text[i]: (i, -math.log(r + 10) - norm) for r, i in enumerate(plain) if MARK not in text[i].lstrip(MARK)}
+        #: Pieces, and None for what only begins one.
+        self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.trie.update(self.pieces)
+        self.byte_ids, self.byte_score = byte_ids, -math.log(len(plain) + 10) - norm - BYTE
+        self.shown = [t.replace(MARK, " ") for t in text]
+        for b, i in enumerate(byte_ids):
+            self.shown[i] = chr(b) if b < 128 else chr(0xDC00 + b)
+        self.joined = np.zeros((NEAR + 2, NEAR + 2), bool)
+        self.joined[NEAR + 1, :] = self.joined[:, NEAR + 1] = True
+        for p in self.pieces:
+            at = self._near(p)
+            self.joined[at[:-1], at[1:]] = True
+        self.best, self.many = Kept(KEEP), Kept(KEEP // 8)
 
     @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        """Weights follow Zipf's law from the order of the pieces: log(1 / ((rank + 10) H)), whatever the model's type."""
+    def read(cls, path: str) -> tuple[list[str], list[int], list[int]]:
+        """A model file's pieces, in the form that makes a Vocabulary."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,139 +87,174 @@ class Vocabulary:
         text = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         plain.sort(key=lambda i: (-model.get_score(i), i))
-        norm = math.log(sum(1 / (r + 10) for r in range(len(plain))))
-        pieces = {text[i]: (i, -math.log(r + 10) - norm) for r, i in enumerate(plain) if MARK not in text[i].lstrip(MARK)}
         at = {int(text[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         if len(at) != 256:
             raise ValueError("the model has no byte pieces")
-        return cls(pieces, [at[b] for b in range(256)], text, -math.log(len(plain) + 10) - norm - BYTE, max(map(len, pieces), default=1))
-
-    def forward(self, word: str) -> tuple[list[float], list[float], list[list[tuple[int, tuple[int, ...], float]]]]:
-        """Best and second-best score at each place, and the arcs that end there as (start, ids, score).
-
-        A character that no piece holds alone is an arc of its byte pieces; a literal mark comes as U+FFFF.
-        """
-        n, pieces = len(word), self.pieces
-        first, second, arcs = [0.0], [-math.inf], [[]]
-        for end in range(1, n + 1):
-            here = []
-            for start in range(max(0, end - self.longest), end):
-                hit = pieces.get(word[start:end])
-                if hit:
-                    here.append((start, (hit[0],), hit[1]))
-            if word[end - 1] not in pieces:
-                raw = (MARK if word[end - 1] == "￿" else word[end - 1]).encode("utf-8", "surrogatepass")
-                here.append((end - 1, tuple(self.bytes_[x] for x in raw), self.byte_score * len(raw)))
-            a = b = -math.inf
-            for start, _, w in here:
-                x = first[start] + w
-                if x > a:
-                    a, b = x, max(a, second[start] + w)
-                else:
-                    b = max(b, x)
-            first.append(a)
-            second.append(b)
-            arcs.append(here)
-        return first, second, arcs
+        return text, plain, [at[b] for b in range(256)]
+
+    @staticmethod
+    def _near(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.where(codes < NEAR, codes, np.where(codes == ord(MARK), NEAR, NEAR + 1))
+
+    def split(self, text: str) -> list[str]:
+        """A text's separate lattices, none for an empty text. A literal mark is U+FFFF, so that decoding gives it back."""
+        if not text:
+            return []
+        text = MARK + text.replace(MARK, LITERAL).replace(" ", MARK)
+        at = self._near(text)
+        cuts = [0, *(np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1).tolist(), len(text)]
+        return [text[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+
+    def _spelled(self, char: str) -> tuple[tuple[int, ...], float]:
+        raw = (MARK if char == LITERAL else char).encode("utf-8", "surrogatepass")
+        return tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)
+
+    def arcs(self, word: str, start: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """(end, ids, score) of the arcs from a place; a character that is no piece has one of its byte pieces."""
+        out, trie, end = [], self.trie, start + 1
+        if trie.get(word[start]) is None:
+            out.append((end, *self._spelled(word[start])))
+        while end <= len(word):
+            hit = trie.get(word[start:end], 0)
+            if hit == 0:
+                break
+            if hit is not None:
+                out.append((end, (hit[0],), hit[1]))
+            end += 1
+        return out
+
+    def forward(self, word: str) -> tuple[list[float], list[float], list]:
+        """Best and second-best score at each place, and the arc of the best. Ties go to the arc that starts first."""
+        n, trie = len(word), self.trie
+        first, second, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
+        first[0] = 0.0
+        for start in range(n):
+            f, s = first[start], second[start]
+            end = start + 1
+            hit = trie.get(word[start:end], 0)
+            if not hit:
+                ids, w = self._spelled(word[start])
+                x = f + w
+                if x > first[end]:
+                    second[end] = max(first[end], s + w)
+                    first[end], back[end] = x, (start, ids)
+                elif x > second[end]:
+                    second[end] = x
+            while hit != 0:
+                if hit is not None:
+                    w = hit[1]
+                    x = f + w
+                    if x > first[end]:
+                        y = s + w
+                        second[end] = first[end] if first[end] > y else y
+                        first[end], back[end] = x, (start, (hit[0],))
+                    elif x > second[end]:
+                        second[end] = x
+                end += 1
+                if end > n:
+                    break
+                hit = trie.get(word[start:end], 0)
+        return first, second, back
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a word by backward A*, ties by the order of arcs."""
-        first, _, arcs = self.forward(word)
+        """The n best segmentations of a lattice by backward A*."""
+        first = self.forward(word)[0]
+        into: list[list] = [[] for _ in range(len(word) + 1)]
+        for start in range(len(word)):
+            for end, ids, w in self.arcs(word, start):
+                into[end].append((start, ids, w))
         queue, out, turn = [(-first[-1], 0, len(word), 0.0, None)], [], 0
         while queue and len(out) < n:
             _, _, at, done, tail = heappop(queue)
             if at == 0:
-                ids: list[int] = []
+                ids = []
                 while tail:
                     ids.extend(tail[0])
                     tail = tail[1]
                 out.append((done, tuple(ids)))
                 continue
-            for start, piece, w in arcs[at]:
+            for start, piece, w in into[at]:
                 turn += 1
                 heappush(queue, (-(done + w + first[start]), turn, start, done + w, (piece, tail)))
         return out
 
-    def word(self, word: str) -> tuple[tuple[int, ...], float, float]:
-        """Ids and score of the best segmentation, and what the second-best loses against it."""
-        got = self.best.get(word)
-        if got is None:
-            first, second, arcs = self.forward(word)
-            ids, at = [], len(word)
-            while at:
-                start, piece, _ = max(arcs[at], key=lambda x: first[x[0]] + x[2])
-                ids.append(piece)
-                at = start
-            got = tuple(x for p in reversed(ids) for x in p), first[-1], first[-1] - second[-1]
-            if len(word) <= LONG:
-                if len(self.best) >= KEEP:
-                    self.best.clear()
-                self.best[word] = got
+    def word(self, word: str) -> tuple[bytes, float, float]:
+        """Ids (4 bytes each) and score of a lattice's best segmentation, and what the second-best loses against it."""
+        first, second, back = self.forward(word)
+        ids, at = [], len(word)
+        while at:
+            at, piece = back[at]
+            ids.append(piece)
+        got = np.array([x for p in reversed(ids) for x in p], "<i4").tobytes(), first[-1], first[-1] - second[-1]
+        if len(word) <= LONG:
+            self.best.put(word, got)
         return got
 
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text, best first; one empty segmentation of an empty text."""
-        words = split(text)
-        got = [self.word(w) for w in words]
-        best, score = [x for g in got for x in g[0]], math.fsum(g[1] for g in got)
-        out = [(score, best)]
+    def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text as scores and ids of 4 bytes each; one empty one of an empty text."""
+        words = self.split(text)
+        get, make = self.best.get, self.word
+        got = [get(w) or make(w) for w in words]
+        score = math.fsum([g[1] for g in got])
+        out = [(score, b"".join([g[0] for g in got]))]
         if n == 1 or not words:
             return out
-        near = nsmallest(n - 1, range(len(words)), key=lambda i: (got[i][2], i))
+        loss = np.array([g[2] for g in got])
+        near = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 else self._least(loss, n - 1)
         choices = {}
-        for i in sorted(x for x in near if got[x][2] < math.inf):
-            found = self.nbest(words[i], n)
-            choices[i] = [(got[i][1] - s, ids) for s, ids in found]
-        places = sorted(choices)
-        queue, seen = [(0.0, (0,) * len(places))], {(0,) * len(places)}
-        while queue and len(out) <= n:
-            loss, pick = heappop(queue)
+        for i in sorted(int(x) for x in near if loss[x] < math.inf):
+            found = self.many.get((words[i], n))
+            if found is None:
+                found = [(s, np.array(ids, "<i4").tobytes()) for s, ids in self.nbest(words[i], n)]
+                if len(words[i]) <= LONG:
+                    self.many.put((words[i], n), found)
+            choices[i] = [(max(0.0, got[i][1] - s), ids) for s, ids in found]
+        places = list(choices)
+        none = (0,) * len(places)
+        queue, seen = [(0.0, none)], {none}
+        while queue and len(out) < n:
+            lost, pick = heappop(queue)
             if any(pick):
-                swap = {i: choices[i][k][1] for i, k in zip(places, pick, strict=True) if k}
-                out.append((score - loss, [x for i, g in enumerate(got) for x in swap.get(i, g[0])]))
+                parts = [g[0] for g in got]
+                for i, k in zip(places, pick, strict=True):
+                    if k:
+                        parts[i] = choices[i][k][1]
+                out.append((score - lost, b"".join(parts)))
             for j, i in enumerate(places):
                 if pick[j] + 1 < len(choices[i]):
                     new = (*pick[:j], pick[j] + 1, *pick[j + 1 :])
                     if new not in seen:
                         seen.add(new)
                         heappush(queue, (math.fsum(choices[x][k][0] for x, k in zip(places, new, strict=True)), new))
-        return out[:n]
+        return out
+
+    @staticmethod
+    def _least(loss: np.ndarray, n: int) -> np.ndarray:
+        """Places of the n least, the first of equals."""
+        some = np.flatnonzero(loss <= np.partition(loss, n - 1)[n - 1])
+        return some[np.argsort(loss[some], kind="stable")][:n]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of pieces: marks as spaces, runs of byte pieces as UTF-8, without the leading mark."""
-        out, raw, byte_of = [], bytearray(), self._byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(self.text[i].replace(MARK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
-
-    @property
-    def _byte_of(self) -> dict[int, int]:
-        got = self.__dict__.get("_by")
-        if got is None:
-            got = self.__dict__["_by"] = {i: b for b, i in enumerate(self.bytes_)}
-        return got
+        """The text of pieces: marks as spaces, byte pieces as UTF-8, without the leading mark."""
+        text = "".join(map(self.shown.__getitem__, ids))[1:]
+        return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogatepass")
+
+
+_LIVE: dict[int, Vocabulary] = {}
 
 
-def split(text: str) -> list[str]:
-    """Lattices of a text: words with the marks before them; empty for an empty text. A literal mark is kept apart as
-    U+FFFF, so that decoding gives it back."""
-    if not text:
-        return []
-    return _WORDS.findall(MARK + text.replace(MARK, "￿").replace(" ", MARK))
+def _of(model) -> Vocabulary:
+    """A worker's vocabulary, kept from task to task."""
+    if model.value[0] not in _LIVE:
+        _LIVE.clear()
+        _LIVE[model.value[0]] = Vocabulary(*model.value[1])
+    return _LIVE[model.value[0]]
 
 
 def _encode(model, n: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(**model.value)
+        v = _of(model)
         for b in batches:
             c = b.num_columns
             cols: dict[str, list] = {k: [] for k in ("n_pieces", "score", "nbest_scores", "ids_sha256", "nbest_sha256", "decoded_ok")}
@@ -199,15 +262,15 @@ def _encode(model, n: int, keep_ids: bool):
             for text in b.column(c - 1).to_pylist():
                 text = text or ""
                 found = v.encode(text, n)
-                ids = found[0][1]
+                raw = [x for _, x in found]
+                ids = np.frombuffer(raw[0], "<i4").tolist()
                 cols["n_pieces"].append(len(ids))
                 cols["score"].append(found[0][0])
                 cols["nbest_scores"].append([s for s, _ in found])
-                raw = [np.array(x, "<i4").tobytes() for _, x in found]
                 cols["ids_sha256"].append(hashlib.sha256(raw[0]).hexdigest())
                 cols["nbest_sha256"].append(hashlib.sha256(b"|".join(raw)).hexdigest())
                 cols["decoded_ok"].append(v.decode(ids) == text)
-                all_ids.append([x for _, x in found] if keep_ids else None)
+                all_ids.append([np.frombuffer(x, "<i4") for x in raw] if keep_ids else None)
             kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_()]
             out = [pa.array(x, t) for x, t in zip(cols.values(), kinds, strict=True)]
             names = [*b.schema.names[: c - 1], *cols]
@@ -228,8 +291,8 @@ def encode(docs: DataFrame, keep: list[str], n: int = 4, path: str = MODEL, ids:
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    v = Vocabulary.load(path)
-    shared = spark.sparkContext.broadcast({k: getattr(v, k) for k in ("pieces", "bytes_", "text", "byte_score", "longest")})
+    parts = Vocabulary.read(path)
+    shared = spark.sparkContext.broadcast((zlib.crc32(repr(parts).encode()), parts))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     kinds = "n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, nbest_sha256 string, decoded_ok boolean" + ", nbest_ids array<array<int>>" * ids
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(_encode(shared, n, ids), schema + kinds)
