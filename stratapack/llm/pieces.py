@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -29,32 +30,31 @@ from .common import documents, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁", "\uffff"
 #: Lattices that a worker keeps in each of two generations, and the longest that is kept.
-KEEP, LONG = 250_000, 32
+KEEP, LONG = 400_000, 32
 #: What a byte piece costs beside the rarest piece, in nats.
 BYTE = 2.0
 #: Characters below this have a place of their own in the table of neighbours; then the mark, then all others.
 NEAR = 0x2F0
 
 
-class Kept:
-    """A bounded store in two generations: what was not asked for during a whole one is dropped."""
+class Kept(dict):
+    """make(key) by key, in two bounded generations: what was not asked for during a whole one is made again."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    def get(self, key):
-        got = self.new.get(key)
+    def __missing__(self, key):
+        got = self.old.get(key)
         if got is None:
-            got = self.old.get(key)
-            if got is not None:
-                self.put(key, got)
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= LONG:
+            self[key] = got
         return got
 
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.new, self.old = {}, self.new
-        self.new[key] = value
-
 
 class Vocabulary:
     """Pieces with ids and log-weights; weights follow Zipf's law from the pieces' order: log(1 / ((rank + 10) H))."""
@@ -63,9 +63,14 @@ class Vocabulary:
         """text: all pieces by id; plain: ids of ordinary pieces, the most frequent first; byte_ids: by byte."""
         norm = math.log(sum(1 / (r + 10) for r in range(len(plain))))
         self.pieces = {text[i]: (i, -math.log(r + 10) - norm) for r, i in enumerate(plain) if MARK not in text[i].lstrip(MARK)}
-        #: Pieces, and None for what only begins one.
-        self.trie: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
-        self.trie.update(self.pieces)
+        #: By character: the characters that may follow, and the ids and weight of the piece that ends here, if one does.
+        self.trie: dict[str, list] = {}
+        for p, (i, w) in self.pieces.items():
+            kids = self.trie
+            for c in p:
+                node = kids.setdefault(c, [{}, None, 0.0])
+                kids = node[0]
+            node[1:] = (i,), w
         self.byte_ids, self.byte_score = byte_ids, -math.log(len(plain) + 10) - norm - BYTE
         self.shown = [t.replace(MARK, " ") for t in text]
         for b, i in enumerate(byte_ids):
@@ -75,7 +80,7 @@ class Vocabulary:
         for p in self.pieces:
             at = self._near(p)
             self.joined[at[:-1], at[1:]] = True
-        self.best, self.many = Kept(KEEP), Kept(KEEP // 8)
+        self.best, self.many = Kept(self.word, KEEP), {}
 
     @classmethod
     def read(cls, path: str) -> tuple[list[str], list[int], list[int]]:
@@ -112,49 +117,48 @@ class Vocabulary:
 
     def arcs(self, word: str, start: int) -> list[tuple[int, tuple[int, ...], float]]:
         """(end, ids, score) of the arcs from a place; a character that is no piece has one of its byte pieces."""
-        out, trie, end = [], self.trie, start + 1
-        if trie.get(word[start]) is None:
-            out.append((end, *self._spelled(word[start])))
-        while end <= len(word):
-            hit = trie.get(word[start:end], 0)
-            if hit == 0:
-                break
-            if hit is not None:
-                out.append((end, (hit[0],), hit[1]))
+        out, kids, end = [], self.trie, start
+        node = kids.get(word[start])
+        if node is None or node[1] is None:
+            out.append((start + 1, *self._spelled(word[start])))
+        while end < len(word) and (node := kids.get(word[end])) is not None:
+            kids, ids, w = node
             end += 1
+            if ids is not None:
+                out.append((end, ids, w))
         return out
 
     def forward(self, word: str) -> tuple[list[float], list[float], list]:
         """Best and second-best score at each place, and the arc of the best. Ties go to the arc that starts first."""
-        n, trie = len(word), self.trie
-        first, second, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
+        n, trie, low = len(word), self.trie, -math.inf
+        first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         first[0] = 0.0
         for start in range(n):
-            f, s = first[start], second[start]
-            end = start + 1
-            hit = trie.get(word[start:end], 0)
-            if not hit:
+            f, s, end, kids = first[start], second[start], start, trie
+            node = trie.get(word[start])
+            if node is None or node[1] is None:
                 ids, w = self._spelled(word[start])
-                x = f + w
-                if x > first[end]:
-                    second[end] = max(first[end], s + w)
-                    first[end], back[end] = x, (start, ids)
-                elif x > second[end]:
-                    second[end] = x
-            while hit != 0:
-                if hit is not None:
-                    w = hit[1]
+                x, y = f + w, s + w
+                if x > first[start + 1]:
+                    second[start + 1] = max(first[start + 1], y)
+                    first[start + 1], back[start + 1] = x, (start, ids)
+                elif x > second[start + 1]:
+                    second[start + 1] = x
+            for char in word[start:]:
+                node = kids.get(char)
+                if node is None:
+                    break
+                kids, ids, w = node
+                end += 1
+                if ids is not None:
                     x = f + w
-                    if x > first[end]:
+                    top = first[end]
+                    if x > top:
                         y = s + w
-                        second[end] = first[end] if first[end] > y else y
-                        first[end], back[end] = x, (start, (hit[0],))
+                        second[end] = top if top > y else y
+                        first[end], back[end] = x, (start, ids)
                     elif x > second[end]:
                         second[end] = x
-                end += 1
-                if end > n:
-                    break
-                hit = trie.get(word[start:end], 0)
         return first, second, back
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -165,7 +169,7 @@ class Vocabulary:
             for end, ids, w in self.arcs(word, start):
                 into[end].append((start, ids, w))
         queue, out, turn = [(-first[-1], 0, len(word), 0.0, None)], [], 0
-        while queue and len(out) < n:
+        while len(out) < n and queue:
             _, _, at, done, tail = heappop(queue)
             if at == 0:
                 ids = []
@@ -176,7 +180,8 @@ class Vocabulary:
                 continue
             for start, piece, w in into[at]:
                 turn += 1
-                heappush(queue, (-(done + w + first[start]), turn, start, done + w, (piece, tail)))
+                w += done
+                heappush(queue, (-w - first[start], turn, start, w, (piece, tail)))
         return out
 
     def word(self, word: str) -> tuple[bytes, float, float]:
@@ -186,16 +191,13 @@ class Vocabulary:
         while at:
             at, piece = back[at]
             ids.append(piece)
-        got = np.array([x for p in reversed(ids) for x in p], "<i4").tobytes(), first[-1], first[-1] - second[-1]
-        if len(word) <= LONG:
-            self.best.put(word, got)
-        return got
+        ids.reverse()
+        return array("i", [x for p in ids for x in p]).tobytes(), first[-1], first[-1] - second[-1]
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text as scores and ids of 4 bytes each; one empty one of an empty text."""
         words = self.split(text)
-        get, make = self.best.get, self.word
-        got = [get(w) or make(w) for w in words]
+        got = list(map(self.best.__getitem__, words))
         score = math.fsum([g[1] for g in got])
         out = [(score, b"".join([g[0] for g in got]))]
         if n == 1 or not words:
@@ -204,12 +206,8 @@ class Vocabulary:
         near = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 else self._least(loss, n - 1)
         choices = {}
         for i in sorted(int(x) for x in near if loss[x] < math.inf):
-            found = self.many.get((words[i], n))
-            if found is None:
-                found = [(s, np.array(ids, "<i4").tobytes()) for s, ids in self.nbest(words[i], n)]
-                if len(words[i]) <= LONG:
-                    self.many.put((words[i], n), found)
-            choices[i] = [(max(0.0, got[i][1] - s), ids) for s, ids in found]
+            of_n = self.many.setdefault(n, Kept(lambda w: self.nbest(w, n), KEEP // 8))
+            choices[i] = [(max(0.0, got[i][1] - s), ids) for s, ids in of_n[words[i]]]
         places = list(choices)
         none = (0,) * len(places)
         queue, seen = [(0.0, none)], {none}
@@ -219,7 +217,7 @@ class Vocabulary:
                 parts = [g[0] for g in got]
                 for i, k in zip(places, pick, strict=True):
                     if k:
-                        parts[i] = choices[i][k][1]
+                        parts[i] = array("i", choices[i][k][1]).tobytes()
                 out.append((score - lost, b"".join(parts)))
             for j, i in enumerate(places):
                 if pick[j] + 1 < len(choices[i]):
