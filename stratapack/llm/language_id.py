@@ -191,5 +191,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found: und goes, and so does text with hardly an n-gram of any language."""
     model = learn(docs.where(~held_out(4)).select("text", "lang"))
-    out = predict(docs.withColumn("__body", F.col("text")), model, [*[c for c in docs.columns if c != "text"], "__body"])
-    return out.where("lang_pred <> 'und' and evidence >= 0.05").withColumn("text", F.col("__body")).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return predict(rows, model, ["__row"]).where("lang_pred <> 'und' and evidence >= 0.05").select("__row.*")

@@ -138,10 +138,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, half a document or more counting as one; those it leaves out go."""
-    own = docs.withColumn("__n", F.size(words_of(F.col("text").cast("string"))))
-    out = mix(own, F.col("__n"), F.array("source"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", F.size(words_of(F.col("text").cast("string"))).alias("__n"))
+    out = mix(rows, F.col("__n"), F.array("source"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
-    return out.withColumn("__i", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+    return out.withColumn("__i", F.explode(F.array_repeat(F.lit(0), times))).select("__row.*")
 
 
 ORACLE = r"""

@@ -311,10 +311,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated bytes and without characters cut in two; texts of which nothing is left go."""
-    out = remove_repeats(docs, as_text=True).where("n_removed = 0 or trim(kept) <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col("kept")).select(docs.columns)
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), "text")
+    out = remove_repeats(rows, as_text=True).where("n_removed = 0 or trim(kept) <> ''")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 #: At sf0.01 SQL can compare all 200-byte strings.

@@ -234,8 +234,8 @@ def test_pieces_edges_of_input(spark):
 
 
 def test_kept_is_bounded():
-    k = pieces.Kept(3)
+    k = pieces.Kept(len, 3)
     for i in range(20):
-        k.put(i, str(i))
-        assert k.get(i) == str(i) and len(k.new) + len(k.old) <= 6
-    assert k.get(0) is None
+        assert k["x" * (i + 1)] == i + 1 and len(k) + len(k.old) <= 6
+    assert "x" not in k and "x" not in k.old and k["x"] == 1
+    assert k["y" * 100] == 100 and "y" * 100 not in k
