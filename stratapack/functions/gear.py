@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
 _M64, _M32 = (1 << 64) - 1, (1 << 32) - 1
 # Fixed values of the table's generator; the mixed value is the next state.
 _STEP, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -21,6 +23,9 @@ def _generate() -> tuple[int, ...]:
 
 
 GEAR = _generate()
+_LANES = np.array(GEAR, np.uint32)
+#: Strings that are worth a step in common.
+FEW = 24
 
 
 @dataclass(frozen=True)
@@ -55,9 +60,52 @@ class Cuts:
             start += done
         return ends + [len(data)] if start < len(data) else ends
 
-    def _scan(self, data: bytes, h: int) -> tuple[int, list[int], int]:
-        """End of the last chunk closed, all ends, and the hash of what is open."""
-        gear, mask, least, most, start, out = GEAR, self.mask, self.least, self.most, 0, []
+    def ends_of_all(self, datas: list[bytes]) -> list[list[int]]:
+        """ends() of many strings: all advance by one byte in each step, until few are left, which go on alone."""
+        if self.read_grid or len(datas) < FEW:
+            return [self.ends(d) for d in datas]
+        sizes = np.array([len(d) for d in datas])
+        order = np.argsort(-sizes, kind="stable")
+        flat = np.frombuffer(b"".join(datas[i] for i in order), np.uint8)
+        sizes = sizes[order]
+        at = np.cumsum(sizes) - sizes
+        h, held = np.zeros(len(datas), np.uint32), np.zeros(len(datas), np.int64)
+        mask, one, top, wrap = np.uint32(self.mask), np.uint32(1), np.uint32(31), self.hash == "rotate"
+        # How many strings have a byte at each step: they are sorted by length.
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[FEW - 1])), side="right")
+        lanes, places = [], []
+        for t, k in enumerate(live.tolist()):
+            g, n = h[:k], held[:k]
+            turned = g << one
+            if wrap:
+                turned |= g >> top
+            np.add(turned, _LANES[flat[at[:k] + t]], out=g)
+            n += 1
+            cut = np.flatnonzero((n >= self.least) & (((g & mask) == 0) | (n >= self.most)))
+            if len(cut):
+                lanes.append(cut)
+                places.append(np.full(len(cut), t + 1))
+                g[cut] = 0
+                n[cut] = 0
+        out: list[list[int]] = [[] for _ in datas]
+        if lanes:
+            lane, place = np.concatenate(lanes), np.concatenate(places)
+            by = np.argsort(lane, kind="stable")
+            lane, place = lane[by], place[by]
+            edges = np.searchsorted(lane, np.arange(len(datas) + 1))
+            for j, i in enumerate(order.tolist()):
+                out[i] = place[edges[j] : edges[j + 1]].tolist()
+        for j, i in enumerate(order.tolist()):
+            n = int(sizes[j])
+            if n > len(live):
+                out[i] += [len(live) + e for e in self._scan(datas[i][len(live) :], int(h[j]), int(held[j]))[1]]
+            if n and (not out[i] or out[i][-1] < n):
+                out[i].append(n)
+        return out
+
+    def _scan(self, data: bytes, h: int, held: int = 0) -> tuple[int, list[int], int]:
+        """End of the last chunk closed, all ends, and the hash of what is open; held bytes came before the data."""
+        gear, mask, least, most, start, out = GEAR, self.mask, self.least, self.most, -held, []
         wrap = self.hash == "rotate"
         for i, byte in enumerate(data, 1):
             h = ((h << 1) + (h >> 31 if wrap else 0) & _M32) + gear[byte] & _M32
@@ -65,4 +113,4 @@ class Cuts:
             if size >= most or (size >= least and not h & mask):
                 out.append(i)
                 start, h = i, 0
-        return start, out, h
+        return max(0, start), out, h

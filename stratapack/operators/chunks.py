@@ -24,12 +24,16 @@ def chunk_files(files: DataFrame, cuts: Cuts, with_bytes: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ends = cuts.ends(data or b"")
-                if ends:
-                    starts = [0, *ends[:-1]]
-                    cols = [pa.array([f] * len(ends), pa.int64()), pa.array(range(len(ends)), pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array([data[a:z] for a, z in zip(starts, ends, strict=True)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["file_id", "chunk_ord", "start", "end", "bytes"])
+            datas = [d or b"" for d in b.column(1).to_pylist()]
+            ends = cuts.ends_of_all(datas)
+            count = np.array([len(e) for e in ends], np.int64)
+            last = np.concatenate([np.array(e, np.int64) for e in ends]) if ends else np.empty(0, np.int64)
+            first = np.concatenate([np.array([0, *e[:-1]], np.int64) for e in ends if e]) if len(last) else last
+            own = np.repeat(np.arange(len(ends)), count)
+            order = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            parts = [datas[i][a:z] for i, a, z in zip(own.tolist(), first.tolist(), last.tolist(), strict=True)]
+            cols = [b.column(0).take(pa.array(own)), pa.array(order.astype(np.int32)), pa.array(first), pa.array(last), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["file_id", "chunk_ord", "start", "end", "bytes"])
 
     spark = files.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 500:

@@ -116,3 +116,17 @@ def with_content(files: DataFrame) -> DataFrame:
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInArrow(run, f"{ddl}, content binary")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, is_dir, size) of one level of a folder; entries that cannot be read are left out. Sort with
+    files.listing_order()."""
+    rows = []
+    with os.scandir(folder) as found:
+        for entry in found:
+            try:
+                info = entry.stat()
+            except OSError:
+                continue
+            rows.append((entry.name, stat.S_ISDIR(info.st_mode), info.st_size))
+    return spark.createDataFrame(rows, "name string, is_dir boolean, size bigint")

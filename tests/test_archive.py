@@ -71,6 +71,13 @@ def test_empty_file_and_names(spark, tmp_path):
     assert restored(pack_tree(spark, str(tmp_path), "h")) == {"h/.h": b"1", "h/_u": b"2", "h/link": b"1"}
 
 
+def test_listing(spark, tmp_path):
+    write(tmp_path, {"b": b"1", "a": b"22", "z/x": b""})
+    os.symlink(tmp_path / "nowhere", tmp_path / "gone")
+    rows = filetree.listing(spark, str(tmp_path)).orderBy(*Files.listing_order()).collect()
+    assert [(r["name"], r["is_dir"]) for r in rows] == [("z", True), ("a", False), ("b", False)]
+
+
 def test_same_names_are_reported(spark, tmp_path):
     write(tmp_path, {"p/x": b"1", "q/x": b"22"})
     kept, dropped = cli.tree(spark, [str(tmp_path / "p/x"), str(tmp_path / "q/x")], None, None)

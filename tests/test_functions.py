@@ -50,6 +50,15 @@ def test_cuts_are_a_partition(data):
     assert all(16 <= z - a <= 256 for a, z in list(zip([0, *ends], ends, strict=False))[:-1])
 
 
+@pytest.mark.parametrize("kind", ["rotate", "shift"])
+def test_cuts_of_many_strings(kind):
+    r = np.random.default_rng(7)
+    datas = [r.integers(0, 256, int(n), dtype=np.uint8).tobytes() for n in [0, 1, 15, 16, 17, 9000, 5000, *r.integers(0, 1500, 70)]] + [b"", bytes(4000)]
+    c = Cuts(64, 16, 256, hash=kind)
+    assert c.ends_of_all(datas) == [c.ends(d) for d in datas]
+    assert c.ends_of_all(datas[:5]) == [c.ends(d) for d in datas[:5]] and c.ends_of_all([]) == [] and c.ends_of_all([b""] * 40) == [[]] * 40
+
+
 def test_read_grid():
     data = np.random.default_rng(1).integers(0, 256, 40_000, dtype=np.uint8).tobytes()
     whole, grid = Cuts(256, 64, 1024), Cuts(256, 64, 1024, read_grid=4096)
