@@ -255,14 +255,14 @@ def score(docs: DataFrame, out: str = "held_out") -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col(out), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(BLOCKS, -(-size // BLOCK))
-    # Copies of a text part by their id, so that blocks are alike in size.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("text", "doc_id"), F.lit(blocks)).cast("int"))
-    parts = max(shuffle_partitions(spark), blocks // 4)
-    asks = staged(dealt.select("held_out", "text", "block").repartition(parts, "block").mapInArrow(_asks, "key long, block int, n long"), "asks")
+    # Copies of a text part by their id, so that blocks are alike in size. A block is what repartition() makes one
+    # partition of, so a task holds the words of one block; it gets them right with any other dealing, too.
+    dealt = rows.withColumn("part", F.xxhash64("text", "doc_id")).withColumn("block", F.pmod(F.hash("part"), F.lit(blocks)).cast("int"))
+    asks = staged(dealt.select("held_out", "text", "block", "part").repartition(blocks, "part").mapInArrow(_asks, "key long, block int, n long"), "asks")
     release(spark)
     sums = asks.agg(F.sum("n"), F.count("*")).first()
     n_all, least = sums[0] or 0, max(TWICE, math.ceil((sums[0] or 0) * LEAST))
-    answers = staged(asks.repartition(max(parts, sums[1] >> 20), "key").mapInArrow(_answers(least), "key long, block int, n long"), "answers")
+    answers = staged(asks.repartition(max(shuffle_partitions(spark), sums[1] >> 20), "key").mapInArrow(_answers(least), "key long, block int, n long"), "answers")
     unstage(asks)
     release(spark)
     n_words = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
@@ -273,7 +273,7 @@ def score(docs: DataFrame, out: str = "held_out") -> DataFrame:
     m, code, n = (grams.column(x).to_numpy() for x in ("m", "code", "n"))
     model = spark.sparkContext.broadcast(Automaton.of(words, counts, [(code[m == k], n[m == k]) for k in (2, 3)], n_all))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = dealt.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    met = dealt.drop("part").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
     return met.applyInArrow(_score(model, n_all, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

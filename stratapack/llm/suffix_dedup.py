@@ -21,6 +21,7 @@ their bucket in an ordinary join, which adaptive execution splits where a bucket
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,9 +247,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps that are staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of steps that are staged; it works beside the driver, so give it a moment."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def cut(raw: bytes, runs: list[int] | None) -> tuple[list[tuple[int, int]], bytes]:
