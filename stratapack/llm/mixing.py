@@ -99,7 +99,7 @@ def mix(docs: DataFrame, size: Column, member: Column, weights: tuple[float, ...
     none = "\U0010ffff"
     u = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     names = F.array_sort(F.array_distinct(F.transform(member.cast("array<string>"), lambda s: F.coalesce(s, F.lit(none)))))
-    rows = staged(docs.withColumns({"size": size.cast("long"), "__m": names, "__u": u}).withColumn("__slot", F.conv(F.substring("__u", 1, 3), 16, 10).cast("int") % SLOTS), "sizes")
+    rows = staged(docs.withColumns({"size": size.cast("long"), "__m": names, "__u": u}).drop("source_size", "target", "taken").withColumn("__slot", F.conv(F.substring("__u", 1, 3), 16, 10).cast("int") % SLOTS), "sizes")
     patterns = rows.groupBy("__m").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
@@ -115,12 +115,12 @@ def mix(docs: DataFrame, size: Column, member: Column, weights: tuple[float, ...
     table = [(r["__m"], sum(held[at[s]] for s in r["__m"]), sum(goal[at[s]] for s in r["__m"]) / max(1, len(r["__m"])), sum(f.values()), r["n"]) for r, f in zip(patterns, flow, strict=True)]
     kind = T.StructType([T.StructField("__m", T.ArrayType(T.StringType())), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__q", T.LongType()), T.StructField("__n", T.LongType())])
     plan = docs.sparkSession.createDataFrame(table, kind)
-    slots = rows.groupBy("__m", "__slot").agg(F.sum("size").alias("b"))
+    slots = rows.groupBy("__m", "__slot").agg(F.sum("size").alias("__b"))
     order = Window.partitionBy("__m").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("__before", F.coalesce(F.sum("b").over(order), F.lit(0))).join(plan, "__m")
-    slots = staged(slots.select("__m", "__slot", "__before", "source_size", "target", F.expr("__q div greatest(__n, 1)").alias("__full"), F.expr("__q % greatest(__n, 1)").alias("__left"), "b"), "slots")
+    slots = slots.withColumn("__before", F.coalesce(F.sum("__b").over(order), F.lit(0))).join(plan, "__m")
+    slots = staged(slots.select("__m", "__slot", "__before", "source_size", "target", F.expr("__q div greatest(__n, 1)").alias("__full"), F.expr("__q % greatest(__n, 1)").alias("__left"), "__b"), "slots")
     got = rows.join(slots, ["__m", "__slot"])
-    edge = (F.col("__left") > F.col("__before")) & (F.col("__left") < F.col("__before") + F.col("b"))
+    edge = (F.col("__left") > F.col("__before")) & (F.col("__left") < F.col("__before") + F.col("__b"))
     # Only the slot in which a routed amount ends needs its documents in order.
     inside = got.where(edge)
     run = Window.partitionBy("__m", "__slot").orderBy("__u", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,16 +51,15 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", size: Column | None
     while True:
         depth = min(BITS, base + step)
         cell = F.shiftright("__h", BITS - depth)
-        leaves = staged(_leaves(rest.select("__h", "bytes"), "__h", base, depth, limit), "leaves")
-        over = leaves.where(~F.col("fits")).select("cell")
-        found = rest.withColumn("cell", cell).join(leaves.where("fits"), "cell")
-        prefix = F.expr(f"shiftright(__h, {BITS} - d)")
-        found = found.withColumn("shard_depth", F.col("d") + turn * BITS).withColumn("shard_prefix", prefix)
-        found = found.select(*[c for c in docs.columns if c not in ("bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_docs")], "bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_docs")
+        leaves = staged(_leaves(rest.select("__h", "bytes"), "__h", base, depth, limit).toDF("__cell", "__d", "__held", "__rows", "__fits"), "leaves")
+        over = leaves.where(~F.col("__fits")).select("__cell")
+        found = rest.withColumn("__cell", cell).join(leaves.where("__fits"), "__cell")
+        new = {"shard_depth": F.col("__d") + turn * BITS, "shard_prefix": F.expr(f"shiftright(__h, {BITS} - __d)"), "shard_bytes": F.col("__held"), "shard_docs": F.col("__rows")}
+        found = found.select(*[c for c in docs.columns if c not in ("bytes", *new)], "bytes", *[v.alias(k) for k, v in new.items()])
         out = found if out is None else out.unionByName(found)
         if over.isEmpty():
             return out
-        rest = rest.withColumn("cell", cell).join(over, "cell", "left_semi").drop("cell")
+        rest = rest.withColumn("__cell", cell).join(over, "__cell", "left_semi").drop("__cell")
         base = depth
         if base == BITS:
             rest = staged(rest.withColumn("__h", _hash60(F.concat_ws(":", F.col("__h").cast("string"), F.monotonically_increasing_id().cast("string")))), "same-key")
