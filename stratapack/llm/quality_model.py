@@ -180,14 +180,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """
     ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
     rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    model = train(rows.join(ids, "doc_id", "left_semi"))
+    # A merge join at every size: whether the ids could be broadcast depends on how many are labelled.
+    model = train(rows.join(ids.hint("merge"), "doc_id", "left_semi"))
     scored = staged(perplexities(rows, model, ["doc_id", "lang"]), "perplexity")
     release(docs.sparkSession)
     own = scored.join(ids, "doc_id", "left_semi")
     mean = own.agg(F.sum("nll") / F.sum("n_symbols")).first()[0]
     ppl = F.exp((F.col("nll") + F.lit(PRIOR * (mean or 0.0))) / (F.col("n_symbols") + PRIOR))
     at = own.withColumn("x", ppl)
-    per = at.groupBy("lang").agg(F.percentile_approx("x", QUANTILE, 10000).alias("threshold"))
+    per = staged(at.groupBy("lang").agg(F.percentile_approx("x", QUANTILE, 10000).alias("threshold")), "thresholds")
     every = at.agg(F.percentile_approx("x", QUANTILE, 10000)).first()[0]
     out = scored.withColumn("perplexity", ppl).join(per, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double"), F.lit(float("inf"))) * SLACK)
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))
