@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, small_batches, staged
+from .common import documents, shuffle_partitions, small_batches, staged, unstage
 from .components import connected_components
 
 #: Shingles hashed at a time in one text.
@@ -28,25 +28,45 @@ PIECE = 1 << 16
 CELL = 1 << 22
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of the ASCII-lower-cased text's word shingles, unsigned; 0 for null or no word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of_text(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles, PIECE at a time; of the whole sequence if it is shorter than one; none of no words."""
     if not words:
-        return 0
+        return
+    line, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    line = b" ".join(words)
+        yield np.frombuffer(digest(line, seed), ">u8").astype(np.uint64)
+        return
     ends = list(accumulate(map(len, words)))
-    n = len(words) - width + 1
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
     starts = [0, *(e + i + 1 for i, e in enumerate(ends))]
+    n = len(words) - width + 1
     for at in range(0, n, PIECE):
         to = min(n, at + PIECE)
         raw = b"".join([digest(line[a : e + w], seed) for a, e, w in zip(starts[at:to], ends[at + width - 1 : to + width - 1], range(at + width - 1, to + width - 1), strict=True)])
-        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def _votes(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest first."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of the ASCII-lower-cased text's word shingles, unsigned; 0 for null or no word."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(words_of_text(text), width, seed):
+        votes += _votes(h)
+        n += len(h)
+    return _majority(votes, n)
+
+
 def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,6 +137,10 @@ def link_cell(fps: np.ndarray, cell: int, bits: int, half: int) -> tuple[np.ndar
     return fps[linked], fps[root[linked]]
 
 
+#: A cell's number has its table's from this bit on.
+TABLE = 40
+
+
 def _links(bits: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -128,7 +152,9 @@ def _links(bits: int, half: int):
         cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
-                yield from _emit(fps[a:b], int(cells[a]), bits, half)
+                table = int(cells[a]) >> TABLE
+                for found in _emit(fps[a:b], int(cells[a]) & ((1 << TABLE) - 1), bits, half):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(found.num_rows, table, np.int32)), *found.columns], names=["t", "u", "v"])
 
     return run
 
@@ -150,17 +176,20 @@ def _emit(fps: np.ndarray, cell: int, bits: int, half: int) -> Iterator[pa.Recor
 
 
 def ball_links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp long) -> links (u, v) that connect all that differ by at most distance bits (even)."""
+    """Distinct fingerprints (t int, fp long) of one table or more -> links (t, u, v) that connect all of a table that
+    differ by at most distance bits (even)."""
     half = distance // 2
     if distance != 2 * half:
         raise ValueError("distance must be even")
-    n, spread = fps.count(), sum(len(m) for m in flips(64, half))
-    bits = next((b for b in range(4, 33) if n * spread >> b <= CELL), 32)
+    most = fps.groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    spread = sum(len(m) for m in flips(64, half))
+    bits = next((b for b in range(4, 33) if (most[0] or 0) * spread >> b <= CELL), 32)
     masks = [int(x) for m in flips(bits, half) for x in m]
-    cells = F.explode(F.transform(F.lit(masks), lambda m: F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(m.cast("long"))))
-    parts = max(shuffle_partitions(fps.sparkSession), n * spread >> 24)
+    table = F.col("t").cast("long") * (1 << TABLE)
+    cells = F.explode(F.transform(F.lit(masks), lambda m: table + F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(m.cast("long"))))
+    parts = max(shuffle_partitions(fps.sparkSession), (most[1] or 0) * spread >> 24)
     near = fps.select(cells.alias("cell"), "fp").repartition(parts, "cell")
-    return near.mapInArrow(_links(bits, half), "u long, v long")
+    return near.mapInArrow(_links(bits, half), "t int, u long, v long")
 
 
 def simhash_components(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
@@ -173,7 +202,7 @@ def simhash_components(docs: DataFrame, distance: int = 4, width: int = 4, seed:
     rows = staged(fingerprints(docs, width, seed), "fp")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = staged(least, "fp-least")
-    comps = connected_components(ball_links(least.select("fp"), distance))
+    comps = connected_components(ball_links(least.select(F.lit(0).alias("t"), "fp"), distance).drop("t"))
     named = least.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = staged(named.join(ids, "root").select("fp", "component_id"), "fp-comp")
@@ -185,10 +214,88 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Further tables of the near-copy search: fingerprints of word pairs, each of hashes of its own.
+TABLES, PAIR = 4, 2
+#: Words of a shingle by which colliding texts are compared, bins of the sketch that compares them, least estimate: 0.8
+#: less one deviation of an estimate from so many bins.
+COMPARED, BINS, LIKE = 5, 256, 0.775
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def signature(text: str | None) -> tuple[list[int], bytes]:
+    """The fingerprint, TABLES fingerprints of word pairs, and the least hash of shingles in each of BINS bins (2 bytes
+    each, 0 for none)."""
+    words = words_of_text(text)
+    first, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(words, 4, 42):
+        first += _votes(h)
+        n += len(h)
+    fps = [_majority(first, n)]
+    votes, n = np.zeros((TABLES, 64), np.int64), 0
+    for h in shingle_hashes(words, PAIR, 42):
+        n += len(h)
+        for t in range(TABLES):
+            x = h + _STEP * np.uint64(t + 1)
+            x ^= x >> np.uint64(31)
+            x *= _MIX
+            x ^= x >> np.uint64(29)
+            x *= _STEP
+            votes[t] += _votes(x ^ (x >> np.uint64(32)))
+    fps += [_majority(v, n) for v in votes]
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.full(BINS, none)
+    for h in shingle_hashes(words, COMPARED, 42):
+        np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
+    return fps, np.where(least == none, 0, least % np.uint64(65535) + np.uint64(1)).astype("<u2").tobytes()
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [signature(t) for t in b.column(1).to_pylist()]
+        fps = np.array([f for f, _ in made], np.uint64).reshape(-1).astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * (TABLES + 1)), pa.array(fps))
+        yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([x for _, x in made], pa.binary())], names=["k", "fps", "sketch"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their sketches -> those estimated as alike."""
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
+            good = ((x == y) & (x > 0)).sum(axis=1) >= LIKE * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k.
+
+    Links are those of simhash_components, and those of texts that collide in one of TABLES further searches and are
+    found alike: 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
+    """
+    small_batches(texts.sparkSession)
+    sig = staged(texts.mapInArrow(_signatures, "k long, fps array<long>, sketch binary").dropDuplicates(["k"]), "signatures")
+    flat = sig.select("k", F.posexplode("fps").alias("t", "fp"))
+    reps = staged(flat.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")), "fps")
+    links = ball_links(reps.select("t", "fp"))
+    one = links.join(reps.select("t", F.col("fp").alias("u"), F.col("r").alias("a")), ["t", "u"])
+    two = one.join(reps.select("t", F.col("fp").alias("v"), F.col("r").alias("b")), ["t", "v"]).select("t", "a", "b")
+    same = flat.join(reps.where("n > 1").drop("n"), ["t", "fp"]).where("k <> r").select("t", F.col("k").alias("a"), F.col("r").alias("b"))
+    pairs = staged(two.unionByName(same).where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("t").alias("t")), "pairs")
+    asked = pairs.where("t > 0").join(sig.select(F.col("k").alias("a"), F.col("sketch").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sketch").alias("y")), "b")
+    alike = asked.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long")
+    found = connected_components(alike.unionByName(pairs.where("t = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    unstage(sig)
+    return found.withColumnRenamed("node", "k")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the smallest doc_id (null last), then of the smallest text hash."""
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g"))
-    found = simhash_components(docs.select(key.alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
-    rows = docs.withColumn("__key", key).join(kept.distinct(), "__key", "left_semi")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("g"))
+    roots = near_copies(docs.select(F.xxhash64(text).alias("k"), text.alias("text")))
+    ids = docs.select(key.alias("__key")).distinct()
+    met = ids.join(roots, ids["__key"]["h"] == roots["k"], "left").withColumn("root", F.coalesce("root", F.col("__key")["h"]))
+    kept = staged(met.groupBy("root").agg(F.min("__key").alias("__key")).select("__key"), "kept")
+    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
     return rows.dropDuplicates(["__key"]).select(docs.columns)

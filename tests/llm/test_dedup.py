@@ -71,7 +71,11 @@ def test_ball_links_find_all_pairs(spark, monkeypatch, most):
             fps.add(x)
     fps = sorted(fps)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    edges = simhash.ball_links(spark.createDataFrame(signed, "fp long"))
+    monkeypatch.setattr(simhash, "CELL", most << 6)
+    tables = spark.createDataFrame(signed, "fp long").select(F.explode(F.array(F.lit(0), F.lit(3))).alias("t"), "fp")
+    links = staged(simhash.ball_links(tables), "links")
+    assert {r["t"] for r in links.select("t").distinct().collect()} == {0, 3}
+    edges = links.where("t = 3").drop("t")
     got = {(x["node"] % 2**64): x["root"] % 2**64 for x in components.connected_components(edges).collect()}
     want = groups(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
     same = lambda m: {frozenset(k for k in fps if m.get(k, k) == v) for v in {m.get(k, k) for k in fps}}
@@ -100,6 +104,25 @@ def test_chains_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_near_copies_are_found_and_others_left(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(["ba", "lo", "mi", "tu", "ne", "ska", "er"]) for _ in range(r.randrange(1, 5)))
+    rows, want = [], {}
+    for g in range(25):
+        base = [word() for _ in range(r.randrange(150, 500))]
+        for c in range(3):
+            text = list(base)
+            for _ in range(c and max(1, len(base) // 120)):
+                text[r.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text)))
+            want[len(rows) - 1] = g
+    rows += [(1000 + i, " ".join(word() for _ in range(r.randrange(1, 60)))) for i in range(60)]
+    kept = {x["doc_id"] for x in simhash.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    alone = {i for i, t in rows if i >= 1000 and not any(t == u for j, u in rows if j < i)}
+    assert alone <= kept
+    assert len({want[i] for i in kept if i < 1000}) == 25 and len([i for i in kept if i < 1000]) <= 30
+
+
 def test_simhash_edges_of_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_components(empty).count() == 0
