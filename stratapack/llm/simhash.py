@@ -215,7 +215,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Further tables of the near-copy search: fingerprints of word pairs, each of hashes of its own.
-TABLES, PAIR = 4, 2
+TABLES, PAIR = 6, 2
 #: Words of a shingle by which colliding texts are compared, bins of the sketch that compares them, least estimate: 0.8
 #: less one deviation of an estimate from so many bins.
 COMPARED, BINS, LIKE = 5, 256, 0.775
