@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import MODE_IDS
@@ -109,6 +109,8 @@ class ContainerReader(DataSourceReader):
             if self.relation == "entries" and isinstance(x, (EqualTo, In)) and x.attribute == ("rel_path",):
                 names = {x.value} if isinstance(x, EqualTo) else set(x.value)
                 self.only = names if self.only is None else self.only & names
+            elif isinstance(x, IsNotNull):
+                continue  # no column is ever null
             else:
                 yield x
 
@@ -172,7 +174,7 @@ class Container(DataSource):
 def relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     spark.dataSource.register(Container)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("archive_container").option("relation", name).option("path", path).load()
+    return spark.read.format("archive_container").option("relation", name).option("path", os.path.abspath(path)).load()
 
 
 def read(spark: SparkSession, path: str) -> Archive:

@@ -95,7 +95,13 @@ class FileTree(DataSource):
 
 
 def scan(spark: SparkSession, targets: list[str], base: str | None = None) -> DataFrame:
-    """Metadata of all files below targets; contents are read later, where they are needed."""
+    """Metadata of all files below targets; contents are read later, where they are needed.
+
+    Paths are made absolute here: the source runs in processes with folders of their own."""
+    for t in targets:
+        if not os.path.exists(t):
+            raise MissingTarget(f"No such file or directory: {t}")
+    targets, base = [os.path.abspath(t) for t in targets], os.path.abspath(base) if base else None
     spark.dataSource.register(FileTree)
     reader = spark.read.format("filetree").option("targets", "\n".join(targets))
     return (reader.option("base", base) if base else reader).load()
