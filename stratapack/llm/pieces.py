@@ -30,7 +30,7 @@ from .common import documents, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁", "\uffff"
 #: Lattices that a worker keeps in each of two generations, and the longest that is kept.
-KEEP, LONG = 400_000, 32
+KEEP, LONG = 120_000, 32
 #: What a byte piece costs beside the rarest piece, in nats.
 BYTE = 2.0
 #: Characters below this have a place of their own in the table of neighbours; then the mark, then all others.

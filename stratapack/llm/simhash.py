@@ -188,7 +188,8 @@ def ball_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     table = F.col("t").cast("long") * (1 << TABLE)
     cells = F.explode(F.transform(F.lit(masks), lambda m: table + F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(m.cast("long"))))
     parts = max(shuffle_partitions(fps.sparkSession), (most[1] or 0) * spread >> 24)
-    near = fps.select(cells.alias("cell"), "fp").repartition(parts, "cell")
+    # Fingerprints are few and small, but a task that had many would sort all their variants at once.
+    near = fps.repartition(parts).select(cells.alias("cell"), "fp").repartition(parts, "cell")
     return near.mapInArrow(_links(bits, half), "t int, u long, v long")
 
 
@@ -215,7 +216,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Further tables of the near-copy search: fingerprints of word pairs, each of hashes of its own.
-TABLES, PAIR = 6, 2
+TABLES, PAIR = 4, 2
 #: Words of a shingle by which colliding texts are compared, bins of the sketch that compares them, least estimate: 0.8
 #: less one deviation of an estimate from so many bins.
 COMPARED, BINS, LIKE = 5, 256, 0.775
