@@ -5,15 +5,16 @@ without its first word and weighs what smoothing leaves for the words that the s
 history there is an arc for every word that was learned and one for all others. A text is traversed once from left
 to right: each token takes its arc, after as many failure arcs as it needs, and the weights add up.
 
-Longer n-grams are learned where they are at least LEAST of all tokens, so the automaton has at most 1 / LEAST arcs per
-order and is sent to every task. Single words have no such bound and are never gathered in one place: texts are dealt
-into blocks by their hash, each block asks for the counts of its own distinct words, asks are summed by word, and
-each block gets its answers beside its texts.
+N-grams of two and three words are arcs if they are seen TWICE or more, however large the corpus is. No table of words
+or arcs is ever gathered in one place: texts are dealt into blocks by their hash, and each block asks for what its own
+texts need. Asks are summed by word, then by pair, then by the first two words of a triple, in as many shards as there
+are blocks, and each block gets its answers beside its texts, which are its part of the automaton. A pair that is no arc
+is in no triple that is one, so only triples of two arcs are asked for. A pair's arc is owned by one of the blocks that
+ask for it, which adds it to the sums of its history.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +30,13 @@ from .suffix_dedup import release
 
 #: Bytes of text in a block, and blocks at least.
 BLOCK, BLOCKS = 8 << 20, 64
-#: Least share of an n-gram of two or three words, least count, and what a count is discounted by.
-LEAST, TWICE, DISCOUNT = 2e-6, 2, 0.75
-#: Distinct n-grams that a task gathers before it hands them on.
-GATHER = 1 << 22
-#: Bits of a frequent word's number in an n-gram's code.
-BITS = 20
+#: Least count of an n-gram of two or three words, and what a count is discounted by.
+TWICE, DISCOUNT = 2, 0.75
+#: Bits of a word's number within a block in an n-gram's code.
+BITS = 21
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+ASKS = "shard int, block int, kind int, a binary, b binary, c binary, d binary"
+ANSWERS = "block int, kind int, n long, a binary, b binary"
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -174,67 +176,268 @@ def _rows(keys: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks.astype(np.int32)), pa.array(n)], names=["key", "block", "n"])
 
 
-def _answers(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Asks of all blocks for some words -> sums, to blocks that have not counted all themselves; to block -1 the
-        number of words with a count, and to block -2 the frequent words."""
-        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
-        if not got:
-            return
-        key, block, n = (np.concatenate([x[i] for x in got]) for i in range(3))
-        words, at = np.unique(key, return_inverse=True)
-        total = np.zeros(len(words), np.int64)
-        np.add.at(total, at, n)
-        other = total[at] != n
-        yield _rows(key[other], block[other], total[at][other])
-        yield _rows(np.zeros(1, np.int64), np.array([-1]), np.array([int((total > 0).sum())]))
-        top = total >= least
-        yield _rows(words[top], np.full(int(top.sum()), -2), total[top])
+def packed(x: np.ndarray, keys: bool = False) -> bytes:
+    """Rows of numbers as bytes: columns one after the other, keys as differences, equal places of all numbers together."""
+    flat = np.ascontiguousarray(x.T).reshape(-1).view(np.uint64)
+    flat = np.diff(flat, prepend=np.uint64(0)) if keys else flat
+    return len(x).to_bytes(8, "little") + pa.compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, width: int = 1, keys: bool = False) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n * width, "zstd", asbytes=True), np.uint8)
+    flat = np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64)
+    return (np.cumsum(flat, dtype=np.uint64) if keys else flat).view(np.int64).reshape(width, -1).T
+
+
+def _answer(block: int, kind: int, n: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), pa.array([packed(a, True)], pa.binary()), pa.array([packed(b)], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["block", "kind", "n", "a", "b"])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asks of all blocks for some words -> sums, to blocks that have not counted all themselves; to block -1 the
+    number of words with a count."""
+    got = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+    if not got:
+        return
+    key, block, n = (np.concatenate([x[i] for x in got]) for i in range(3))
+    words, at = np.unique(key, return_inverse=True)
+    total = np.zeros(len(words), np.int64)
+    np.add.at(total, at, n)
+    yield _answer(-1, 0, int((total > 0).sum()), key[:0], n[:0])
+    other = total[at] != n
+    key, block, n = key[other], block[other], total[at][other]
+    by = np.lexsort((key.view(np.uint64), block))
+    key, block, n = key[by], block[by], n[by]
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    for k, o, m in zip(np.split(key, cuts), np.split(block, cuts), np.split(n, cuts), strict=True):
+        if len(k):
+            yield _answer(int(o[0]), 0, 0, k, m)
+
+
+def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of n-grams, of the keys of all but their last words and of their last words."""
+    x = first.view(np.uint64) * _ODD[0] + (last.view(np.uint64) ^ _ODD[1]) * _ODD[2]
+    x ^= x >> np.uint64(32)
+    x *= _ODD[1]
+    x ^= x >> np.uint64(29)
+    x *= _ODD[2]
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(33)) * np.uint64(shards) >> np.uint64(31)).astype(np.int32)
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array, width: int = 1) -> np.ndarray:
+    """Rows of width numbers, of all blobs of a column."""
+    return np.concatenate([np.empty((0, width), np.int64), *[unpacked(x, width) for x in column.to_pylist()]])
+
+
+def _named(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Keys of all blobs of a column."""
+    return np.concatenate([np.empty(0, np.int64), *[unpacked(x, keys=True)[:, 0] for x in column.to_pylist()]])
+
+
+class Block:
+    """A block's texts, and what it has been told so far."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table):
+        self.answers, kinds = answers, answers.column("kind").to_numpy()
+        self.rows = [np.flatnonzero(kinds == k) for k in range(4)]
+        self.out = np.array(texts.column("held_out").to_pylist(), bool)
+        self.keys, self.flat, self.sizes = numbered(texts.column("text").to_pylist())
+        self.learned = np.repeat(~self.out, self.sizes)
+        c = np.bincount(self.flat[self.learned], minlength=len(self.keys))
+        at, sums = self.told(0, self.keys)
+        self.counts = np.where(at >= 0, sums[at, 0] if len(sums) else 0, c)
+        #: Words that may be in an arc, and the codes of the n-grams of them that end at each token.
+        self.words = np.flatnonzero(self.counts >= TWICE)
+        if len(self.words) >> BITS:
+            raise ValueError(f"a block of texts has more than {1 << BITS} words")
+        number = np.full(len(self.keys), -1)
+        number[self.words] = np.arange(len(self.words))
+        self.frequent = number[self.flat]
+        self.two, self.three = histories(self.frequent, self.sizes)
+
+    def told(self, kind: int, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key's answer, or -1, and all answers of a kind."""
+        got = self.answers.take(self.rows[kind])
+        told, values = _named(got.column("a")), _numbers(got.column("b"), width)
+        by = np.argsort(told)
+        return _place(told[by], keys), values[by]
+
+    def counted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct codes, and how often each is learned from."""
+        own = codes >= 0
+        found, at = np.unique(codes[own], return_inverse=True)
+        return found, np.bincount(at, self.learned[own], len(found)).astype(np.int64)
+
+    def key(self, codes: np.ndarray) -> np.ndarray:
+        """Keys of pairs, and of single words, by their codes."""
+        first, last = codes >> BITS, codes & ((1 << BITS) - 1)
+        return joined(self.keys[self.words[first]], self.keys[self.words[last]])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the arcs of two words, how often they are seen, and whether this block owns them."""
+        codes = np.unique(self.two[self.two >= 0])
+        at, told = self.told(1, self.key(codes), 2)
+        return codes[at >= 0], told[at[at >= 0], 0], told[at[at >= 0], 1] > 0
+
+
+def _blobs(block: int, kind: int, shards: int, keys: np.ndarray, values: np.ndarray, size: np.ndarray | None = None, more: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    """Asks by shard: keys in order with their values, and with size, as many further keys and values for each."""
+    cuts = np.searchsorted(_shards(keys, shards), np.arange(shards + 1)) if len(keys) else np.zeros(shards + 1, np.int64)
+    own = np.flatnonzero(np.diff(cuts))
+    part = lambda x, at, keys: pa.array([packed(x[at[i] : at[i + 1]], keys) for i in own], pa.binary())
+    cols = [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), block, np.int32)), pa.array(np.full(len(own), kind, np.int32)), part(keys, cuts, True), part(values, cuts, False)]
+    if size is None:
+        cols += [pa.nulls(len(own), pa.binary())] * 2
+    else:
+        ends = np.concatenate([[0], np.cumsum(size)])[cuts]
+        cols += [part(more[0], ends, True), part(more[1], ends, False)]
+    return pa.table(dict(zip(["shard", "block", "kind", "a", "b", "c", "d"], cols, strict=True)))
+
+
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    return np.argsort(keys.view(np.uint64))
+
+
+def _ask_pairs(shards: int):
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Block(texts, answers)
+        codes, n = b.counted(b.two)
+        keys = b.key(codes)
+        by = _ordered(keys)
+        return _blobs(key[0].as_py(), 1, shards, keys[by], n[by])
 
     return run
 
 
-def _grams(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts -> (m, code, n): n-grams of frequent words, counted within the task."""
-        held = {m: (np.empty(0, np.int64), np.empty(0, np.int64)) for m in (2, 3)}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for m, (codes, n) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), m, np.int32)), pa.array(codes), pa.array(n)], names=["m", "code", "n"])
-
-        for b in batches:
-            keys, flat, sizes = numbered(b.column(0).to_pylist())
-            for m, codes in zip((2, 3), histories(_place(words.value, keys)[flat], sizes), strict=True):
-                new, count = np.unique(codes[codes >= 0], return_counts=True)
-                both, at = np.unique(np.concatenate([held[m][0], new]), return_inverse=True)
-                held[m] = both, np.bincount(at, np.concatenate([held[m][1], count]), len(both)).astype(np.int64)
-            if sum(len(x[0]) for x in held.values()) > GATHER:
-                yield from out()
-                held = {m: (x[0][:0], x[1][:0]) for m, x in held.items()}
-        yield from out()
+def _ask_triples(shards: int):
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        b, block = Block(texts, answers), key[0].as_py()
+        pairs, seen, own = b.pairs()
+        first, last = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        # What the block's own arcs add to their histories: arcs, their counts, and their last words' counts.
+        n = b.counts[b.words]
+        sums = np.zeros((len(b.words), 3), np.int64)
+        for i, x in enumerate((np.ones(len(pairs), np.int64), seen, n[last])):
+            np.add.at(sums[:, i], first[own], x[own])
+        keys = b.keys[b.words]
+        by = _ordered(keys)
+        words = _blobs(block, 2, shards, keys[by], sums[by])
+        codes, count = b.counted(b.three)
+        head, tail = _place(pairs, codes >> BITS), _place(pairs, codes & ((1 << 2 * BITS) - 1))
+        ok = (head >= 0) & (tail >= 0)
+        codes, count, head, tail = codes[ok], count[ok], head[ok], tail[ok]
+        whole = b.key(pairs)
+        rank = np.empty(len(pairs), np.int64)
+        rank[by := _ordered(whole)] = np.arange(len(pairs))
+        size = np.bincount(rank[head], minlength=len(pairs)) if len(pairs) else np.zeros(0, np.int64)
+        triples = joined(whole[head], b.keys[b.words[codes & ((1 << BITS) - 1)]])
+        to = np.lexsort((triples.view(np.uint64), rank[head]))
+        triples = triples[to]
+        told = np.stack([seen, n[last], size[rank]], axis=1)[by]
+        return pa.concat_tables([words, _blobs(block, 3, shards, whole[by], told, size, (triples, np.stack([count, seen[tail]], axis=1)[to]))])
 
     return run
 
 
-def _score(model, n_all: int, n_words: int):
+def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    got = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(got) if got else None
+
+
+def _given(table: pa.Table, kind: int, keys: np.ndarray, counts: np.ndarray, use: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Answers to each ask: those of its keys that are used, with their values."""
+    ends = np.cumsum(counts)
+    for block, a, z in zip(table.column("block").to_pylist(), ends - counts, ends, strict=True):
+        k = np.flatnonzero(use[a:z]) + a
+        if len(k):
+            yield _answer(block, kind, 0, keys[k], np.ascontiguousarray(values[k]))
+
+
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array([int.from_bytes(x[:8], "little") for x in column.to_pylist()], np.int64)
+
+
+def _tell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asks for pairs -> (count, whether the block owns it) of those that are arcs."""
+    t = _gathered(batches)
+    if t is None:
+        return
+    keys, n = _named(t.column("a")), _numbers(t.column("b"))[:, 0]
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, at, n)
+    owner = np.zeros(len(keys), np.int64)
+    owner[first] = 1
+    yield from _given(t, 1, keys, _lengths(t.column("a")), total[at] >= TWICE, np.stack([total[at], owner], axis=1))
+
+
+def _tell_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asks for words and pairs as histories, and for triples -> sums of words' arcs; failure weights of pairs that have
+    arcs, and weights of arcs of three words, both as the bits of a float."""
+    t = _gathered(batches)
+    if t is None:
+        return
+    kinds = t.column("kind").to_numpy()
+    words, pairs = t.take(np.flatnonzero(kinds == 2)), t.take(np.flatnonzero(kinds == 3))
+    keys, sums = _named(words.column("a")), _numbers(words.column("b"), 3)
+    found, at = np.unique(keys, return_inverse=True)
+    total = np.zeros((len(found), 3), np.int64)
+    np.add.at(total, at, sums)
+    yield from _given(words, 2, keys, _lengths(words.column("a")), total[at, 0] > 0, total[at])
+    keys, told = _named(pairs.column("a")), _numbers(pairs.column("b"), 3)
+    triples, counts = _named(pairs.column("c")), _numbers(pairs.column("d"), 2)
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    seen, below = told[first, 0], told[first, 1]
+    _, some, to = np.unique(triples, return_index=True, return_inverse=True)
+    n = np.zeros(len(some), np.int64)
+    np.add.at(n, to, counts[:, 0])
+    arc = n >= TWICE
+    history = np.repeat(at, told[:, 2])[some]
+    p = (n - DISCOUNT) / seen[history]
+    kept = np.bincount(history[arc], p[arc], len(first))
+    given = np.bincount(history[arc], ((counts[some, 1] - DISCOUNT) / below[history])[arc], len(first))
+    state = np.bincount(history[arc], minlength=len(first)) > 0
+    failure = np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - given, 1e-9)).view(np.int64)
+    yield from _given(pairs, 3, keys, _lengths(pairs.column("a")), state[at], failure[at])
+    yield from _given(pairs, 3, triples, _lengths(pairs.column("c")), arc[to], np.log10(p, where=arc, out=np.zeros(len(p))).view(np.int64)[to])
+
+
+def _score(n_all: int, n_words: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    def machine(b: Block) -> Automaton:
+        """The block's part of the automaton."""
+        pairs, seen, _ = b.pairs()
+        n = b.counts[b.words]
+        weights = np.log10((seen - DISCOUNT) / n[pairs >> BITS])
+        at, sums = b.told(2, b.keys[b.words], 3)
+        states = np.flatnonzero(at >= 0)
+        arcs, kept, given = sums[at[states]].T
+        failures = np.log10(np.maximum(1 - (kept - DISCOUNT * arcs) / n[states], 1e-9) / np.maximum(1 - (given - DISCOUNT * arcs) / n_all, 1e-9)) if len(states) else np.zeros(0)
+        whole = b.key(pairs)
+        at, told = b.told(3, whole)
+        ok = at >= 0
+        codes = np.unique(b.three[b.three >= 0])
+        head = _place(pairs, codes >> BITS)
+        codes, head = codes[head >= 0], head[head >= 0]
+        to, _ = b.told(3, joined(whole[head], b.keys[b.words[codes & ((1 << BITS) - 1)]]))
+        told = told[:, 0].copy().view(np.float64)
+        return Automaton(b.keys[b.words], [pairs, codes[to >= 0]], [weights, told[to[to >= 0]]], [states, pairs[ok]], [failures, told[at[ok]]])
+
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        machine: Automaton = model.value
-        out = np.array(texts.column("held_out").to_pylist(), bool)
-        keys, flat, sizes = numbered(texts.column("text").to_pylist())
-        learned = flat[np.repeat(~out, sizes)]
-        c = np.bincount(learned, minlength=len(keys))
-        told, sums = answers.column("key").to_numpy(), answers.column("n").to_numpy()
-        by = np.argsort(told)
-        at = _place(told[by], keys)
-        c = np.where(at >= 0, sums[by][at] if len(by) else 0, c)
+        b = Block(texts, answers)
+        c, flat, sizes = b.counts, b.flat, b.sizes
         base = np.log10((c + 1) / (n_all + n_words + 1))
         # From the empty history: discounted counts, and one arc for all words that were not learned.
         rest = DISCOUNT * n_words / n_all if n_all else 1.0
         single = np.log10(np.where(c > 0, np.maximum(c - DISCOUNT, 0) / max(1, n_all), rest))
-        chance = machine.traverse(_place(machine.words, keys)[flat], sizes, single[flat])
+        chance = machine(b).traverse(b.frequent, sizes, single[flat])
         doc = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda w: np.bincount(doc, w, len(sizes))
         cols = [pa.array(sizes), pa.array(add((c > 0)[flat]).astype(np.int64)), pa.array(np.full(len(sizes), n_all, np.int64)), pa.array(add(base[flat])), pa.array(add(chance))]
@@ -261,20 +464,19 @@ def score(docs: DataFrame, out: str = "held_out") -> DataFrame:
     asks = staged(dealt.select("held_out", "text", "block", "part").repartition(blocks, "part").mapInArrow(_asks, "key long, block int, n long"), "asks")
     release(spark)
     sums = asks.agg(F.sum("n"), F.count("*")).first()
-    n_all, least = sums[0] or 0, max(TWICE, math.ceil((sums[0] or 0) * LEAST))
-    answers = staged(asks.repartition(max(shuffle_partitions(spark), sums[1] >> 20), "key").mapInArrow(_answers(least), "key long, block int, n long"), "answers")
+    n_all = sums[0] or 0
+    answers = staged(asks.repartition(max(shuffle_partitions(spark), sums[1] >> 20), "key").mapInArrow(_answers, ANSWERS), "answers")
     unstage(asks)
     release(spark)
     n_words = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
-    top = answers.where("block = -2").toArrow().sort_by("key")
-    words, counts = top.column("key").to_numpy(), top.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(words)
-    grams = rows.where("not held_out").select("text").mapInArrow(_grams(shared), "m int, code long, n long").groupBy("m", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by("code")
-    m, code, n = (grams.column(x).to_numpy() for x in ("m", "code", "n"))
-    model = spark.sparkContext.broadcast(Automaton.of(words, counts, [(code[m == k], n[m == k]) for k in (2, 3)], n_all))
+    told = answers.where("block >= 0")
+    texts = dealt.drop("part").groupBy("block")
+    for ask, tell in ((_ask_pairs, _tell_pairs), (_ask_triples, _tell_triples)):
+        asked = texts.cogroup(told.groupBy("block")).applyInArrow(ask(blocks), ASKS)
+        told = told.unionByName(staged(asked.repartition(blocks, "shard").mapInArrow(tell, ANSWERS), "arcs"))
+        release(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = dealt.drop("part").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-    return met.applyInArrow(_score(model, n_all, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.cogroup(told.groupBy("block")).applyInArrow(_score(n_all, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,38 @@ def test_automaton_is_a_distribution_and_walks_like_a_machine():
     assert np.allclose(got, want)
 
 
+def test_arcs_do_not_depend_on_how_much_is_learned(spark):
+    """Scores are those of one automaton of all n-grams seen twice, also where a share of 2e-6 of all would be more."""
+    r = random.Random(4)
+    texts = [(i, " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(1, 40))), i % 5 == 0) for i in range(400)]
+    texts += [(500 + i, "one rare line of text", False) for i in range(3)] + [(600, "one rare line of text", True)]
+    texts += [(1000 + i, "w " * 60_000, False) for i in range(40)]
+    rows = [([*t.split(), ""], out) for _, t, out in texts]
+    names = sorted({w for t, _ in rows for w in t})
+    ids = {w: i for i, w in enumerate(names)}
+    count, grams = np.zeros(len(names), np.int64), [{}, {}]
+    for t, out in rows:
+        if not out:
+            for i, w in enumerate(t):
+                count[ids[w]] += 1
+                for m in (2, 3):
+                    if i >= m - 1:
+                        code = 0
+                        for x in t[i - m + 1 : i + 1]:
+                            code = code << lm_scoring.BITS | ids[x]
+                        grams[m - 2][code] = grams[m - 2].get(code, 0) + 1
+    kept = [sorted((c, n) for c, n in g.items() if n >= 2) for g in grams]
+    total = int(count.sum())
+    assert total * 2e-6 > 4
+    machine = lm_scoring.Automaton.of(np.arange(len(names)), count, [(np.array([c for c, _ in k]), np.array([n for _, n in k])) for k in kept], total)
+    single = np.log10(np.where(count > 0, np.maximum(count - 0.75, 0) / total, 0.75 * (count > 0).sum() / total))
+    got = {x["doc_id"]: x["score"] for x in lm_scoring.score(docs(spark, texts, ", held_out boolean")).collect()}
+    for (i, _, _), (t, _) in zip(texts, rows, strict=True):
+        flat = np.array([ids[w] for w in t])
+        want = machine.traverse(np.where(count[flat] >= 2, flat, -1), np.array([len(t)]), single[flat]).sum()
+        assert math.isclose(got[i], want, rel_tol=1e-6), i
+
+
 def test_lm_edges_of_input(spark):
     assert lm_scoring.score(docs(spark, [], ", held_out boolean")).count() == 0
     rows = [(None, "a a b", False), (1, "a c", True), (1, "a c", True), (2, "w " * 30_000, False)]
