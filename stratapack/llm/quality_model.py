@@ -2,9 +2,8 @@
 
 The model's n-grams are bytes of lower-cased text, white space as single spaces. Counts, continuation counts, context
 statistics and probabilities are tables dealt by n-gram or context, and every step joins one order's table with its
-contexts and the next lower order. Longest n-grams rarer than LEAST are left to the lower orders, which bounds every
-order's table by 1 / LEAST rows, so the finished tables are sent to the tasks, where a batch's distinct n-grams are
-joined with them. A language's threshold is a high quantile of its trusted documents' perplexities.
+contexts and the next lower order. Every n-gram is kept, however rare. The finished tables are sent to the tasks, where
+a batch's distinct n-grams are joined with them, so they must fit a task and the driver. A language's threshold is a high quantile of its trusted documents' perplexities.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from .common import documents, small_batches, staged
 from .language_id import _plain
 from .suffix_dedup import release
 
-ORDER, LEAST = 5, 2e-6
+ORDER = 5
 #: Quantile of trusted perplexities that a document may reach, and the slack beside it.
 QUANTILE, SLACK = 0.99, 1.25
 #: Bytes of average text that a document's own are mixed with, so that a few bytes decide little.
@@ -81,9 +80,8 @@ def train(trusted: DataFrame) -> DataFrame:
     small_batches(trusted.sparkSession)
     texts = trusted.select(F.col("text").cast("string")).where("text is not null")
     full = staged(texts.mapInArrow(_count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "kn-counts")
-    total = full.agg(F.sum("n")).first()[0] or 0
     release(trusted.sparkSession)
-    tables, discounts = {ORDER: full.where(F.col("n") >= total * LEAST)}, {ORDER: _discounts(full)}
+    tables, discounts = {ORDER: full}, {ORDER: _discounts(full)}
     for m in range(ORDER - 1, 0, -1):  # how many different bytes stand before it
         tables[m] = staged(tables[m + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * m) - 1).alias("g")).agg(F.count("*").alias("n")), f"kn-{m}")
         discounts[m] = _discounts(tables[m])

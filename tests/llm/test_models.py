@@ -201,6 +201,14 @@ def test_kneser_ney_sums_to_one(spark):
         assert math.isclose(np.exp(shards.lookup(keys)).sum(), 1, rel_tol=1e-6)
 
 
+def test_rare_grams_stay_in_a_large_model(spark):
+    texts = [(i, "ab " * 100_000) for i in range(8)] + [(100, "zq")]
+    model = quality_model.train(docs(spark, texts))
+    want = {int.from_bytes((b" " + " ".join(t.split()).encode() + b" ")[max(0, i - 4) : i + 1], "big") for t in ("zq", "ab ab ab") for i in range(1, len(t) + 2)}
+    assert {x["g"] for x in model.where("m = 5 and p is not null").collect()} == want
+    assert math.isclose(np.exp(quality_model.Shards(model).lookup(np.array([int.from_bytes(b"\0\0 z" + bytes([x]), "big") for x in range(256)], np.int64))).sum(), 1, rel_tol=1e-6)
+
+
 def test_quality_keeps_and_rejects(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice(["ba", "lo", "mi", "tu", "ne"]) for _ in range(r.randrange(1, 4)))
