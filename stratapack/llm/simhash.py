@@ -263,7 +263,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
-            good = ((x == y) & (x > 0)).sum(axis=1) >= LIKE * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+            # Texts without a word have nothing to tell them apart.
+            good = ((x == y) & (x > 0)).sum(axis=1) >= LIKE * ((x > 0) | (y > 0)).sum(axis=1)
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
@@ -271,8 +272,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(texts: DataFrame) -> DataFrame:
     """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k.
 
-    Links are those of simhash_components, and those of texts that collide in one of TABLES further searches and are
-    found alike: 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
+    Links are those of texts that collide in the search of simhash_components or in one of TABLES further searches, and
+    are found alike: texts that repeat a line have close fingerprints however else they differ, and 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
     """
     small_batches(texts.sparkSession)
     sig = staged(texts.mapInArrow(_signatures, "k long, fps array<long>, sketch binary").dropDuplicates(["k"]), "signatures")
@@ -282,10 +283,10 @@ def near_copies(texts: DataFrame) -> DataFrame:
     one = links.join(reps.select("t", F.col("fp").alias("u"), F.col("r").alias("a")), ["t", "u"])
     two = one.join(reps.select("t", F.col("fp").alias("v"), F.col("r").alias("b")), ["t", "v"]).select("t", "a", "b")
     same = flat.join(reps.where("n > 1").drop("n"), ["t", "fp"]).where("k <> r").select("t", F.col("k").alias("a"), F.col("r").alias("b"))
-    pairs = staged(two.unionByName(same).where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("t").alias("t")), "pairs")
-    asked = pairs.where("t > 0").join(sig.select(F.col("k").alias("a"), F.col("sketch").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = staged(two.unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.join(sig.select(F.col("k").alias("a"), F.col("sketch").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sketch").alias("y")), "b")
     alike = asked.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long")
-    found = connected_components(alike.unionByName(pairs.where("t = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    found = connected_components(alike)
     unstage(sig)
     return found.withColumnRenamed("node", "k")
 

@@ -123,6 +123,15 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len({want[i] for i in kept if i < 1000}) == 25 and len([i for i in kept if i < 1000]) <= 30
 
 
+def test_texts_that_only_repeat_one_line_stay(spark):
+    r = random.Random(8)
+    line = " ".join(f"same{i}" for i in range(11))
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100)) + f" {line}" * 30) for i in range(20)]
+    close = [int(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4 for (_, a), (_, b) in zip(rows, rows[1:])]
+    assert any(close)
+    assert simhash.stage(spark, spark.createDataFrame([*rows, (30, ""), (31, "  ")], SCHEMA), "").count() == 21
+
+
 def test_simhash_edges_of_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_components(empty).count() == 0
