@@ -11,6 +11,7 @@ chains them in place of emitting pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, shuffle_partitions, small_batches, staged, unstage
 from .components import connected_components
+from .suffix_dedup import release
 
 #: Shingles hashed at a time in one text.
 PIECE = 1 << 16
@@ -216,7 +218,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Further tables of the near-copy search: fingerprints of word pairs, each of hashes of its own.
-TABLES, PAIR = 4, 2
+TABLES, PAIR = 6, 2
+#: Bins of a band: texts whose sketches are equal in one band are compared, too.
+BAND = 8
 #: Words of a shingle by which colliding texts are compared, bins of the sketch that compares them, least estimate: 0.8
 #: less one deviation of an estimate from so many bins.
 COMPARED, BINS, LIKE = 5, 256, 0.775
@@ -272,18 +276,28 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(texts: DataFrame) -> DataFrame:
     """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k.
 
-    Links are those of texts that collide in the search of simhash_components or in one of TABLES further searches, and
-    are found alike: texts that repeat a line have close fingerprints however else they differ, and 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
+    Links are those of texts that collide in the search of simhash_components, in one of TABLES further searches or in a
+    band of their sketches, and are found alike: texts that repeat a line have close fingerprints however else they differ, and 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
     """
     small_batches(texts.sparkSession)
     sig = staged(texts.mapInArrow(_signatures, "k long, fps array<long>, sketch binary").dropDuplicates(["k"]), "signatures")
     flat = sig.select("k", F.posexplode("fps").alias("t", "fp"))
     reps = staged(flat.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")), "fps")
-    links = ball_links(reps.select("t", "fp"))
+    # One table after the other, so that only one's variants are on disk at a time.
+    parts = []
+    for t in range(TABLES + 1):
+        parts.append(staged(ball_links(reps.where(F.col("t") == t).select("t", "fp")), "links"))
+        release(texts.sparkSession)
+    links = reduce(DataFrame.unionByName, parts)
     one = links.join(reps.select("t", F.col("fp").alias("u"), F.col("r").alias("a")), ["t", "u"])
     two = one.join(reps.select("t", F.col("fp").alias("v"), F.col("r").alias("b")), ["t", "v"]).select("t", "a", "b")
     same = flat.join(reps.where("n > 1").drop("n"), ["t", "fp"]).where("k <> r").select("t", F.col("k").alias("a"), F.col("r").alias("b"))
-    pairs = staged(two.unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # 0.8 alike, a band of eight bins is equal with a chance of 0.17, so one of the 32 is in over 99 of 100 pairs.
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), lambda i: F.struct(i.alias("t"), F.substring("sketch", i * (2 * BAND) + 1, F.lit(2 * BAND)).alias("s")))
+    cells = sig.select("k", F.explode(bands).alias("x")).where(F.col("x.s") != F.lit(bytes(2 * BAND))).select("k", "x.t", F.xxhash64("x.s", "x.t").alias("fp"))
+    heads = cells.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")).where("n > 1").drop("n")
+    banded = cells.join(heads, ["t", "fp"]).select("t", F.col("k").alias("a"), F.col("r").alias("b"))
+    pairs = staged(two.unionByName(same).unionByName(banded).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.join(sig.select(F.col("k").alias("a"), F.col("sketch").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sketch").alias("y")), "b")
     alike = asked.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long")
     found = connected_components(alike)

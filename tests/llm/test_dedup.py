@@ -123,6 +123,18 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len({want[i] for i in kept if i < 1000}) == 25 and len([i for i in kept if i < 1000]) <= 30
 
 
+def test_pairs_at_the_least_likeness_are_found(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(40):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        other = [x if i % 62 or not i else f"v{i}" for i, x in enumerate(base)]
+        grams = [{tuple(t[i : i + 5]) for i in range(396)} for t in (base, other)]
+        assert 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.87
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((base, other))]
+    assert simhash.stage(spark, spark.createDataFrame(rows, SCHEMA), "").count() <= 42
+
+
 def test_texts_that_only_repeat_one_line_stay(spark):
     r = random.Random(8)
     line = " ".join(f"same{i}" for i in range(11))
