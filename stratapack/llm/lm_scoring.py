@@ -1,482 +1,375 @@
 """Scores of texts under a weighted backoff automaton of word n-grams.
 
-States are histories of up to two words, arcs the n-grams that extend them. A state's failure arc leads to the history
-without its first word and weighs what smoothing leaves for the words that the state has no arc for. From the empty
-history there is an arc for every word that was learned and one for all others. A text is traversed once from left
-to right: each token takes its arc, after as many failure arcs as it needs, and the weights add up.
-
-N-grams of two and three words are arcs if they are seen TWICE or more, however large the corpus is. No table of words
-or arcs is ever gathered in one place: texts are dealt into blocks by their hash, and each block asks for what its own
-texts need. Asks are summed by word, then by pair, then by the first two words of a triple, in as many shards as there
-are blocks, and each block gets its answers beside its texts, which are its part of the automaton. A pair that is no arc
-is in no triple that is one, so only triples of two arcs are asked for. A pair's arc is owned by one of the blocks that
-ask for it, which adds it to the sums of its history.
+The model is a hierarchy of Dirichlet-smoothed n-grams of up to three words (MacKay and Peto 1995): a word's chance after
+a history is (count + strength * chance after the shorter history) / (history's count + strength). Compiled to an
+automaton, every history that was seen is a state, every n-gram that was seen is an arc, and a state's failure arc leads
+to the history without its first word and weighs strength / (count + strength). From the empty history there is an arc
+for every learned word and one for all others. A text is traversed once from left to right: the state is carried, each
+token takes the state's arc or falls back over failure arcs until one is found, and the weights add up.
+
+Every n-gram is an arc, however rare, and no table of them is ever gathered in one place:
+
+- Texts are read once and become blocks where they lie, a row for each: numbers of words, and the words' hashes.
+- A block asks for the counts of its distinct n-grams. Asks are dealt by the n-gram's hash, so a frequent n-gram is one
+  ask from each block and no shard is hot. A shard adds up and answers in the order of the asks, without the keys.
+- The answers meet their block, which builds its own part of the automaton from them and traverses its texts.
+
+A block asks each shard at most once, so there are never more asks than n-grams, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shuffle_partitions, small_batches, staged, unstage
 from .language_id import held_out
-from .suffix_dedup import release
-
-#: Bytes of text in a block, and blocks at least.
-BLOCK, BLOCKS = 8 << 20, 64
-#: Least count of an n-gram of two or three words, and what a count is discounted by.
-TWICE, DISCOUNT = 2, 0.75
-#: Bits of a word's number within a block in an n-gram's code.
-BITS = 21
+
+#: Bytes of text in a block; longer texts go on in the next.
+BLOCK = 12 << 20
+#: N-grams that a shard adds up on average at most.
+SHARD = 1 << 21
+#: What histories of one and of two words are smoothed with; the empty one counts every learned word, and all others
+#: together, once more than they are seen.
+STRENGTHS = (64.0, 16.0)
+#: Bits of an n-gram's key beyond those that number all n-grams: two get one key with a chance of 2 ** -SPARE.
+SPARE = 24
+#: Tokens that a text is traversed by at a time.
+SEGMENT = 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
-ASKS = "shard int, block int, kind int, a binary, b binary, c binary, d binary"
-ANSWERS = "block int, kind int, n long, a binary, b binary"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64).astype(np.int64)
+    return np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64)
 
 
 #: The end token; a word has no space.
 END = hashes([b" "])[0]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of n-grams, of the keys of all but their last words and of their last words."""
+    x = first * _ODD[0] + (last ^ _ODD[1]) * _ODD[2]
+    x ^= x >> np.uint64(32)
+    x *= _ODD[1]
+    x ^= x >> np.uint64(29)
+    x *= _ODD[2]
+    return x ^ (x >> np.uint64(32))
+
+
+def slices(text: str | None, size: int) -> Iterator[list[bytes]]:
+    """A text's words in parts of about size bytes; at least one part."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+    while True:
+        cut = _SPACE.search(raw, at + size) if at + size < len(raw) else None
+        if cut is None:
+            yield raw[at:].split()
+            return
+        yield raw[at : cut.start()].split()
+        at = cut.end()
+
+
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers as bytes, rising ones as differences: equal places of all numbers stand together."""
+    flat = x.astype(np.uint64)
+    flat = np.diff(flat, prepend=np.uint64(0)) if rising else flat
+    width = max(1, (int(flat.max()).bit_length() + 7) // 8) if len(flat) else 1
+    planes = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(flat).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, rising: bool = False) -> np.ndarray:
+    n, width = int.from_bytes(raw[:8], "little"), raw[8]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    flat = out.view("<u8").reshape(-1).astype(np.uint64)
+    return np.cumsum(flat, dtype=np.uint64) if rising else flat
+
+
+BLOCKS = "block long, rows array<long>, ids array<{}>, out array<boolean>, n_train long, n_tokens long, keys binary, flat binary, sizes binary, leads binary"
+
+
+class _Gather:
+    """The block that a task is filling."""
+
+    def __init__(self, number: int):
+        self.number, self.words, self.size = number, {}, 0
+        self.rows, self.ids, self.out, self.parts, self.sizes, self.leads = [], [], [], [], [], []
+        self.ends: list[bool] = []
+
+    def add(self, row: int, doc: object, out: bool, lead: list[bytes], words: list[bytes], end: bool) -> None:
+        known, part = self.words, lead + words
+        for w in set(part).difference(known):
+            known[w] = len(known)
+        self.parts.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
+        self.rows.append(row)
+        self.ids.append(doc)
+        self.out.append(out)
+        self.leads.append(len(lead))
+        self.ends.append(end)
+        self.size += sum(map(len, words)) + len(words) + 1
+
+    def row(self, kind: pa.DataType) -> pa.RecordBatch:
+        last = np.array([len(self.words)])
+        flat = [np.append(p, last) if e else p for p, e in zip(self.parts, self.ends, strict=True)]
+        sizes, leads, out = np.array([len(p) for p in flat]), np.array(self.leads), np.array(self.out, bool)
+        keys = np.append(hashes(list(self.words)), END)
+        own = sizes - leads
+        cols = [pa.array([self.number]), pa.array([self.rows], pa.list_(pa.int64())), pa.array([self.ids], pa.list_(kind)), pa.array([self.out], pa.list_(pa.bool_())), pa.array([int(own[~out].sum())]), pa.array([int(sizes.sum())])]
+        cols += [pa.array([x], pa.binary()) for x in (packed(keys), packed(np.concatenate(flat)), packed(sizes), packed(leads))]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "rows", "ids", "out", "n_train", "n_tokens", "keys", "flat", "sizes", "leads"])
+
+
+def _blocks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts (doc_id, held_out, text) -> blocks. Two words stand before the part of a text that goes on in a block."""
+        number, seen, kind = TaskContext.get().partitionId() << 32, 0, None
+        block = _Gather(number)
+        for b in batches:
+            kind = b.schema.field(0).type
+            for doc, out, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                row, lead, left = number | seen, [], None
+                seen += 1
+                for words in slices(text, size):
+                    if left is not None:
+                        block.add(row, doc, out, lead, left, False)
+                        lead, left = (lead + left)[-2:], words
+                        yield block.row(kind)
+                        block = _Gather(block.number + 1)
+                    else:
+                        left = words
+                block.add(row, doc, out, lead, left, True)
+                if block.size >= size:
+                    yield block.row(kind)
+                    block = _Gather(block.number + 1)
+        if block.rows:
+            yield block.row(kind)
 
+    return run
 
-def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct tokens (END is the last), all texts' tokens as their numbers, and each text's length."""
-    ids: dict[bytes, int] = {}
-    rows = []
-    for text in texts:
-        words = tokens(text)
-        for w in set(words).difference(ids):
-            ids[w] = len(ids)
-        rows.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-    last = np.array([len(ids)], np.int32)
-    flat = np.concatenate([x for r in rows for x in (r, last)]) if rows else np.empty(0, np.int32)
-    return np.append(hashes(list(ids)), END), flat, np.array([len(r) + 1 for r in rows], np.int64)
 
+@dataclass
+class Grams:
+    """Distinct n-grams of one order: the place of each in the order of keys, their keys in that order, how often each
+    is learned from, and of each token the n-gram that ends there (-1: none)."""
+
+    by: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
+    of: np.ndarray
+
+    def told(self, totals: np.ndarray) -> np.ndarray:
+        """Answers in the order of keys -> by n-gram."""
+        out = np.empty(len(totals), np.int64)
+        out[self.by] = totals
+        return out
 
-def _place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
 
+class Texts:
+    """A block's tokens, and its n-grams of one, two and three words."""
+
+    def __init__(self, keys: bytes, flat: bytes, sizes: bytes, leads: bytes, out: list[bool], bits: int):
+        self.words, self.flat, self.sizes, self.leads = unpacked(keys), *(unpacked(x).astype(np.int64) for x in (flat, sizes, leads))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        since = np.arange(len(self.flat)) - np.repeat(self.starts, self.sizes)
+        self.own = since >= np.repeat(self.leads, self.sizes)
+        self.learned = self.own & np.repeat(~np.array(out, bool), self.sizes)
+        shift = np.uint64(64 - bits)
+        n = np.bincount(self.flat[self.learned], minlength=len(self.words))
+        by = np.argsort(self.words)
+        one = Grams(by, self.words[by], n[by], self.flat)
+        pair_codes, two, whole = self._grams(self.flat, since >= 1, self.words, shift)
+        triple_codes, three, _ = self._grams(two.of, since >= 2, whole, shift)
+        self.orders, self.pairs, self.triples = (one, two, three), pair_codes, triple_codes
+
+    def _grams(self, history: np.ndarray, ok: np.ndarray, keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, Grams, np.ndarray]:
+        """Codes (number of the history, then of the word) and n-grams of the next order, of the histories that end at
+        each token, and the n-grams' full keys by number."""
+        at = np.flatnonzero(ok)
+        codes, back = np.unique((history[at - 1] << 32) | self.flat[at], return_inverse=True)
+        of = np.full(len(self.flat), -1)
+        of[at] = back
+        n = np.bincount(back, self.learned[at], len(codes)).astype(np.int64) if len(codes) else np.empty(0, np.int64)
+        whole = joined(keys[codes >> 32], self.words[codes & 0xFFFFFFFF])
+        short = whole >> shift
+        by = np.argsort(short)
+        return codes, Grams(by, short[by], n[by], of), whole
+
+
+def _cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Places at which keys in order pass to the next shard."""
+    edges = [-(-(s << bits) // shards) for s in range(1, shards)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+
+
+ASKS, ANSWERS = "shard int, block long, kind int, a binary, b binary", "shard int, block long, kind int, n long, a binary"
+
+
+def _ask(shards: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, out, *parts in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                texts = Texts(*parts, out, bits)
+                for kind, g in enumerate(texts.orders):
+                    cuts = _cuts(g.keys, 64 if kind == 0 else bits, shards)
+                    own = np.flatnonzero(np.diff(cuts))
+                    part = lambda x, rising: pa.array([packed(x[cuts[i] : cuts[i + 1]], rising) for i in own], pa.binary())  # noqa: B023, E731
+                    cols = [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), block)), pa.array(np.full(len(own), kind, np.int32)), part(g.keys, True), part(g.n, False)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "block", "kind", "a", "b"])
+
+    return run
 
-def histories(frequent: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the two- and three-token n-grams that end at each token of texts, -1 where a token is not frequent or
-    belongs to the text before. frequent: the tokens' numbers among frequent words, or -1."""
-    n = len(frequent)
-    since = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    two, three = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    ok = (since[1:] >= 1) & (frequent[1:] >= 0) & (frequent[:-1] >= 0)
-    two[1:][ok] = (frequent[:-1][ok] << BITS) | frequent[1:][ok]
-    ok = (since[2:] >= 2) & (two[1:-1] >= 0) & (two[2:] >= 0)
-    three[2:][ok] = (two[1:-1][ok] << BITS) | frequent[2:][ok]
-    return two, three
+
+def _tell(key: tuple, asks: pa.Table) -> pa.Table:
+    """A shard's asks -> sums in the order of each ask; to block -1 the number of words with a count."""
+    out: list[tuple] = []
+    kinds = asks.column("kind").to_numpy()
+    for kind in range(3):
+        rows = asks.take(np.flatnonzero(kinds == kind))
+        if not rows.num_rows:
+            continue
+        keys = [unpacked(x, True) for x in rows.column("a").to_pylist()]
+        sizes = [len(k) for k in keys]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpacked(x) for x in rows.column("b").to_pylist()]).astype(np.float64), len(found)).astype(np.int64)
+        if kind == 0:
+            out.append((-1, 0, int((total > 0).sum()), b""))
+        out += [(block, kind, 0, packed(t)) for block, t in zip(rows.column("block").to_pylist(), np.split(total[at], np.cumsum(sizes)[:-1]), strict=True)]
+    cols = [pa.array([key[0].as_py()] * len(out), pa.int32()), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary())))]
+    return pa.table(dict(zip(["shard", "block", "kind", "n", "a"], cols, strict=True)))
 
 
 @dataclass
 class Automaton:
-    """words: keys of frequent words, sorted. Per order 2 and 3: codes of arcs and their log10 weights, codes of states
-    that have arcs and the log10 weights of their failure arcs."""
+    """States: 0 the empty history, then the words, then the pairs of words. Arcs of one word leave the empty history,
+    arcs of two words leave a word's state, arcs of three words a pair's. fail, lower: weight and end of a state's
+    failure arc. weights, sources, nexts: by order, each arc's log10 weight and the states it leaves and leads to; arcs
+    that do not exist leave none (-1)."""
 
-    words: np.ndarray
-    arcs: list[np.ndarray]
+    fail: np.ndarray
+    lower: np.ndarray
     weights: list[np.ndarray]
-    states: list[np.ndarray]
-    failures: list[np.ndarray]
+    sources: list[np.ndarray]
+    nexts: list[np.ndarray]
 
     @classmethod
-    def of(cls, words: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], total: int) -> Automaton:
-        """From the counts of frequent words, of n-grams of two and of three tokens, and of all tokens."""
-        out = cls(words, [], [], [], [])
-        mask = (1 << BITS) - 1
-        one = np.maximum(counts - DISCOUNT, 0) / max(1, total)
-        below, held = None, (np.arange(len(words)), counts)
-        for codes, n in grams:
-            states, own = np.unique(codes >> BITS, return_inverse=True)
-            history = held[1][_place(held[0], states)] if len(states) else np.empty(0)
-            p = (n - DISCOUNT) / history[own] if len(codes) else np.empty(0)
-            # What the shorter history gives to the same words is what the failure arc must not give again.
-            low = one[codes & mask] if below is None else np.array([below(int(c)) for c in codes])
-            kept, given = np.bincount(own, p, len(states)), np.bincount(own, low, len(states))
-            out.arcs.append(codes)
-            out.weights.append(np.log10(p))
-            out.states.append(states)
-            out.failures.append(np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - given, 1e-9)))
-            two, held = out.arcs[0], (codes, n)
-
-            def below(code: int, two=two) -> float:
-                code &= (1 << 2 * BITS) - 1
-                at = int(np.searchsorted(two, code))
-                if at < len(two) and two[at] == code:
-                    return float(10 ** out.weights[0][at])
-                at = int(_place(out.states[0], np.array([code >> BITS]))[0])
-                return float(one[code & mask]) * (10 ** out.failures[0][at] if at >= 0 else 1.0)
-
-        return out
-
-    def traverse(self, frequent: np.ndarray, sizes: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """log10 of each token's chance after those before it in its text; single: its chance from the empty history.
-
-        A state depends on the two tokens before alone, so all texts of a block advance at once."""
-        out, two, three = np.zeros(len(frequent)), *histories(frequent, sizes)
-        prev = np.full(len(frequent), -1, np.int64)
-        prev[1:] = two[:-1]
-        last = np.full(len(frequent), -1, np.int64)
-        last[1:] = frequent[:-1]
-        first = np.cumsum(sizes) - sizes
-        prev[first], last[first] = -1, -1
-        left = np.ones(len(frequent), bool)
-        for order, (codes, state) in ((1, (three, prev)), (0, (two, last))):
-            here = np.flatnonzero(left & (state >= 0))
-            at = _place(self.arcs[order], codes[here])
-            found = at >= 0
-            out[here[found]] += self.weights[order][at[found]]
-            left[here[found]] = False
-            lost = here[~found]
-            at = _place(self.states[order], state[lost])
-            out[lost[at >= 0]] += self.failures[order][at[at >= 0]]
-        out[left] += single[left]
+    def of(cls, counts: list[np.ndarray], pairs: np.ndarray, triples: np.ndarray, tails: np.ndarray, n_all: int, n_words: int) -> Automaton:
+        """counts: of words, pairs and triples; pairs, triples: codes; tails: of each triple, its last pair."""
+        one, two, three = counts
+        n, mask = len(one), 0xFFFFFFFF
+        p1 = (one + 1) / (n_all + n_words + 1)
+        u, w = pairs >> 32, pairs & mask
+        p2 = (two + STRENGTHS[0] * p1[w]) / (one[u] + STRENGTHS[0])
+        h = triples >> 32
+        p3 = (three + STRENGTHS[1] * p2[tails]) / (two[h] + STRENGTHS[1])
+        fail = np.concatenate([[0.0], np.log10(STRENGTHS[0] / (one + STRENGTHS[0])), np.log10(STRENGTHS[1] / (two + STRENGTHS[1]))])
+        lower = np.concatenate([[0], np.zeros(n, np.int64), 1 + w])
+        seen = lambda c, s: np.where(c > 0, s, -1)
+        # A word that was never learned leads to the empty history over the arc for all such words.
+        nexts = [np.where(one > 0, 1 + np.arange(n), 0), 1 + n + np.arange(len(pairs)), 1 + n + tails]
+        return cls(fail, lower, [np.log10(p1), np.log10(p2), np.log10(p3)], [np.zeros(n, np.int64), seen(two, 1 + u), seen(three, 1 + n + h)], nexts)
+
+    def traverse(self, arcs: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each token's log10 weight. arcs: by order, the arc of each token's n-gram (-1: none), by which a step looks
+        the state's arc up. Texts are cut in segments that are entered two tokens early, as a state knows no more; all
+        segments take each step together."""
+        out = np.zeros(len(arcs[0]))
+        count = -(-sizes // SEGMENT)
+        text = np.repeat(np.arange(len(sizes)), count)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        stop = np.minimum(first + SEGMENT, sizes[text])
+        enter = np.maximum(first - 2, 0)
+        by = np.argsort(enter - stop, kind="stable")
+        at, own, length = (starts[text] + enter)[by], (first - enter)[by], (stop - enter)[by]
+        state = np.zeros(len(by), np.int64)
+        live = len(by) - np.searchsorted(length[::-1], np.arange(length[0] if len(by) else 0), side="right")
+        for t, k in enumerate(live.tolist()):
+            place, s = at[:k] + t, state[:k].copy()
+            weight, to, open_ = np.zeros(k), np.zeros(k, np.int64), np.arange(k)
+            for order in (2, 1):
+                # Only states of this order have such arcs; others fall through.
+                arc = arcs[order][place[open_]]
+                met = (arc >= 0) & (self.sources[order][arc] == s[open_]) if len(self.sources[order]) else np.zeros(len(open_), bool)
+                hit = open_[met]
+                weight[hit] += self.weights[order][arc[met]]
+                to[hit] = self.nexts[order][arc[met]]
+                open_ = open_[~met]
+                # A state of this order that has no arc for the token falls back.
+                falls = open_[s[open_] > (len(self.weights[0]) if order == 2 else 0)]
+                weight[falls] += self.fail[s[falls]]
+                s[falls] = self.lower[s[falls]]
+            arc = arcs[0][place[open_]]
+            weight[open_] += self.weights[0][arc]
+            to[open_] = self.nexts[0][arc]
+            state[:k] = to
+            keep = own[:k] <= t
+            out[place[keep]] = weight[keep]
         return out
 
 
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (held_out, text, block), a block's texts in one task -> (key, block, n): its words, counted in training."""
-    blocks: dict[int, tuple[dict[bytes, int], list[np.ndarray]]] = {}
-    ends: dict[int, int] = {}
-    for b in batches:
-        for out, text, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            ids, rows = blocks.setdefault(block, ({}, []))
-            words = tokens(text)
-            for w in set(words).difference(ids):
-                ids[w] = len(ids)
-            if not out:
-                ends[block] = ends.get(block, 0) + 1
-                rows.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-    for block, (ids, rows) in blocks.items():
-        n = np.bincount(np.concatenate(rows), minlength=len(ids)) if rows else np.zeros(len(ids), np.int64)
-        keys = np.append(hashes(list(ids)), END)
-        yield _rows(keys, np.full(len(keys), block, np.int32), np.append(n, ends.get(block, 0)).astype(np.int64))
-
-
-def _rows(keys: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks.astype(np.int32)), pa.array(n)], names=["key", "block", "n"])
-
-
-def packed(x: np.ndarray, keys: bool = False) -> bytes:
-    """Rows of numbers as bytes: columns one after the other, keys as differences, equal places of all numbers together."""
-    flat = np.ascontiguousarray(x.T).reshape(-1).view(np.uint64)
-    flat = np.diff(flat, prepend=np.uint64(0)) if keys else flat
-    return len(x).to_bytes(8, "little") + pa.compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(raw: bytes, width: int = 1, keys: bool = False) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n * width, "zstd", asbytes=True), np.uint8)
-    flat = np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64)
-    return (np.cumsum(flat, dtype=np.uint64) if keys else flat).view(np.int64).reshape(width, -1).T
-
-
-def _answer(block: int, kind: int, n: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), pa.array([packed(a, True)], pa.binary()), pa.array([packed(b)], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["block", "kind", "n", "a", "b"])
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Asks of all blocks for some words -> sums, to blocks that have not counted all themselves; to block -1 the
-    number of words with a count."""
-    got = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
-    if not got:
-        return
-    key, block, n = (np.concatenate([x[i] for x in got]) for i in range(3))
-    words, at = np.unique(key, return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, at, n)
-    yield _answer(-1, 0, int((total > 0).sum()), key[:0], n[:0])
-    other = total[at] != n
-    key, block, n = key[other], block[other], total[at][other]
-    by = np.lexsort((key.view(np.uint64), block))
-    key, block, n = key[by], block[by], n[by]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    for k, o, m in zip(np.split(key, cuts), np.split(block, cuts), np.split(n, cuts), strict=True):
-        if len(k):
-            yield _answer(int(o[0]), 0, 0, k, m)
-
-
-def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Keys of n-grams, of the keys of all but their last words and of their last words."""
-    x = first.view(np.uint64) * _ODD[0] + (last.view(np.uint64) ^ _ODD[1]) * _ODD[2]
-    x ^= x >> np.uint64(32)
-    x *= _ODD[1]
-    x ^= x >> np.uint64(29)
-    x *= _ODD[2]
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
-
-
-def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys.view(np.uint64) >> np.uint64(33)) * np.uint64(shards) >> np.uint64(31)).astype(np.int32)
-
-
-def _numbers(column: pa.ChunkedArray | pa.Array, width: int = 1) -> np.ndarray:
-    """Rows of width numbers, of all blobs of a column."""
-    return np.concatenate([np.empty((0, width), np.int64), *[unpacked(x, width) for x in column.to_pylist()]])
-
-
-def _named(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Keys of all blobs of a column."""
-    return np.concatenate([np.empty(0, np.int64), *[unpacked(x, keys=True)[:, 0] for x in column.to_pylist()]])
-
-
-class Block:
-    """A block's texts, and what it has been told so far."""
-
-    def __init__(self, texts: pa.Table, answers: pa.Table):
-        self.answers, kinds = answers, answers.column("kind").to_numpy()
-        self.rows = [np.flatnonzero(kinds == k) for k in range(4)]
-        self.out = np.array(texts.column("held_out").to_pylist(), bool)
-        self.keys, self.flat, self.sizes = numbered(texts.column("text").to_pylist())
-        self.learned = np.repeat(~self.out, self.sizes)
-        c = np.bincount(self.flat[self.learned], minlength=len(self.keys))
-        at, sums = self.told(0, self.keys)
-        self.counts = np.where(at >= 0, sums[at, 0] if len(sums) else 0, c)
-        #: Words that may be in an arc, and the codes of the n-grams of them that end at each token.
-        self.words = np.flatnonzero(self.counts >= TWICE)
-        if len(self.words) >> BITS:
-            raise ValueError(f"a block of texts has more than {1 << BITS} words")
-        number = np.full(len(self.keys), -1)
-        number[self.words] = np.arange(len(self.words))
-        self.frequent = number[self.flat]
-        self.two, self.three = histories(self.frequent, self.sizes)
-
-    def told(self, kind: int, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key's answer, or -1, and all answers of a kind."""
-        got = self.answers.take(self.rows[kind])
-        told, values = _named(got.column("a")), _numbers(got.column("b"), width)
-        by = np.argsort(told)
-        return _place(told[by], keys), values[by]
-
-    def counted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct codes, and how often each is learned from."""
-        own = codes >= 0
-        found, at = np.unique(codes[own], return_inverse=True)
-        return found, np.bincount(at, self.learned[own], len(found)).astype(np.int64)
-
-    def key(self, codes: np.ndarray) -> np.ndarray:
-        """Keys of pairs, and of single words, by their codes."""
-        first, last = codes >> BITS, codes & ((1 << BITS) - 1)
-        return joined(self.keys[self.words[first]], self.keys[self.words[last]])
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the arcs of two words, how often they are seen, and whether this block owns them."""
-        codes = np.unique(self.two[self.two >= 0])
-        at, told = self.told(1, self.key(codes), 2)
-        return codes[at >= 0], told[at[at >= 0], 0], told[at[at >= 0], 1] > 0
-
-
-def _blobs(block: int, kind: int, shards: int, keys: np.ndarray, values: np.ndarray, size: np.ndarray | None = None, more: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
-    """Asks by shard: keys in order with their values, and with size, as many further keys and values for each."""
-    cuts = np.searchsorted(_shards(keys, shards), np.arange(shards + 1)) if len(keys) else np.zeros(shards + 1, np.int64)
-    own = np.flatnonzero(np.diff(cuts))
-    part = lambda x, at, keys: pa.array([packed(x[at[i] : at[i + 1]], keys) for i in own], pa.binary())
-    cols = [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), block, np.int32)), pa.array(np.full(len(own), kind, np.int32)), part(keys, cuts, True), part(values, cuts, False)]
-    if size is None:
-        cols += [pa.nulls(len(own), pa.binary())] * 2
-    else:
-        ends = np.concatenate([[0], np.cumsum(size)])[cuts]
-        cols += [part(more[0], ends, True), part(more[1], ends, False)]
-    return pa.table(dict(zip(["shard", "block", "kind", "a", "b", "c", "d"], cols, strict=True)))
-
-
-def _ordered(keys: np.ndarray) -> np.ndarray:
-    return np.argsort(keys.view(np.uint64))
-
-
-def _ask_pairs(shards: int):
-    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(texts, answers)
-        codes, n = b.counted(b.two)
-        keys = b.key(codes)
-        by = _ordered(keys)
-        return _blobs(key[0].as_py(), 1, shards, keys[by], n[by])
-
-    return run
-
-
-def _ask_triples(shards: int):
-    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        b, block = Block(texts, answers), key[0].as_py()
-        pairs, seen, own = b.pairs()
-        first, last = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        # What the block's own arcs add to their histories: arcs, their counts, and their last words' counts.
-        n = b.counts[b.words]
-        sums = np.zeros((len(b.words), 3), np.int64)
-        for i, x in enumerate((np.ones(len(pairs), np.int64), seen, n[last])):
-            np.add.at(sums[:, i], first[own], x[own])
-        keys = b.keys[b.words]
-        by = _ordered(keys)
-        words = _blobs(block, 2, shards, keys[by], sums[by])
-        codes, count = b.counted(b.three)
-        head, tail = _place(pairs, codes >> BITS), _place(pairs, codes & ((1 << 2 * BITS) - 1))
-        ok = (head >= 0) & (tail >= 0)
-        codes, count, head, tail = codes[ok], count[ok], head[ok], tail[ok]
-        whole = b.key(pairs)
-        rank = np.empty(len(pairs), np.int64)
-        rank[by := _ordered(whole)] = np.arange(len(pairs))
-        size = np.bincount(rank[head], minlength=len(pairs)) if len(pairs) else np.zeros(0, np.int64)
-        triples = joined(whole[head], b.keys[b.words[codes & ((1 << BITS) - 1)]])
-        to = np.lexsort((triples.view(np.uint64), rank[head]))
-        triples = triples[to]
-        told = np.stack([seen, n[last], size[rank]], axis=1)[by]
-        return pa.concat_tables([words, _blobs(block, 3, shards, whole[by], told, size, (triples, np.stack([count, seen[tail]], axis=1)[to]))])
-
-    return run
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
-
-
-def _given(table: pa.Table, kind: int, keys: np.ndarray, counts: np.ndarray, use: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Answers to each ask: those of its keys that are used, with their values."""
-    ends = np.cumsum(counts)
-    for block, a, z in zip(table.column("block").to_pylist(), ends - counts, ends, strict=True):
-        k = np.flatnonzero(use[a:z]) + a
-        if len(k):
-            yield _answer(block, kind, 0, keys[k], np.ascontiguousarray(values[k]))
-
-
-def _lengths(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array([int.from_bytes(x[:8], "little") for x in column.to_pylist()], np.int64)
-
-
-def _tell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Asks for pairs -> (count, whether the block owns it) of those that are arcs."""
-    t = _gathered(batches)
-    if t is None:
-        return
-    keys, n = _named(t.column("a")), _numbers(t.column("b"))[:, 0]
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, at, n)
-    owner = np.zeros(len(keys), np.int64)
-    owner[first] = 1
-    yield from _given(t, 1, keys, _lengths(t.column("a")), total[at] >= TWICE, np.stack([total[at], owner], axis=1))
-
-
-def _tell_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Asks for words and pairs as histories, and for triples -> sums of words' arcs; failure weights of pairs that have
-    arcs, and weights of arcs of three words, both as the bits of a float."""
-    t = _gathered(batches)
-    if t is None:
-        return
-    kinds = t.column("kind").to_numpy()
-    words, pairs = t.take(np.flatnonzero(kinds == 2)), t.take(np.flatnonzero(kinds == 3))
-    keys, sums = _named(words.column("a")), _numbers(words.column("b"), 3)
-    found, at = np.unique(keys, return_inverse=True)
-    total = np.zeros((len(found), 3), np.int64)
-    np.add.at(total, at, sums)
-    yield from _given(words, 2, keys, _lengths(words.column("a")), total[at, 0] > 0, total[at])
-    keys, told = _named(pairs.column("a")), _numbers(pairs.column("b"), 3)
-    triples, counts = _named(pairs.column("c")), _numbers(pairs.column("d"), 2)
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    seen, below = told[first, 0], told[first, 1]
-    _, some, to = np.unique(triples, return_index=True, return_inverse=True)
-    n = np.zeros(len(some), np.int64)
-    np.add.at(n, to, counts[:, 0])
-    arc = n >= TWICE
-    history = np.repeat(at, told[:, 2])[some]
-    p = (n - DISCOUNT) / seen[history]
-    kept = np.bincount(history[arc], p[arc], len(first))
-    given = np.bincount(history[arc], ((counts[some, 1] - DISCOUNT) / below[history])[arc], len(first))
-    state = np.bincount(history[arc], minlength=len(first)) > 0
-    failure = np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - given, 1e-9)).view(np.int64)
-    yield from _given(pairs, 3, keys, _lengths(pairs.column("a")), state[at], failure[at])
-    yield from _given(pairs, 3, triples, _lengths(pairs.column("c")), arc[to], np.log10(p, where=arc, out=np.zeros(len(p))).view(np.int64)[to])
-
-
-def _score(n_all: int, n_words: int):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def machine(b: Block) -> Automaton:
-        """The block's part of the automaton."""
-        pairs, seen, _ = b.pairs()
-        n = b.counts[b.words]
-        weights = np.log10((seen - DISCOUNT) / n[pairs >> BITS])
-        at, sums = b.told(2, b.keys[b.words], 3)
-        states = np.flatnonzero(at >= 0)
-        arcs, kept, given = sums[at[states]].T
-        failures = np.log10(np.maximum(1 - (kept - DISCOUNT * arcs) / n[states], 1e-9) / np.maximum(1 - (given - DISCOUNT * arcs) / n_all, 1e-9)) if len(states) else np.zeros(0)
-        whole = b.key(pairs)
-        at, told = b.told(3, whole)
-        ok = at >= 0
-        codes = np.unique(b.three[b.three >= 0])
-        head = _place(pairs, codes >> BITS)
-        codes, head = codes[head >= 0], head[head >= 0]
-        to, _ = b.told(3, joined(whole[head], b.keys[b.words[codes & ((1 << BITS) - 1)]]))
-        told = told[:, 0].copy().view(np.float64)
-        return Automaton(b.keys[b.words], [pairs, codes[to >= 0]], [weights, told[to[to >= 0]]], [states, pairs[ok]], [failures, told[at[ok]]])
-
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(texts, answers)
-        c, flat, sizes = b.counts, b.flat, b.sizes
+def _score(bits: int, n_all: int, n_words: int):
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        own = block.to_pylist()[0]
+        texts = Texts(own["keys"], own["flat"], own["sizes"], own["leads"], own["out"], bits)
+        answers = answers.sort_by([("kind", "ascending"), ("shard", "ascending")])
+        kinds, blobs = answers.column("kind").to_numpy(), answers.column("a").to_pylist()
+        counts = []
+        for kind, g in enumerate(texts.orders):
+            counts.append(g.told(np.concatenate([np.empty(0, np.int64), *[unpacked(blobs[i]).astype(np.int64) for i in np.flatnonzero(kinds == kind)]])))
+        three = texts.orders[2].of
+        tails = np.zeros(len(texts.triples), np.int64)
+        tails[three[three >= 0]] = texts.orders[1].of[three >= 0]
+        machine = Automaton.of(counts, texts.pairs, texts.triples, tails, n_all, n_words)
+        chance = machine.traverse([g.of for g in texts.orders], texts.starts, texts.sizes)
+        c = counts[0]
         base = np.log10((c + 1) / (n_all + n_words + 1))
-        # From the empty history: discounted counts, and one arc for all words that were not learned.
-        rest = DISCOUNT * n_words / n_all if n_all else 1.0
-        single = np.log10(np.where(c > 0, np.maximum(c - DISCOUNT, 0) / max(1, n_all), rest))
-        chance = machine(b).traverse(b.frequent, sizes, single[flat])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        add = lambda w: np.bincount(doc, w, len(sizes))
-        cols = [pa.array(sizes), pa.array(add((c > 0)[flat]).astype(np.int64)), pa.array(np.full(len(sizes), n_all, np.int64)), pa.array(add(base[flat])), pa.array(add(chance))]
-        return pa.table(dict(zip(names, [texts.column("doc_id"), texts.column("held_out"), *cols], strict=True)))
+        part = np.repeat(np.arange(len(texts.sizes)), texts.sizes)[texts.own]
+        flat = texts.flat[texts.own]
+        add = lambda w: np.bincount(part, w, len(texts.sizes))
+        cols = [pa.array(own["rows"], pa.int64()), pa.array(own["ids"], block.schema.field("ids").type.value_type), pa.array(own["out"], pa.bool_()), pa.array(texts.sizes - texts.leads), pa.array(add((c > 0)[flat]).astype(np.int64)), pa.array(add(base[flat])), pa.array(add(chance[texts.own]))]
+        return pa.table(dict(zip(names, cols, strict=True)))
 
     return run
 
 
-def score(docs: DataFrame, out: str = "held_out") -> DataFrame:
+def score(docs: DataFrame, out: str = "held_out", block: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text, and
     the boolean column named by out: not learned from; null is learned from).
 
     Null and white-space texts have the end token only. Repeated rows count as often as they stand. Nothing to learn
-    from: all scores are 0. No rows: no rows. Further columns are ignored.
+    from: all scores are 0. No rows: no rows. Further columns are ignored. Texts longer than block bytes go on in
+    further blocks; their scores are added up.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", F.coalesce(F.col(out), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(BLOCKS, -(-size // BLOCK))
-    # Copies of a text part by their id, so that blocks are alike in size. A block is what repartition() makes one
-    # partition of, so a task holds the words of one block; it gets them right with any other dealing, too.
-    dealt = rows.withColumn("part", F.xxhash64("text", "doc_id")).withColumn("block", F.pmod(F.hash("part"), F.lit(blocks)).cast("int"))
-    asks = staged(dealt.select("held_out", "text", "block", "part").repartition(blocks, "part").mapInArrow(_asks, "key long, block int, n long"), "asks")
-    release(spark)
-    sums = asks.agg(F.sum("n"), F.count("*")).first()
-    n_all = sums[0] or 0
-    answers = staged(asks.repartition(max(shuffle_partitions(spark), sums[1] >> 20), "key").mapInArrow(_answers, ANSWERS), "answers")
-    unstage(asks)
-    release(spark)
-    n_words = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
-    told = answers.where("block >= 0")
-    texts = dealt.drop("part").groupBy("block")
-    for ask, tell in ((_ask_pairs, _tell_pairs), (_ask_triples, _tell_triples)):
-        asked = texts.cogroup(told.groupBy("block")).applyInArrow(ask(blocks), ASKS)
-        told = told.unionByName(staged(asked.repartition(blocks, "shard").mapInArrow(tell, ANSWERS), "arcs"))
-        release(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.cogroup(told.groupBy("block")).applyInArrow(_score(n_all, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = docs.select("doc_id", F.coalesce(F.col(out), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    blocks = staged(rows.mapInArrow(_blocks(block), BLOCKS.format(kind)), "blocks")
+    sums = blocks.agg(F.sum("n_train"), F.sum("n_tokens")).first()
+    n_all, tokens = sums[0] or 0, sums[1] or 0
+    bits = min(64, (3 * tokens).bit_length() + SPARE)
+    shards = max(shuffle_partitions(spark), 3 * tokens // SHARD)
+    asks = blocks.select("block", "out", "keys", "flat", "sizes", "leads").mapInArrow(_ask(shards, bits), ASKS)
+    answers = staged(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(_tell, ANSWERS), "answers")
+    n_words = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
+    parts = blocks.drop("n_train", "n_tokens").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score(bits, n_all, n_words), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = staged(parts, "scores")
+    unstage(blocks)
+    unstage(answers)
+    whole = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

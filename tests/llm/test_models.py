@@ -105,82 +105,53 @@ def test_lm_base_and_held_out(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_automaton_is_a_distribution_and_walks_like_a_machine():
-    r = random.Random(1)
-    words = np.arange(6, dtype=np.int64)
-    texts = [[r.choice([0, 0, 1, 2, 3, 4]) for _ in range(r.randrange(1, 30))] + [5] for _ in range(80)]
-    count = np.bincount([w for t in texts for w in t], minlength=6)
-    b = lm_scoring.BITS
-    grams = []
-    for m in (2, 3):
-        seen = {}
-        for t in texts:
-            for i in range(len(t) - m + 1):
-                code = 0
-                for w in t[i : i + m]:
-                    code = code << b | w
-                seen[code] = seen.get(code, 0) + 1
-        kept = sorted((c, n) for c, n in seen.items() if n >= 2)
-        grams.append((np.array([c for c, _ in kept]), np.array([n for _, n in kept])))
-    total = int(count.sum())
-    m = lm_scoring.Automaton.of(words, count, grams, total)
-    single = np.append((count - 0.75) / total, 0.75 * 6 / total)  # the last is for all other words
-
-    def step(history, w):
-        """Arc of the longest history that has one, failure arcs on the way."""
-        p = 1.0
-        for k in (2, 1):
-            h = history[-k:]
-            if len(h) < k or min(h) < 0:
-                continue
-            state = 0
-            for x in h:
-                state = state << b | x
-            if w >= 0 and (state << b | w) in m.arcs[k - 1]:
-                return p * 10 ** m.weights[k - 1][np.searchsorted(m.arcs[k - 1], state << b | w)]
-            if state in m.states[k - 1]:
-                p *= 10 ** m.failures[k - 1][np.searchsorted(m.states[k - 1], state)]
-        return p * single[w]
-
-    for history in ([], [0], [3], [0, 0], [2, 1], [-1], [1, -1]):
-        assert math.isclose(sum(step(history, w) for w in (0, 1, 2, 3, 4, 5, -1)), 1, rel_tol=1e-9)
-    runs = [[0, 1, -1, 0, 0, 2, 5], [5], [3, 3, 3, 5]]
-    flat = np.array([w for t in runs for w in t])
-    got = m.traverse(flat, np.array([len(t) for t in runs]), np.log10(single)[flat])
-    want = [math.log10(step(t[:i], w)) for t in runs for i, w in enumerate(t)]
-    assert np.allclose(got, want)
-
-
-def test_arcs_do_not_depend_on_how_much_is_learned(spark):
-    """Scores are those of one automaton of all n-grams seen twice, also where a share of 2e-6 of all would be more."""
+def plain_scores(rows):
+    """log10 probabilities of texts (token lists, held out or not), by the model's definition and without an automaton."""
+    counts = [{}, {}, {}]
+    for t, out in rows:
+        for i in range(len(t)):
+            for m in range(3):
+                if not out and i >= m:
+                    g = tuple(t[i - m : i + 1])
+                    counts[m][g] = counts[m].get(g, 0) + 1
+    n, v, (b, c) = sum(counts[0].values()), len(counts[0]), lm_scoring.STRENGTHS
+
+    def chance(h, w):
+        low = (counts[0].get((w,), 0) + 1) / (n + v + 1)
+        if len(h) > 0:
+            low = (counts[1].get((h[-1], w), 0) + b * low) / (counts[0].get((h[-1],), 0) + b)
+        if len(h) > 1:
+            low = (counts[2].get((*h[-2:], w), 0) + c * low) / (counts[1].get(tuple(h[-2:]), 0) + c)
+        return low
+
+    return [math.fsum(math.log10(chance(t[:i], w)) for i, w in enumerate(t)) for t, _ in rows], chance
+
+
+def test_lm_scores_against_brute_force(spark):
     r = random.Random(4)
     texts = [(i, " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(1, 40))), i % 5 == 0) for i in range(400)]
-    texts += [(500 + i, "one rare line of text", False) for i in range(3)] + [(600, "one rare line of text", True)]
-    texts += [(1000 + i, "w " * 60_000, False) for i in range(40)]
-    rows = [([*t.split(), ""], out) for _, t, out in texts]
-    names = sorted({w for t, _ in rows for w in t})
-    ids = {w: i for i, w in enumerate(names)}
-    count, grams = np.zeros(len(names), np.int64), [{}, {}]
-    for t, out in rows:
-        if not out:
-            for i, w in enumerate(t):
-                count[ids[w]] += 1
-                for m in (2, 3):
-                    if i >= m - 1:
-                        code = 0
-                        for x in t[i - m + 1 : i + 1]:
-                            code = code << lm_scoring.BITS | ids[x]
-                        grams[m - 2][code] = grams[m - 2].get(code, 0) + 1
-    kept = [sorted((c, n) for c, n in g.items() if n >= 2) for g in grams]
-    total = int(count.sum())
-    assert total * 2e-6 > 4
-    machine = lm_scoring.Automaton.of(np.arange(len(names)), count, [(np.array([c for c, _ in k]), np.array([n for _, n in k])) for k in kept], total)
-    single = np.log10(np.where(count > 0, np.maximum(count - 0.75, 0) / total, 0.75 * (count > 0).sum() / total))
-    got = {x["doc_id"]: x["score"] for x in lm_scoring.score(docs(spark, texts, ", held_out boolean")).collect()}
-    for (i, _, _), (t, _) in zip(texts, rows, strict=True):
-        flat = np.array([ids[w] for w in t])
-        want = machine.traverse(np.where(count[flat] >= 2, flat, -1), np.array([len(t)]), single[flat]).sum()
-        assert math.isclose(got[i], want, rel_tol=1e-6), i
+    texts += [(500 + i, "one rare line of text", False) for i in range(3)] + [(600, "one rare line of text", True), (601, "Only HERE", False), (602, None, False), (603, "never learned words", True)]
+    texts += [(1000 + i, "w v " * 3_000, False) for i in range(4)] + [(1010, " ".join(f"n{r.randrange(900)}" for _ in range(9_000)), False)]
+    rows = [([*(t or "").lower().split(), ""], out) for _, t, out in texts]
+    want, chance = plain_scores(rows)
+    words = {w for t, out in rows if not out for w in t}
+    for h in ([], ["ax"], ["ax", "by"], ["never", "learned"], ["one", "rare"], ["rare", "ax"]):
+        assert math.isclose(math.fsum(chance(h, w) for w in [*words, "not learned"]), 1, rel_tol=1e-9)
+    d = docs(spark, texts, ", held_out boolean").repartition(3)
+    for block in (lm_scoring.BLOCK, 2_000):  # blocks of 2000 bytes cut long texts
+        got = {x["doc_id"]: x["score"] for x in lm_scoring.score(d, block=block).collect()}
+        assert len(got) == len(texts) and all(math.isclose(got[i], x, rel_tol=1e-9) for (i, _, _), x in zip(texts, want, strict=True))
+
+
+def test_numbers_are_packed_and_texts_sliced():
+    for x in ([], [0], [5, 0, 2**63, 2**64 - 1], list(range(1000))):
+        x = np.array(x, np.uint64)
+        assert (lm_scoring.unpacked(lm_scoring.packed(x)) == x).all()
+        assert (lm_scoring.unpacked(lm_scoring.packed(np.sort(x), True), True) == np.sort(x)).all()
+    for text in (None, "", " ", "a", "ab cd  ef\tg " * 50, "x" * 100):
+        for size in (1, 7, 1000):
+            parts = list(lm_scoring.slices(text, size))
+            assert sum(parts, []) == (text or "").encode().split() and len(parts) >= 1
 
 
 def test_lm_edges_of_input(spark):
