@@ -34,12 +34,12 @@ from .common import documents, shuffle_partitions, small_batches, staged, unstag
 from .language_id import held_out
 
 #: Bytes of text in a block; longer texts go on in the next.
-BLOCK = 12 << 20
+BLOCK = 5 << 20
 #: N-grams that a shard adds up on average at most.
 SHARD = 1 << 21
 #: What histories of one and of two words are smoothed with; the empty one counts every learned word, and all others
 #: together, once more than they are seen.
-STRENGTHS = (64.0, 16.0)
+STRENGTHS = (128.0, 16.0)
 #: Bits of an n-gram's key beyond those that number all n-grams: two get one key with a chance of 2 ** -SPARE.
 SPARE = 24
 #: Tokens that a text is traversed by at a time.
@@ -199,7 +199,8 @@ class Texts:
         codes, back = np.unique((history[at - 1] << 32) | self.flat[at], return_inverse=True)
         of = np.full(len(self.flat), -1)
         of[at] = back
-        n = np.bincount(back, self.learned[at], len(codes)).astype(np.int64) if len(codes) else np.empty(0, np.int64)
+        n = np.bincount(back[self.learned[at]], minlength=len(codes))
+        del at, back
         whole = joined(keys[codes >> 32], self.words[codes & 0xFFFFFFFF])
         short = whole >> shift
         by = np.argsort(short)
