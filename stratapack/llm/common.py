@@ -32,9 +32,26 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Buckets that Spark's catalog allows.
+MOST_BUCKETS = 100_000
+
+
+def staged_by(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
+    """staged(), dealt into buckets by key as it is written: later groups by key read it without a shuffle. The table's
+    entry in the session's catalog goes with unstage()."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stratapack/{name}"
+    df.write.bucketBy(min(buckets, MOST_BUCKETS), key).format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stage_path, out._stage_table = path, name
+    return out
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later result reads."""
     spark, path = df.sparkSession, df._stage_path
+    if name := getattr(df, "_stage_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

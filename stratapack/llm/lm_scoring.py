@@ -12,7 +12,8 @@ Every n-gram is an arc, however rare, and no table of them is ever gathered in o
 - Texts are read once and become blocks where they lie, a row for each: numbers of words, and the words' hashes.
 - A block asks for the counts of its distinct n-grams. Asks are dealt by the n-gram's hash, so a frequent n-gram is one
   ask from each block and no shard is hot. A shard adds up and answers in the order of the asks, without the keys.
-- The answers meet their block, which builds its own part of the automaton from them and traverses its texts.
+- The answers go to their block, which is stored by its number and not moved again, builds its own part of the
+  automaton from them and traverses its texts.
 
 A block asks each shard at most once, so there are never more asks than n-grams, whatever the number of blocks.
 """
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, small_batches, staged, unstage
+from .common import documents, shuffle_partitions, small_batches, staged, staged_by, unstage
 from .language_id import held_out
 
 #: Bytes of text in a block; longer texts go on in the next.
@@ -357,7 +358,8 @@ def score(docs: DataFrame, out: str = "held_out", block: int = BLOCK) -> DataFra
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col(out), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    blocks = staged(rows.mapInArrow(_blocks(block), BLOCKS.format(kind)), "blocks")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = staged_by(rows.mapInArrow(_blocks(block), BLOCKS.format(kind)), "block", max(shuffle_partitions(spark), size // block), "blocks")
     sums = blocks.agg(F.sum("n_train"), F.sum("n_tokens")).first()
     n_all, tokens = sums[0] or 0, sums[1] or 0
     bits = min(64, (3 * tokens).bit_length() + SPARE)

@@ -1,24 +1,32 @@
 """Perplexity of documents under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's n-grams are bytes of lower-cased text, white space as single spaces. Counts, continuation counts, context
-statistics and probabilities are tables dealt by n-gram or context, and every step joins one order's table with its
-contexts and the next lower order. Every n-gram is kept, however rare. The finished tables are sent to the tasks, where
-a batch's distinct n-grams are joined with them, so they must fit a task and the driver. A language's threshold is a high quantile of its trusted documents' perplexities.
+The model's n-grams are ORDER bytes of lower-cased text, white space as single spaces. Training and scoring are one
+series of joins of counts, dealt by n-gram or by context, and nothing of it is gathered in one place:
+
+- Texts become blocks where they lie, stored by block number. A block hands on its distinct n-grams with their counts in
+  trusted texts, 0 for those that only other texts have. They are dealt by n-gram into shards, which add them up.
+- Continuation counts, discounts, contexts' sums and probabilities are joins of one order's table with its contexts
+  and with the next lower order, so every n-gram that any document has gets its probability, however rare it is.
+- Each shard's probabilities are joined with what the blocks have asked for, the answers go back to their block, and
+  there every document's log-probabilities are added up.
+
+A language's threshold is a high quantile of its trusted documents' perplexities.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, staged
-from .language_id import _plain
-from .suffix_dedup import release
+from .common import documents, shuffle_partitions, small_batches, staged, staged_by, unstage
+from .lm_scoring import packed, unpacked
 
 ORDER = 5
 #: Quantile of trusted perplexities that a document may reach, and the slack beside it.
@@ -27,38 +35,159 @@ QUANTILE, SLACK = 0.99, 1.25
 PRIOR = 64
 #: Discounts where counts of counts say nothing (fixed values).
 DISCOUNTS = (0.5, 1.0, 1.5)
-#: Bytes of texts scored at a time.
-PIECE = 1 << 19
-
-
-def _keys(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each byte after a part's first, the last ORDER bytes as a number (zeros before a part's start); the parts' sizes."""
+#: Bytes of text in a block, and characters of a text that are worked on at a time.
+BLOCK, PIECE = 16 << 20, 1 << 19
+_SPACE = re.compile(r"\s")
+
+
+def parts_of(text: str | None, size: int = PIECE) -> Iterator[tuple[bytes, int]]:
+    """A text as plain bytes in parts, and how many of a part's first bytes only stand before its own: lower case, white
+    space as single spaces, one at either end."""
+    text, at, lead = text or "", 0, b""
+    while True:
+        cut = _SPACE.search(text, at + size) if at + size < len(text) else None
+        own = " ".join(text[at : cut.start() if cut else len(text)].lower().split()).encode("utf-8", "surrogatepass")
+        if own or cut is None and not lead:
+            part = (lead or b" ") + own + b" "
+            yield part, len(lead) or 1
+            lead = part[1 - ORDER :]
+        if cut is None:
+            return
+        at = cut.end()
+
+
+def keys_of(parts: list[bytes], skips: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte of a part but the first skip, the last ORDER bytes as a number (zeros before a part's start); the
+    number of such bytes by part."""
     gap = bytes(ORDER - 1)
     data = np.frombuffer(b"".join(gap + p for p in parts), np.uint8)
-    n = len(data) - ORDER + 1
-    key = np.zeros(max(0, n), np.int64)
+    n = max(0, len(data) - ORDER + 1)
+    key = np.zeros(n, np.int64)
     for j in range(ORDER):
         key |= data[ORDER - 1 - j : ORDER - 1 - j + n].astype(np.int64) << (8 * j)
-    sizes = np.array([len(p) for p in parts], np.int64)
+    sizes, skip = np.array([len(p) for p in parts], np.int64), np.array(skips, np.int64)
     starts = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    own = np.repeat(np.arange(len(parts)), sizes - 1)
-    at = np.arange(len(own)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1) + 1 + starts[own]
-    return key[at], sizes - 1
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    g, n = np.empty(0, np.int64), np.empty(0, np.int64)
-    for b in batches:
-        parts = [_plain(t) for t in b.column(0).to_pylist()]
-        if not parts:
-            continue
-        a, c = np.unique(_keys(parts)[0], return_counts=True)
-        g, at = np.unique(np.concatenate([g, a]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, c])).astype(np.int64)
-        if len(g) > 1 << 22:
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
-            g, n = g[:0], n[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
+    own = sizes - skip
+    at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(starts + skip, own)
+    return key[at], own
+
+
+BLOCKS = "block long, rows array<long>, ids array<{}>, langs array<string>, n_bytes long, sizes binary, skips binary, data binary"
+
+
+def _blocks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, lang, text) -> blocks of parts of texts; one that is begun again has ORDER - 1 bytes before it."""
+        number, seen, kind, held = TaskContext.get().partitionId() << 32, 0, pa.null(), 0
+        block, rows, ids, langs, parts, skips = number, [], [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([block]), pa.array([rows], pa.list_(pa.int64())), pa.array([ids], pa.list_(kind)), pa.array([langs], pa.list_(pa.string())), pa.array([held])]
+            cols += [pa.array([x], pa.binary()) for x in (packed(np.array([len(p) for p in parts])), packed(np.array(skips)), pa.Codec("zstd", 3).compress(b"".join(parts), asbytes=True))]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "rows", "ids", "langs", "n_bytes", "sizes", "skips", "data"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for doc, lang, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for part, skip in parts_of(text):
+                    rows.append(number | seen)
+                    ids.append(doc)
+                    langs.append(lang)
+                    parts.append(part)
+                    skips.append(skip)
+                    held += len(part)
+                    if held >= size:
+                        yield out()
+                        block, rows, ids, langs, parts, skips, held = block + 1, [], [], [], [], [], 0
+                seen += 1
+        if rows:
+            yield out()
+
+    return run
+
+
+def _pieces(own: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a block's parts, some at a time: the first one's number, keys and their number by part."""
+    sizes, skips = unpacked(own["sizes"]).astype(np.int64), unpacked(own["skips"]).tolist()
+    ends = np.cumsum(sizes)
+    data = pa.decompress(own["data"], int(own["n_bytes"]), "zstd", asbytes=True)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE)))
+        parts = [data[ends[i] - sizes[i] : ends[i]] for i in range(at, min(to, len(sizes)))]
+        yield at, *keys_of(parts, skips[at : at + len(parts)])
+        at += len(parts)
+
+
+def _distinct(own: dict, trusted: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct n-grams, by shard and then by number, with their counts in trusted parts."""
+    grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for at, keys, size in _pieces(own):
+        found, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back[np.repeat(trusted[at : at + len(size)], size)], minlength=len(found))
+        merged, back = np.unique(np.concatenate([grams, found]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(merged)).astype(np.int64)
+        grams = merged
+    by = np.argsort(grams % shards, kind="stable")
+    return grams[by], counts[by]
+
+
+def _own(block: pa.Table) -> dict:
+    return block.to_pylist()[0]
+
+
+def _trusted(own: dict, side: pa.Table) -> np.ndarray:
+    out = np.zeros(len(own["rows"]), bool)
+    for at in side.column("trusted").to_pylist():
+        out[at or []] = True
+    return out
+
+
+def _ask(shards: int):
+    def run(key: tuple, block: pa.Table, side: pa.Table) -> pa.Table:
+        own = _own(block)
+        grams, counts = _distinct(own, _trusted(own, side), shards)
+        cuts = np.searchsorted(grams % shards, np.arange(shards + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        part = lambda x, rising: pa.array([packed(x[cuts[i] : cuts[i + 1]], rising) for i in used], pa.binary())
+        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int64()), "a": part(grams, True), "b": part(counts, False)})
+
+    return run
+
+
+def _sum(asks: pa.Table) -> pa.Table:
+    """A shard's n-grams with their counts in all blocks."""
+    found, back = np.unique(np.concatenate([unpacked(x, True) for x in asks.column("a").to_pylist()]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([unpacked(x) for x in asks.column("b").to_pylist()]).astype(np.float64), len(found))
+    return pa.table({"g": found.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def _tell(key: tuple, asks: pa.Table, model: pa.Table) -> pa.Table:
+    """A shard's asks and its n-grams' probabilities -> natural logarithms in the order of each ask."""
+    model = model.sort_by("g")
+    grams, logs = model.column("g").to_numpy(), np.log(model.column("p").to_numpy())
+    out = [logs[np.searchsorted(grams, unpacked(x, True).astype(np.int64))].tobytes() for x in asks.column("a").to_pylist()]
+    return pa.table({"block": asks.column("block"), "shard": asks.column("shard"), "a": pa.array(out, pa.binary()), "trusted": pa.nulls(len(out), pa.list_(pa.int32()))})
+
+
+def _add_up(shards: int):
+    def run(block: pa.Table, side: pa.Table) -> pa.Table:
+        own = _own(block)
+        trusted = _trusted(own, side)
+        told = side.filter(pc.is_valid(side.column("a"))).sort_by("shard")
+        grams, _ = _distinct(own, trusted, shards)
+        logs = np.frombuffer(b"".join(told.column("a").to_pylist()), np.float64)
+        by = np.argsort(grams)
+        grams, logs = grams[by], logs[by]
+        sums, sizes = np.zeros(len(trusted)), np.zeros(len(trusted), np.int64)
+        for at, keys, size in _pieces(own):
+            found, back = np.unique(keys, return_inverse=True)
+            sums[at : at + len(size)] = np.bincount(np.repeat(np.arange(len(size)), size), -logs[np.searchsorted(grams, found)][back], len(size))
+            sizes[at : at + len(size)] = size
+        cols = [pa.array(own["rows"], pa.int64()), pa.array(own["ids"], block.schema.field("ids").type.value_type), pa.array(own["langs"], pa.string()), pa.array(trusted), pa.array(sizes), pa.array(sums)]
+        return pa.table(dict(zip(["row", "doc_id", "lang", "trusted", "n_symbols", "nll"], cols, strict=True)))
+
+    return run
 
 
 def _discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -71,118 +200,73 @@ def _discounts(grams: DataFrame) -> tuple[float, float, float]:
 
 def _off(d: tuple[float, float, float]) -> Column:
     n = F.col("n")
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    return F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """Texts -> (m, g, p, free): n-grams of order m with their probability, and contexts (p null) with the mass they
-    leave to the next lower order. No texts: no rows."""
-    small_batches(trusted.sparkSession)
-    texts = trusted.select(F.col("text").cast("string")).where("text is not null")
-    full = staged(texts.mapInArrow(_count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "kn-counts")
-    release(trusted.sparkSession)
+def train(full: DataFrame) -> DataFrame:
+    """(g, n): all n-grams of ORDER bytes that are asked for, with their counts in trusted text (0: none) -> (g, p)."""
     tables, discounts = {ORDER: full}, {ORDER: _discounts(full)}
-    for m in range(ORDER - 1, 0, -1):  # how many different bytes stand before it
-        tables[m] = staged(tables[m + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * m) - 1).alias("g")).agg(F.count("*").alias("n")), f"kn-{m}")
+    for m in range(ORDER - 1, 0, -1):  # how many different bytes are seen before it
+        tables[m] = staged(tables[m + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * m) - 1).alias("g")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n")), f"kn-{m}")
         discounts[m] = _discounts(tables[m])
-    low, out = None, None
+    low = None
     for m in range(1, ORDER + 1):
-        off = _off(discounts[m])
-        grams = tables[m].withColumn("ctx", F.shiftright("g", 8)).withColumn("off", off)
-        ctx = grams.groupBy("ctx").agg(F.sum("n").alias("t"), F.sum("off").alias("o")).select("ctx", "t", (F.col("o") / F.col("t")).alias("free"))
-        rated = grams.join(ctx, "ctx").withColumn("own", (F.col("n") - F.col("off")) / F.col("t"))
+        grams = tables[m].withColumn("ctx", F.shiftright("g", 8)).withColumn("off", _off(discounts[m]))
+        ctx = grams.groupBy("ctx").agg(F.sum("n").alias("t"), F.sum("off").alias("o"))
+        # A context that trusted text does not have leaves all to the next lower order.
+        rated = grams.join(ctx, "ctx").withColumns({"own": (F.col("n") - F.col("off")) / F.greatest("t", F.lit(1)), "free": F.when(F.col("t") > 0, F.col("o") / F.col("t")).otherwise(1.0)})
         if low is None:
             rated = rated.withColumn("p", F.col("own") + F.col("free") / 256)
         else:
-            below = low.where("p is not null").select(F.col("g").alias("s"), F.col("p").alias("q"))
-            rated = rated.withColumn("s", F.col("g").bitwiseAND((1 << 8 * (m - 1)) - 1)).join(below, "s").withColumn("p", F.col("own") + F.col("free") * F.col("q"))
-        both = rated.select(F.lit(m).alias("m"), "g", "p", F.lit(None).cast("double").alias("free"))
-        low = staged(both.unionByName(ctx.select(F.lit(m).alias("m"), F.col("ctx").alias("g"), F.lit(None).cast("double").alias("p"), "free")), f"kn-p{m}")
-        out = low if out is None else out.unionByName(low)
-    return out
-
-
-class Shards:
-    """The finished tables by order, each sorted by number: natural logarithms of p, and of the mass left."""
-
-    def __init__(self, model: DataFrame):
-        t = model.toArrow()
-        m, g, p, free = (t.column(x).to_numpy() for x in ("m", "g", "p", "free"))
-        self.grams, self.contexts = [], []
-        for k in range(1, ORDER + 1):
-            for into, v in ((self.grams, p), (self.contexts, free)):
-                use = (m == k) & ~np.isnan(v.astype(float))
-                by = np.argsort(g[use])
-                into.append((g[use][by], np.log(v[use][by].astype(float))))
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Log-probabilities of n-grams: their own, or the masses left on the way to the longest suffix that has one."""
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
-        for m in range(ORDER, 0, -1):
-            k = keys[left] & ((1 << 8 * m) - 1)
-            found, value = _find(self.grams[m - 1], k)
-            out[left[found]] += value[found]
-            left, k = left[~found], k[~found]
-            known, value = _find(self.contexts[m - 1], k >> 8)
-            out[left[known]] += value[known]
-        out[left] -= math.log(256)
-        return out
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table[0]):
-        return np.zeros(len(k), bool), np.zeros(len(k))
-    at = np.minimum(np.searchsorted(table[0], k), len(table[0]) - 1)
-    return table[0][at] == k, table[1][at]
-
-
-def _nll(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: Shards = model.value
-        for b in batches:
-            c = b.num_columns
-            texts = b.column(c - 1).to_pylist()
-            sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            at = 0
-            while at < len(texts):
-                to, size, parts = at, 0, []
-                while to < len(texts) and (to == at or size < PIECE):
-                    parts.append(_plain(texts[to] or ""))
-                    size += len(parts[-1])
-                    to += 1
-                keys, own = _keys(parts)
-                distinct, back = np.unique(keys, return_inverse=True)
-                sums[at:to] = np.bincount(np.repeat(np.arange(to - at), own), -shards.lookup(distinct)[back], to - at)
-                sizes[at:to] = own
-                at = to
-            yield pa.RecordBatch.from_arrays([*b.columns[: c - 1], pa.array(sizes), pa.array(sums)], names=[*b.schema.names[: c - 1], "n_symbols", "nll"])
-
-    return run
-
-
-def perplexities(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """The keep columns, n_symbols and nll (nats) of each text; null and white space have the closing space only."""
+            rated = rated.withColumn("s", F.col("g").bitwiseAND((1 << 8 * (m - 1)) - 1)).join(low.select(F.col("g").alias("s"), F.col("p").alias("q")), "s").withColumn("p", F.col("own") + F.col("free") * F.col("q"))
+        new = staged(rated.select("g", "p"), f"kn-p{m}")
+        for x in (low, tables[m] if m < ORDER else None):
+            if x is not None:
+                unstage(x)
+        low = new
+    return low
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, lang, trusted, n_symbols, nll in nats) of each row of docs (doc_id, lang, text), under the model of the
+    rows whose doc_id is in trusted_ids. Null and white-space texts have the closing space only."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Shards(model))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(_nll(shared), f"{schema}n_symbols long, nll double")
+    small_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = staged_by(rows.mapInArrow(_blocks(block), BLOCKS.format(kind)), "block", max(shuffle_partitions(spark), size // block), "texts")
+    shards = max(shuffle_partitions(spark), size // block) | 1
+    # Which texts are trusted is found by their ids; no text moves.
+    at = blocks.select("block", F.posexplode("ids").alias("at", "doc_id")).join(trusted_ids.select("doc_id"), "doc_id", "left_semi")
+    side = staged(at.groupBy("block").agg(F.collect_list("at").alias("trusted")), "trusted")
+    asks = staged(blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_ask(shards), "shard int, block long, a binary, b binary"), "grams")
+    full = staged(asks.groupBy("shard").applyInArrow(_sum, "g long, n long"), "counts")
+    model = train(full)
+    told = asks.select("shard", "block", "a").groupBy("shard").cogroup(model.groupBy(F.pmod("g", F.lit(shards)).cast("int").alias("shard"))).applyInArrow(_tell, "block long, shard int, a binary, trusted array<int>")
+    answers = staged(told.unionByName(side.select("block", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("a"), "trusted")), "answers")
+    for x in (asks, full, model, side):
+        unstage(x)
+    done = staged(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_add_up(shards), f"row long, doc_id {kind}, lang string, trusted boolean, n_symbols long, nll double"), "nll")
+    unstage(blocks)
+    unstage(answers)
+    whole = done.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "lang", "trusted")], *[F.sum(c).alias(c) for c in ("n_symbols", "nll")])
+    out = staged(whole.drop("row"), "perplexity")
+    unstage(done)
+    return out
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, kept) of each row of docs (doc_id, text, lang).
 
     trusted_ids (doc_id) names the documents that the model and the thresholds are made of. perplexity is per byte,
     mixed with PRIOR bytes of average trusted text. A language without trusted documents gets the threshold of all;
     null languages are one language. Without any trusted document all are kept. Repeated rows are judged alike; no
-    rows: no rows.
+    rows: no rows. Texts longer than block bytes are worked on in parts.
     """
     ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    # A merge join at every size: whether the ids could be broadcast depends on how many are labelled.
-    model = train(rows.join(ids.hint("merge"), "doc_id", "left_semi"))
-    scored = staged(perplexities(rows, model, ["doc_id", "lang"]), "perplexity")
-    release(docs.sparkSession)
-    own = scored.join(ids, "doc_id", "left_semi")
+    scored = perplexities(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), ids, block)
+    own = scored.where("trusted")
     mean = own.agg(F.sum("nll") / F.sum("n_symbols")).first()[0]
     ppl = F.exp((F.col("nll") + F.lit(PRIOR * (mean or 0.0))) / (F.col("n_symbols") + PRIOR))
     at = own.withColumn("x", ppl)

@@ -164,20 +164,70 @@ def test_lm_edges_of_input(spark):
     assert (none["n_known"], none["train_tokens"], none["base_score"], none["score"]) == (0, 0, 0.0, 0.0)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    d = docs(spark, [(i, "the cat sat on the mat and the cat ran " * 3) for i in range(5)])
-    shards = quality_model.Shards(quality_model.train(d))
+def plain_kneser_ney(texts):
+    """chance(context, byte) of interpolated modified Kneser-Ney over 5 bytes, by its definition."""
+    order, zero = quality_model.ORDER, b"\0" * (quality_model.ORDER - 1)
+    counts = [{} for _ in range(order + 1)]
+    for t in texts:
+        data = zero + b" " + " ".join(t.lower().split()).encode() + b" "
+        for i in range(order, len(data)):
+            g = data[i - order + 1 : i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for m in range(order - 1, 0, -1):
+        for g in counts[m + 1]:
+            counts[m][g[1:]] = counts[m].get(g[1:], 0) + 1
+    discounts, contexts = {}, [{} for _ in range(order + 1)]
+    for m in range(1, order + 1):
+        n1, n2, n3, n4 = (sum(c == k for c in counts[m].values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        discounts[m] = tuple(min(k - 0.05, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))) if n1 and n2 and n3 else quality_model.DISCOUNTS
+        for g, c in counts[m].items():
+            t, o = contexts[m].get(g[:-1], (0, 0.0))
+            contexts[m][g[:-1]] = t + c, o + discounts[m][min(c, 3) - 1]
+
+    def chance(g, m=order):
+        if m == 0:
+            return 1 / 256
+        g = g[-m:]
+        t, o = contexts[m].get(g[:-1], (0, 0.0))
+        c = counts[m].get(g, 0)
+        return (c - (discounts[m][min(c, 3) - 1] if c else 0)) / max(1, t) + (o / t if t else 1) * chance(g, m - 1)
+
+    return chance
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """Perplexities of trusted and other texts, rare n-grams and texts cut in parts and blocks included."""
+    r = random.Random(7)
+    words = ["the", "cat", "sat", "on", "a", "mat", "über", "zq"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 60))), "en") for i in range(40)]
+    texts += [(50, None, "en"), (51, " \t ", None), (52, "日本語 THE", "ja"), (53, "ab " * 4000, "en"), (54, "x" * 700, "en")]
+    trusted = {i for i, _, _ in texts if i % 3 == 0} | {50, 51}
+    chance = plain_kneser_ney([t or "" for i, t, _ in texts if i in trusted])
     for ctx in (b"\0\0\0 ", b" the", b"cat ", b"zzzz"):
-        keys = np.array([int.from_bytes(ctx + bytes([x]), "big") for x in range(256)], np.int64)
-        assert math.isclose(np.exp(shards.lookup(keys)).sum(), 1, rel_tol=1e-6)
-
-
-def test_rare_grams_stay_in_a_large_model(spark):
-    texts = [(i, "ab " * 100_000) for i in range(8)] + [(100, "zq")]
-    model = quality_model.train(docs(spark, texts))
-    want = {int.from_bytes((b" " + " ".join(t.split()).encode() + b" ")[max(0, i - 4) : i + 1], "big") for t in ("zq", "ab ab ab") for i in range(1, len(t) + 2)}
-    assert {x["g"] for x in model.where("m = 5 and p is not null").collect()} == want
-    assert math.isclose(np.exp(quality_model.Shards(model).lookup(np.array([int.from_bytes(b"\0\0 z" + bytes([x]), "big") for x in range(256)], np.int64))).sum(), 1, rel_tol=1e-6)
+        assert math.isclose(math.fsum(chance(ctx + bytes([x])) for x in range(256)), 1, rel_tol=1e-9)
+    want = {}
+    for i, t, _ in texts:
+        data = b"\0\0\0\0 " + " ".join((t or "").lower().split()).encode() + b" "
+        want[i] = len(data) - 5, -math.fsum(math.log(chance(data[k - 4 : k + 1])) for k in range(5, len(data)))
+    d, ids = docs(spark, texts, ", lang string").repartition(2), docs(spark, [(i, "") for i in trusted]).select("doc_id")
+    for block in (quality_model.BLOCK, 3000):
+        got = quality_model.perplexities(d, ids, block).collect()
+        assert len(got) == len(texts) and all(x["trusted"] == (x["doc_id"] in trusted) for x in got)
+        assert all(x["n_symbols"] == want[x["doc_id"]][0] and math.isclose(x["nll"], want[x["doc_id"]][1], rel_tol=1e-9) for x in got)
+
+
+def test_parts_of_a_text_have_all_its_bytes_once():
+    for text in (None, "", "  ", "a", " ab  cd\tE " * 30, "x" * 90, " " * 40 + "é " * 9, "a" + " " * 50):
+        plain = b" " + " ".join((text or "").lower().split()).encode() + b" "
+        whole, _ = quality_model.keys_of([plain], [1])
+        for size in (1, 3, 10, 1000):
+            parts = list(quality_model.parts_of(text, size))
+            assert b"".join(p[s:] if i else p for i, (p, s) in enumerate(parts)) == plain
+            keys, own = quality_model.keys_of([p for p, _ in parts], [s for _, s in parts])
+            cut = np.concatenate([[0], np.cumsum(own)])[:-1]
+            # After a cut the bytes before it are known, but not which part of the text they begin.
+            assert len(keys) == len(whole) and (keys[: own[0]] == whole[: own[0]]).all() and len(cut) == len(parts)
 
 
 def test_quality_keeps_and_rejects(spark):
