@@ -12,17 +12,16 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, staged, words_of
+from .common import documents, staged, unstage, words_of
 
 #: Weights of the sources by order, repeating (fixed values).
 WEIGHTS = (3, 1, 2)
 #: Patterns that the driver routes at most; more are an error, not dropped.
 MOST_PATTERNS = 200_000
-#: Slots of the seeded order in which sizes are summed first.
-SLOTS = 1 << 12
+#: Hexadecimal digits of the seeded order by which the end of a routed amount is found at a time.
+DIGITS = 3
 
 
 def fill(total: float, weights: list[float], tops: list[float]) -> list[float]:
@@ -87,48 +86,69 @@ def route(sizes: list[int], members: list[tuple[int, ...]], quotas: list[int], m
     return flow
 
 
+def _edges(rows: DataFrame, left: dict[tuple, int]) -> dict[tuple, tuple[str, int]]:
+    """Rows (m, w, size), and of each m how many words its rows give in the order of w -> the w at which they end and
+    what each row of that w gives; rows before give all.
+
+    Sums by DIGITS more of w tell in which part it lies, part by part, until all rows in it have one w. Per m only one
+    row comes to the driver.
+    """
+    spark, found = rows.sparkSession, {m: ("", 0) for m, x in left.items() if not x}
+    opened = [(list(m), "", x) for m, x in left.items() if x]
+    digits = 0
+    while opened:
+        digits += DIGITS
+        near = spark.createDataFrame(opened, "m array<string>, prefix string, rest long")
+        inside = rows.join(F.broadcast(near), "m").where(F.col("w").startswith(F.col("prefix")))
+        sums = inside.groupBy("m", "rest", F.substring("w", 1, digits).alias("part")).agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"))
+        before = F.coalesce(F.sum("b").over(Window.partitionBy("m").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = sums.withColumn("rest", F.col("rest") - before).where("rest >= 0 and rest < b").collect()
+        opened = []
+        for r in at:
+            if r["lo"] == r["hi"]:
+                found[tuple(r["m"])] = r["lo"], r["rest"] // r["n"]
+            else:
+                opened.append((r["m"], r["part"], r["rest"]))
+    return found
+
+
 def mix(docs: DataFrame, size: Column, member: Column, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "") -> DataFrame:
     """Columns of docs, size, source_size, target and taken of each row.
 
-    member is an array of a document's sources (null stands for a source of its own, the last); an empty array is
-    taken from never. Sources in code point order get weights, repeating; target is the mean over the document's
-    sources of their targets, source_size the sum of their sizes. taken counts words, repeats included: passes over
-    whole documents in the order of md5(seed + doc_id), and in each pass the document at which the routed amount
-    ends gives what is left. Repeated rows are rows of their own. No rows: no rows.
+    member is an array of a document's sources (null is a source of its own, the last); an empty array is taken from
+    never. Sources in code point order get weights, repeating; target is the mean over the document's sources of their
+    targets, source_size the sum of their sizes. taken counts words, repeats included: passes over whole documents in
+    the order of md5(seed + doc_id), then of a hash of the row, and in each pass the document at which the routed
+    amount ends gives what is left; rows equal in all columns share that evenly. No rows: no rows. Of clashing names in
+    docs, size, source_size, target and taken are replaced. Documents do not move: they meet a row per pattern.
     """
-    none = "\U0010ffff"
-    u = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    names = F.array_sort(F.array_distinct(F.transform(member.cast("array<string>"), lambda s: F.coalesce(s, F.lit(none)))))
-    rows = staged(docs.withColumns({"size": size.cast("long"), "__m": names, "__u": u}).drop("source_size", "target", "taken").withColumn("__slot", F.conv(F.substring("__u", 1, 3), 16, 10).cast("int") % SLOTS), "sizes")
-    patterns = rows.groupBy("__m").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    w = F.concat(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lower(F.lpad(F.hex(F.xxhash64(*docs.columns)), 16, "0")))
+    # Names begin with a, null is b: as last as it is to be, and no name's equal.
+    names = F.array_sort(F.array_distinct(F.transform(member.cast("array<string>"), lambda s: F.coalesce(F.concat(F.lit("a"), s), F.lit("b")))))
+    told = docs.select(F.struct(*keep).alias("__row"), names.alias("m"), w.alias("w"), size.cast("long").alias("size"))
+    rows = staged(told.select("m", "w", "size"), "sizes")
+    patterns = rows.groupBy("m").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
-    patterns.sort(key=lambda r: r["__m"])
-    sources = sorted({s for r in patterns for s in r["__m"]}, key=lambda s: s.encode("utf-8"))
+    patterns.sort(key=lambda r: r["m"])
+    sources = sorted({s for r in patterns for s in r["m"]}, key=lambda s: s.encode("utf-8"))
     at = {s: i for i, s in enumerate(sources)}
     held = [0] * len(sources)
     for r in patterns:
-        for s in r["__m"]:
+        for s in r["m"]:
             held[at[s]] += r["n"]
     goal = fill(share * sum(r["n"] for r in patterns), [weights[i % len(weights)] for i in range(len(sources))], [most * x for x in held])
-    flow = route([r["n"] for r in patterns], [tuple(at[s] for s in r["__m"]) for r in patterns], [round(x) for x in goal], most)
-    table = [(r["__m"], sum(held[at[s]] for s in r["__m"]), sum(goal[at[s]] for s in r["__m"]) / max(1, len(r["__m"])), sum(f.values()), r["n"]) for r, f in zip(patterns, flow, strict=True)]
-    kind = T.StructType([T.StructField("__m", T.ArrayType(T.StringType())), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__q", T.LongType()), T.StructField("__n", T.LongType())])
-    plan = docs.sparkSession.createDataFrame(table, kind)
-    slots = rows.groupBy("__m", "__slot").agg(F.sum("size").alias("__b"))
-    order = Window.partitionBy("__m").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("__before", F.coalesce(F.sum("__b").over(order), F.lit(0))).join(plan, "__m")
-    slots = staged(slots.select("__m", "__slot", "__before", "source_size", "target", F.expr("__q div greatest(__n, 1)").alias("__full"), F.expr("__q % greatest(__n, 1)").alias("__left"), "__b"), "slots")
-    got = rows.join(slots, ["__m", "__slot"])
-    edge = (F.col("__left") > F.col("__before")) & (F.col("__left") < F.col("__before") + F.col("__b"))
-    # Only the slot in which a routed amount ends needs its documents in order.
-    inside = got.where(edge)
-    run = Window.partitionBy("__m", "__slot").orderBy("__u", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("__c", F.col("__before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    inside = inside.withColumn("__x", F.greatest(F.lit(0), F.least("size", F.col("__left") - F.col("__c"))))
-    whole = got.where(~edge).withColumn("__c", F.col("__before")).withColumn("__x", F.when(F.col("__left") > F.col("__before"), F.col("size")).otherwise(0))
-    both = whole.unionByName(inside).withColumn("taken", (F.col("__full") * F.col("size") + F.col("__x")).cast("long"))
-    return both.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "taken")], "size", "source_size", "target", "taken")
+    flow = route([r["n"] for r in patterns], [tuple(at[s] for s in r["m"]) for r in patterns], [round(x) for x in goal], most)
+    amount = {tuple(r["m"]): divmod(sum(f.values()), max(1, r["n"])) for r, f in zip(patterns, flow, strict=True)}
+    edges = _edges(rows, {m: x[1] for m, x in amount.items()})
+    unstage(rows)
+    table = [(r["m"], sum(held[at[s]] for s in r["m"]), sum(goal[at[s]] for s in r["m"]) / max(1, len(r["m"])), amount[tuple(r["m"])][0], *edges[tuple(r["m"])]) for r in patterns]
+    plan = docs.sparkSession.createDataFrame(table, "m array<string>, source_size long, target double, passes long, edge string, rest long")
+    # At most MOST_PATTERNS rows.
+    got = told.join(F.broadcast(plan), "m")
+    last = F.when(F.col("w") < F.col("edge"), F.col("size")).when(F.col("w") == F.col("edge"), F.least("size", "rest")).otherwise(0)
+    return got.select("__row.*", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +157,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, half a document or more counting as one; those it leaves out go."""
+    """Documents as often as the mix takes them, half a document or more counting as one; those it leaves out go.
+
+    Texts without a word (null, empty) stay once. Null sources are one source; equal rows are taken equally often. No
+    rows: no rows. Columns of docs keep their names, whatever they are."""
     rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", F.size(words_of(F.col("text").cast("string"))).alias("__n"))
     out = mix(rows, F.col("__n"), F.array("source"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")

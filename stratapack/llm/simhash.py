@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import documents, shuffle_partitions, small_batches, staged, unstage
 from .components import connected_components
-from .suffix_dedup import release
 
 #: Shingles hashed at a time in one text.
 PIECE = 1 << 16
@@ -274,7 +273,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
-    """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k.
+    """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k; staged.
 
     Links are those of texts that collide in the search of simhash_components, in one of TABLES further searches or in a
     band of their sketches, and are found alike: texts that repeat a line have close fingerprints however else they differ, and 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
@@ -284,10 +283,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     flat = sig.select("k", F.posexplode("fps").alias("t", "fp"))
     reps = staged(flat.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")), "fps")
     # One table after the other, so that only one's variants are on disk at a time.
-    parts = []
-    for t in range(TABLES + 1):
-        parts.append(staged(ball_links(reps.where(F.col("t") == t).select("t", "fp")), "links"))
-        release(texts.sparkSession)
+    parts = [staged(ball_links(reps.where(F.col("t") == t).select("t", "fp")), "links") for t in range(TABLES + 1)]
     links = reduce(DataFrame.unionByName, parts)
     one = links.join(reps.select("t", F.col("fp").alias("u"), F.col("r").alias("a")), ["t", "u"])
     two = one.join(reps.select("t", F.col("fp").alias("v"), F.col("r").alias("b")), ["t", "v"]).select("t", "a", "b")
@@ -295,23 +291,52 @@ def near_copies(texts: DataFrame) -> DataFrame:
     # 0.8 alike, a band of eight bins is equal with a chance of 0.17, so one of the 32 is in over 99 of 100 pairs.
     bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), lambda i: F.struct(i.alias("t"), F.substring("sketch", i * (2 * BAND) + 1, F.lit(2 * BAND)).alias("s")))
     cells = sig.select("k", F.explode(bands).alias("x")).where(F.col("x.s") != F.lit(bytes(2 * BAND))).select("k", "x.t", F.xxhash64("x.s", "x.t").alias("fp"))
-    heads = cells.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = staged(cells.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     banded = cells.join(heads, ["t", "fp"]).select("t", F.col("k").alias("a"), F.col("r").alias("b"))
     pairs = staged(two.unionByName(same).unionByName(banded).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    for x in (reps, heads, *parts):
+        unstage(x)
     asked = pairs.join(sig.select(F.col("k").alias("a"), F.col("sketch").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sketch").alias("y")), "b")
-    alike = asked.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long")
-    found = connected_components(alike)
+    alike = staged(asked.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long"), "alike")
     unstage(sig)
-    return found.withColumnRenamed("node", "k")
+    unstage(pairs)
+    found = staged(connected_components(alike).withColumnRenamed("node", "k"), "roots")
+    unstage(alike)
+    return found
+
+
+#: Texts of groups that are sent to the tasks at most, some 40 bytes each; more are met by a shuffle.
+SENT = 1 << 20
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: that of the smallest doc_id (null last), then of the smallest text hash."""
+    """One row of each group stays: that of the smallest doc_id (null last), then of the smallest text hashes.
+
+    Null texts are empty; texts without a word are alike only if they are equal; of repeated rows one stays. No rows:
+    no rows. Groups are found on narrow rows: texts are named by 128 bits of hashes, and only texts with copies or
+    links are looked up among the documents, which do not move.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("g"))
-    roots = near_copies(docs.select(F.xxhash64(text).alias("k"), text.alias("text")))
-    ids = docs.select(key.alias("__key")).distinct()
-    met = ids.join(roots, ids["__key"]["h"] == roots["k"], "left").withColumn("root", F.coalesce("root", F.col("__key")["h"]))
-    kept = staged(met.groupBy("root").agg(F.min("__key").alias("__key")).select("__key"), "kept")
-    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
-    return rows.dropDuplicates(["__key"]).select(docs.columns)
+    h, g = F.xxhash64(text), F.xxhash64(text, F.lit(1))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
+    roots = near_copies(docs.select(h.alias("k"), text.alias("text")))
+    rows = docs.select(h.alias("h"), g.alias("g"), place.alias("p")).groupBy("h", "g", "p").agg(F.count("*").alias("c"))
+    each = staged(rows.groupBy("h", "g").agg(F.min(F.struct("p", "c")).alias("first"), F.sum("c").alias("c")).select("h", "g", "first.p", F.col("first.c").alias("own"), "c"), "texts")
+    # Links go by the first hash alone; of texts that share it, only that of the least second hash has them.
+    least = each.groupBy("h").agg(F.min("g").alias("g"))
+    linked = least.join(roots, least["h"] == roots["k"]).select("h", "g", "root")
+    met = each.join(linked, ["h", "g"], "left")
+    best = met.where("root is not null").groupBy("root").agg(F.min(F.struct("p", "h", "g")).alias("best"))
+    # Of each text with copies or links: whether the first of its rows stays, and if so, which and how many like it.
+    odd = met.where("root is not null or c > 1").join(best, "root", "left")
+    stays = F.col("best").isNull() | ((F.col("best.h") == F.col("h")) & (F.col("best.g") == F.col("g")))
+    odd = staged(odd.select("h", "g", "p", "own", stays.alias("stays")), "odd")
+    unstage(each)
+    unstage(roots)
+    few = odd.count() <= SENT
+    named = docs.select(F.struct(*docs.columns).alias("__row"), h.alias("h"), g.alias("g"), place.alias("__p")).join(F.broadcast(odd) if few else odd, ["h", "g"], "left")
+    mine = F.col("stays") & F.col("p.n").eqNullSafe(F.col("__p.n")) & F.col("p.i").eqNullSafe(F.col("__p.i"))
+    once = named.where(F.col("stays").isNull() | (mine & (F.col("own") == 1)))
+    # Rows repeated with their doc_id: the one place where documents meet.
+    repeated = named.where(mine & (F.col("own") > 1)).dropDuplicates(["h", "g"])
+    return once.select("__row.*").unionByName(repeated.select("__row.*"))

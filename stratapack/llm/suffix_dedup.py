@@ -136,10 +136,8 @@ ITEM = "c long, u long, k long, n int, pos long"
 
 
 def refine(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (c, u, k, n, pos) -> those of buckets c whose members are alike, and those of mixed buckets.
-
-    (k, n, pos, done, more): done if an alike member exists elsewhere, more if the item goes on to the next level.
-    """
+    """Items (c, u, k, n, pos) -> staged (k, n, pos) of those with an alike member elsewhere, and of those that go on to
+    the next level: one of each class of alike members in the mixed buckets."""
     buckets = items.groupBy("c").agg(F.count("*").alias("t"), F.min("u").alias("a"), F.max("u").alias("z")).where("t > 1").select("c", (F.col("a") != F.col("z")).alias("mixed"))
     # Both sides of a join are plain tables, so that it is split where a bucket is hot.
     buckets = staged(buckets, "buckets")
@@ -150,9 +148,10 @@ def refine(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = mixed.join(alike, ["c", "u"]).select("k", "n", "pos", (F.col("t") > 1).alias("done"), ((F.col("t") == 1) | (F.col("rep") == own)).alias("more"))
     told = staged(told.where("done or more"), "told")
     sure = staged(met.where("not mixed").select("k", "n", "pos").unionByName(told.where("done").select("k", "n", "pos")), "sure")
-    for x in (buckets, met, alike):
+    more = staged(told.where("more").select("k", "n", "pos"), "more")
+    for x in (buckets, met, alike, told):
         unstage(x)
-    return sure, told.where("more").select("k", "n", "pos")
+    return sure, more
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +219,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(k, n, runs): per text, named by its hash and length, the starts (lo << 20 | strings - 1 << 10) of all runs of
+    """Staged (k, n, runs): per text, named by its hash and length, the starts (lo << 20 | strings - 1 << 10) of all runs of
     strings that repeat; texts without any have no row."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -229,7 +228,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     sure, more = refine(items)
     unstage(items)
     release(spark)
-    wanted = more.groupBy("k", "n").agg(F.collect_set("pos").alias("runs"))
+    # A table of its own, so that a text with many copies is split in the join.
+    wanted = staged(more.groupBy("k", "n").agg(F.collect_set("pos").alias("runs")), "wanted")
     once = texts.join(wanted, ["k", "n"]).select("__text", "k", "n", "runs")
     ctx = staged(once.mapInArrow(_contexts, "k long, n int, run long, ctx binary").dropDuplicates(["k", "n", "run"]), "contexts")
     release(spark)
@@ -237,13 +237,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     sure1, more1 = refine(pieces.drop("run"))
     left = more1.join(pieces.select("k", "n", "pos", "run"), ["k", "n", "pos"]).join(ctx, ["k", "n", "run"]).select("k", "n", "pos", "ctx")
     strings = staged(left.mapInArrow(_level2, ITEM), "strings")
-    sure2, _ = refine(strings)
-    for x in (ctx, pieces, strings):
+    sure2, more2 = refine(strings)
+    for x in (ctx, pieces, strings, wanted, more, more1, more2):
         unstage(x)
     release(spark)
     plain = F.col("pos").bitwiseAND(~1023)
     found = sure.unionByName(sure1).unionByName(sure2).select("k", "n", plain.alias("pos")).distinct()
-    return found.groupBy("k", "n").agg(F.collect_list("pos").alias("runs"))
+    out = staged(found.groupBy("k", "n").agg(F.collect_list("pos").alias("runs")), "repeats")
+    for x in (sure, sure1, sure2):
+        unstage(x)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -299,8 +302,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
     """
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     keep = [c for c in keep if c not in ("kept", "n_removed", "spans")]
-    runs = staged(repeated_runs(docs), "repeats")
-    release(docs.sparkSession)
+    runs = repeated_runs(docs)
     rows = _keyed(docs).select(*keep, "__text", "__k", "__n")
     met = rows.join(runs.select(F.col("k").alias("__k"), F.col("n").alias("__n"), F.col("runs").alias("__runs")), ["__k", "__n"], "left").select(*keep, "__text", "__runs")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
