@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs here as soon as it has ended, in place of when the driver happens to
+    collect garbage; the session's own setting comes back."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratapack/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
@@ -41,7 +62,8 @@ def staged_by(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     entry in the session's catalog goes with unstage()."""
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/stratapack/{name}"
-    df.write.bucketBy(min(buckets, MOST_BUCKETS), key).format("parquet").option("path", path).saveAsTable(name)
+    with tidy(spark):
+        df.write.bucketBy(min(buckets, MOST_BUCKETS), key).format("parquet").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._stage_path, out._stage_table = path, name
     return out

@@ -20,8 +20,6 @@ their bucket in an ordinary join, which adaptive execution splits where a bucket
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,12 +225,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     items = staged(texts.mapInArrow(_level0, ITEM), "runs")
     sure, more = refine(items)
     unstage(items)
-    release(spark)
     # A table of its own, so that a text with many copies is split in the join.
     wanted = staged(more.groupBy("k", "n").agg(F.collect_set("pos").alias("runs")), "wanted")
     once = texts.join(wanted, ["k", "n"]).select("__text", "k", "n", "runs")
     ctx = staged(once.mapInArrow(_contexts, "k long, n int, run long, ctx binary").dropDuplicates(["k", "n", "run"]), "contexts")
-    release(spark)
     pieces = staged(ctx.mapInArrow(_level1, f"{ITEM}, run long"), "pieces")
     sure1, more1 = refine(pieces.drop("run"))
     left = more1.join(pieces.select("k", "n", "pos", "run"), ["k", "n", "pos"]).join(ctx, ["k", "n", "run"]).select("k", "n", "pos", "ctx")
@@ -240,7 +236,6 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     sure2, more2 = refine(strings)
     for x in (ctx, pieces, strings, wanted, more, more1, more2):
         unstage(x)
-    release(spark)
     plain = F.col("pos").bitwiseAND(~1023)
     found = sure.unionByName(sure1).unionByName(sure2).select("k", "n", plain.alias("pos")).distinct()
     out = staged(found.groupBy("k", "n").agg(F.collect_list("pos").alias("runs")), "repeats")
@@ -249,15 +244,6 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps that are staged; it works beside the driver, so give it a moment."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def cut(raw: bytes, runs: list[int] | None) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal removed spans (start, end) and what is left."""
     spans: list[tuple[int, int]] = []
