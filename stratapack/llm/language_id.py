@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, small_batches, staged
+from .common import documents, small_batches, staged, unstage
 
-#: An n-gram belongs to a language if it is at least this share of the language's n-grams; so a language has at most
-#: 1 / LEAST of them, which bounds the filter whatever the corpus.
-LEAST = 2e-6
-#: .. and if it is at least this times as frequent as in the language where it is most frequent.
+#: Labelled rows of a language that the filter is learned from, about; if there are more, those of the least text hashes.
+SAMPLE = 1 << 16
+#: An n-gram is put in a language's plane if it is at least this times as frequent there as in the language where it is
+#: most frequent: text in another language that a labelled document quotes would else put that language's n-grams there.
 SHARE = 0.5
-#: log2 of the table's slots, and slots per n-gram.
-SLOTS, PROBES = 22, 3
+#: log2 of the table's slots at least, slots per n-gram of the largest language at least, and slots that an n-gram has.
+SLOTS, ROOM, PROBES = 22, 16, 3
 #: Distinct n-grams a task gathers before it hands them on.
 GATHER = 1 << 22
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -91,7 +91,7 @@ class Filter:
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Language bitmasks of n-grams."""
         g = grams.astype(np.uint64)
-        shift = np.uint64(64 - SLOTS)
+        shift = np.uint64(65 - len(self.table).bit_length())
         found = self.table[(g * _ODD[0]) >> shift]
         for odd in _ODD[1:PROBES]:
             found = found & self.table[(g * odd) >> shift]
@@ -101,12 +101,14 @@ class Filter:
     def of(cls, languages: list[str], grams: np.ndarray, langs: np.ndarray) -> Filter:
         words = max(1, -(-len(languages) // 64))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        table = np.zeros((1 << SLOTS, words), kind)
-        shift = np.uint64(64 - SLOTS)
+        most = int(np.bincount(langs.astype(np.int64)).max()) if len(langs) else 0
+        slots = max(SLOTS, (ROOM * most - 1).bit_length())
+        table = np.zeros((1 << slots, words), kind)
+        shift = np.uint64(64 - slots)
         false = np.zeros(len(languages))
         for i in range(len(languages)):
             g = grams[langs == i].astype(np.uint64)
-            plane = np.zeros(1 << SLOTS, bool)
+            plane = np.zeros(1 << slots, bool)
             for odd in _ODD[:PROBES]:
                 plane[(g * odd) >> shift] = True
             table[:, i // 64] |= plane.astype(kind) << kind(i % 64)
@@ -114,21 +116,26 @@ class Filter:
         return cls(languages, table, false)
 
 
-def learn(docs: DataFrame) -> Filter:
-    """The filter of labelled documents (text, lang, neither null). No rows: a filter without languages."""
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Filter:
+    """The filter of labelled documents (text, lang, neither null), of about sample rows a language at most. Every
+    n-gram of those rows counts, however rare. No rows: a filter without languages."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
-    counts = staged(rows.mapInArrow(_count, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(have)
     if not languages:
         return Filter.of([], np.empty(0), np.empty(0))
-    per = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))])
+    part = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / have[lang]))])
+    used = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part[F.col("lang")] * (1 << 30))
+    counts = staged(used.mapInArrow(_count, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    per = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals.get(lang, 0)))])
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
     rated = counts.withColumn("p", F.col("n") / per[F.col("lang")])
     most = F.max("p").over(Window.partitionBy("gram"))  # as many rows as there are languages
-    kept = rated.withColumn("most", most).where((F.col("p") >= LEAST) & (F.col("p") >= SHARE * F.col("most")))
+    kept = rated.withColumn("most", most).where(F.col("p") >= SHARE * F.col("most"))
     found = kept.select("gram", number[F.col("lang")].alias("i")).toArrow()
+    unstage(counts)
     return Filter.of(languages, found.column(0).to_numpy(), found.column(1).to_numpy())
 
 
@@ -189,7 +196,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found: und goes, and so does text with hardly an n-gram of any language."""
+    """Documents in which a language is found: und goes (null text, or none of its characters is a letter), and so does
+    text with hardly an n-gram of any language. Languages are learned from docs; without labels all are und. Equal rows
+    are judged alike. No rows: no rows. Columns of docs keep their names, whatever they are."""
     model = learn(docs.where(~held_out(4)).select("text", "lang"))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
     return predict(rows, model, ["__row"]).where("lang_pred <> 'und' and evidence >= 0.05").select("__row.*")
