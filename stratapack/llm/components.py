@@ -25,13 +25,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _signature(cur)
     while before[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Both sides of a join are plain tables, so that a hub's edges are split.
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = staged(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        unstage(low)
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         new = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now = _signature(new)
-        unstage(cur)
+        for x in (cur, low, large):
+            unstage(x)
         cur = new
         if now == before:
             break
