@@ -87,37 +87,83 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
         at = stop
 
 
-def probe(data: bytes) -> dict:
-    """codec, timescale, duration, and of the first track's samples their starts, sizes and keyframe numbers."""
-    at: dict[bytes, tuple[int, int]] = {}
+def tracks(data: bytes) -> list[dict]:
+    """Of each track that has a sample table: codec, timescale, duration, ticks, and its samples' starts, sizes and
+    keyframe numbers. ValueError names what is missing or does not fit."""
+    found: list[dict[bytes, tuple[int, int]]] = []
     for path, a, z in walk(data):
-        at.setdefault(path[-1], (a, z))
-    u32 = lambda place, n=1: np.frombuffer(data, ">u4", n, place).astype(np.int64)
-    md = at[b"mdhd"][0]
-    timescale, duration = struct.unpack_from(">IQ", data, md + 20) if data[md] == 1 else struct.unpack_from(">II", data, md + 12)
-    codec = struct.unpack_from(">4s", data, at[b"stsd"][0] + 12)[0].decode("latin-1").strip()
-    fixed, n = u32(at[b"stsz"][0] + 4, 2).tolist()
-    sizes = np.full(n, fixed, np.int64) if fixed else u32(at[b"stsz"][0] + 12, n)
-    if b"co64" in at:
-        chunks = int(u32(at[b"co64"][0] + 4)[0])
-        places = np.frombuffer(data, ">u8", chunks, at[b"co64"][0] + 8).astype(np.int64)
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path:
+            found[-1].setdefault(path[-1], (a, z))
+    out = [_track(data, at) for at in found if b"stsd" in at]
+    if not out:
+        raise ValueError("no track with a sample table")
+    return out
+
+
+def _track(data: bytes, at: dict[bytes, tuple[int, int]]) -> dict:
+    def body(*kinds: bytes) -> tuple[bytes, int, int]:
+        for kind in kinds:
+            if kind in at:
+                return kind, *at[kind]
+        raise ValueError(f"box {kinds[0]!r} is missing")
+
+    def table(place: int, end: int, n: int, kind: str = ">u4") -> np.ndarray:
+        if n * np.dtype(kind).itemsize > end - place:
+            raise ValueError(f"a table of {n} entries at {place} does not fit")
+        return np.frombuffer(data, kind, n, place).astype(np.int64)
+
+    def counted(kind: bytes, width: int = 1) -> np.ndarray:
+        _, a, z = body(kind)
+        n = int(table(a + 4, z, 1)[0])
+        return table(a + 8, z, n * width).reshape(-1, width)
+
+    _, a, z = body(b"mdhd")
+    if z - a < (32 if data[a : a + 1] == b"\1" else 20):
+        raise ValueError("box b'mdhd' does not fit")
+    timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    _, a, z = body(b"stsd")
+    if z - a < 16:
+        raise ValueError("box b'stsd' does not fit")
+    codec = data[a + 12 : a + 16].decode("latin-1").strip()
+    kind, a, z = body(b"stsz", b"stz2")
+    bits, n = table(a + 4, z, 2).tolist()
+    if kind == b"stsz":
+        sizes = np.full(n, bits, np.int64) if bits else table(a + 12, z, n)
+    elif bits == 4:
+        sizes = np.stack([(half := table(a + 12, z, -(-n // 2), ">u1")) >> 4, half & 15], axis=1).ravel()[:n]
+    elif bits in (8, 16):
+        sizes = table(a + 12, z, n, f">u{bits // 8}")
     else:
-        chunks = int(u32(at[b"stco"][0] + 4)[0])
-        places = u32(at[b"stco"][0] + 8, chunks)
-    k = int(u32(at[b"stsc"][0] + 4)[0])
-    runs = u32(at[b"stsc"][0] + 8, 3 * k).reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)))
+        raise ValueError(f"sample sizes of {bits} bits")
+    kind, a, z = body(b"co64", b"stco")
+    chunks = int(table(a + 4, z, 1)[0])
+    places = table(a + 8, z, chunks, ">u8" if kind == b"co64" else ">u4")
+    runs, times = counted(b"stsc", 3), counted(b"stts", 2)
+    per = np.repeat(runs[:, 1], np.maximum(0, np.diff(np.append(runs[:, 0], chunks + 1))))
+    if len(per) != chunks or per.sum() != n:
+        raise ValueError(f"chunks hold {int(per.sum())} samples, sizes are of {n}")
     first = np.cumsum(per) - per
-    before = np.cumsum(sizes) - sizes
-    starts = np.repeat(places - before[first], per) + before
-    k = int(u32(at[b"stts"][0] + 4)[0])
-    times = u32(at[b"stts"][0] + 8, 2 * k).reshape(-1, 2)
-    sync = u32(at[b"stss"][0] + 8, int(u32(at[b"stss"][0] + 4)[0])) - 1 if b"stss" in at else np.arange(n)
+    before = np.append(np.cumsum(sizes) - sizes, sizes.sum())
+    starts = np.repeat(places - before[first], per) + before[:-1]
+    if n and (starts + sizes).max() > len(data):
+        raise ValueError("samples end after the file")
+    sync = counted(b"stss")[:, 0] - 1 if b"stss" in at else np.arange(n)
+    if len(sync) and (sync.min() < 0 or sync.max() >= n):
+        raise ValueError("keyframes are not samples")
     return {"codec": codec, "timescale": timescale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "sizes": sizes, "sync": sync}
 
 
+def probe(data: bytes) -> dict:
+    """tracks() of a file, the first."""
+    return tracks(data)[0]
+
+
 def payload(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> bytes:
     """The samples' bytes in order; neighbouring samples are read together."""
+    if not len(starts):
+        return b""
     cuts = np.flatnonzero(starts[1:] != starts[:-1] + sizes[:-1]) + 1
     a, z = np.append(0, cuts), np.append(cuts, len(starts)) - 1
     return b"".join(data[starts[i] : starts[j] + sizes[j]] for i, j in zip(a.tolist(), z.tolist(), strict=True))
@@ -146,45 +192,53 @@ def encode(docs: DataFrame, keep: list[str]) -> DataFrame:
 FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _columns():
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_columns
-            out: dict[str, list] = {k: [] for k in ("codec", "seconds", "n_samples", "keyframes", "feature", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")}
-            for data in b.column(n - 1).to_pylist():
-                if data is None:
-                    for x in out.values():
-                        x.append(None)
-                    continue
-                m = probe(data)
-                starts, ends = m["starts"][m["sync"]], (m["starts"] + m["sizes"])[m["sync"]]
-                ranges = np.stack([starts, ends], axis=1)
-                out["codec"].append(m["codec"])
-                out["seconds"].append(m["duration"] / max(1, m["timescale"]))
-                out["n_samples"].append(len(m["starts"]))
-                out["keyframes"].append([{"start": a, "end": z} for a, z in ranges.tolist()])
-                out["feature"].append(f"{m['codec']};{m['timescale']};{m['duration']};{m['ticks']};{len(m['starts'])};{len(ranges)};{ranges[0][0]}-{ranges[0][1]};{ranges[-1][0]}-{ranges[-1][1]};{zlib.crc32(ranges.astype('>i8').tobytes()):08x}")
-                body = payload(data, m["starts"], m["sizes"])
-                out["payload_bytes"].append(len(body))
-                out["payload_sha256"].append(hashlib.sha256(body).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(body[-16:]))
-                out["media_bytes"].append(len(data))
-                out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-            kinds = [pa.string(), pa.float64(), pa.int64(), pa.list_(FOUND), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n - 1], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=[*b.schema.names[: n - 1], *out])
-
-    return run
+def _ranges(m: dict) -> np.ndarray:
+    return np.stack([m["starts"][m["sync"]], (m["starts"] + m["sizes"])[m["sync"]]], axis=1)
+
+
+def _described(data: bytes) -> dict:
+    """A container's columns, by its first track; tracks has all."""
+    all_tracks = tracks(data)
+    m = all_tracks[0]
+    ranges = _ranges(m)
+    ends = f"{ranges[0][0]}-{ranges[0][1]};{ranges[-1][0]}-{ranges[-1][1]}" if len(ranges) else "-;-"
+    body = payload(data, m["starts"], m["sizes"])
+    each = [{"codec": t["codec"], "seconds": t["duration"] / max(1, t["timescale"]), "n_samples": len(t["starts"]), "keyframes": [{"start": a, "end": z} for a, z in _ranges(t).tolist()]} for t in all_tracks]
+    return {
+        **each[0], "feature": f"{m['codec']};{m['timescale']};{m['duration']};{m['ticks']};{len(m['starts'])};{len(ranges)};{ends};{zlib.crc32(ranges.astype('>i8').tobytes()):08x}",
+        "payload_bytes": len(body), "payload_sha256": hashlib.sha256(body).hexdigest(), "tail_crc32": zlib.crc32(body[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "tracks": each, "error": None,
+    }
+
+
+_TRACK = [("codec", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(FOUND))]
+_KINDS = dict([*_TRACK, ("feature", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tracks", pa.list_(pa.struct(_TRACK))), ("error", pa.string())])
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = b.num_columns
+        rows = []
+        for data in b.column(n - 1).to_pylist():
+            try:
+                rows.append({} if data is None else _described(data))
+            except (ValueError, struct.error) as e:  # what is wrong with one file is told in its row
+                rows.append({"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "error": str(e)})
+        yield pa.RecordBatch.from_arrays([*b.columns[: n - 1], *(pa.array([r.get(k) for r in rows], t) for k, t in _KINDS.items())], names=[*b.schema.names[: n - 1], *_KINDS])
 
 
 def media_columns(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """The keep columns with codec, seconds, n_samples, keyframes (byte ranges), feature and digests of each container.
+    """The keep columns with codec, seconds, n_samples, keyframes (byte ranges), feature and digests of each container's
+    first track, and tracks, which describes all.
 
-    Null media have null columns; a container whose boxes do not fit is an error that names the box.
+    Null media have null columns. A file that is empty, has no track, or whose boxes or tables do not fit has an error
+    that says so, its size and digest, and nulls elsewhere. Fragments are not read: their samples are in no sample table.
+    Repeated rows are read alike; no rows: no rows.
     """
-    kinds = "codec string, seconds double, n_samples long, keyframes array<struct<start:bigint,end:bigint>>, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    return df.select(*keep, media).mapInArrow(_columns(), f"{_schema(df, keep)}{kinds}")
+    track = "codec string, seconds double, n_samples long, keyframes array<struct<start:bigint,end:bigint>>"
+    kinds = f"{track}, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tracks array<struct<codec:string,seconds:double,n_samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>, error string"
+    return df.select(*keep, media).mapInArrow(_columns, f"{_schema(df, keep)}{kinds}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns(encode(documents(spark, sf_dir), ["doc_id"]), ["doc_id", "n_bytes"])
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "keyframes")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, LITERAL = "▁", "\uffff"
+#: The mark stands for a space; a mark in a text becomes a lone surrogate meanwhile, which no valid text holds.
+MARK, LITERAL = "▁", "\ud800"
 #: Lattices that a worker keeps in each of two generations, and the longest that is kept.
 KEEP, LONG = 120_000, 32
 #: What a byte piece costs beside the rarest piece, in nats.
@@ -103,7 +104,7 @@ class Vocabulary:
         return np.where(codes < NEAR, codes, np.where(codes == ord(MARK), NEAR, NEAR + 1))
 
     def split(self, text: str) -> list[str]:
-        """A text's separate lattices, none for an empty text. A literal mark is U+FFFF, so that decoding gives it back."""
+        """A text's separate lattices, none for an empty text. A literal mark is spelled in bytes, so that decoding gives it back."""
         if not text:
             return []
         text = MARK + text.replace(MARK, LITERAL).replace(" ", MARK)
@@ -284,7 +285,8 @@ def encode(docs: DataFrame, keep: list[str], n: int = 4, path: str = MODEL, ids:
     """The keep columns, n_pieces, score, nbest_scores, digests of the ids, decoded_ok and with ids nbest_ids.
 
     Null and empty texts have no pieces, score 0 and one segmentation. Spaces are kept as they stand, characters
-    outside the vocabulary become byte pieces, so every text decodes to itself. Ties go to the arc that starts
+    outside the vocabulary become byte pieces, so every valid text decodes to itself (lone surrogates are not valid, and
+    Spark holds none). Of clashing names in docs, only those in keep matter. No rows: no rows. Ties go to the arc that starts
     first. The vocabulary is read on the driver from path and is of fixed size. Repeated rows are encoded alike.
     """
     spark = docs.sparkSession
@@ -301,6 +303,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids with their best segmentation, ready for training."""
-    out = encode(docs, ["doc_id", "lang", "source"], n=1)
+    """The documents' ids with their best segmentation, ready for training. Null and empty texts have no ids; equal rows
+    are rows of their own; lang and source are null where docs has no such column. No rows: no rows."""
+    named = docs.select("doc_id", *[(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")], "text")
+    out = encode(named, ["doc_id", "lang", "source"], n=1)
     return out.select("doc_id", "lang", "source", "n_pieces", "score", "decoded_ok", F.col("nbest_ids")[0].alias("ids"))

@@ -65,6 +65,58 @@ def test_media_round_trip(spark):
         media.probe(data[:-5])
 
 
+def test_media_tells_what_is_wrong_with_a_file(spark):
+    good = media.write_container(media.pad(b"abc"))
+    nothing = media._box(b"ftyp", b"isom")
+    cases = {1: b"", 2: nothing, 3: good[:-5], 4: good[:40], 5: good.replace(b"mdhd", b"free"), 6: good.replace(b"stco", b"free"), 7: good, 8: None, 9: b"\xff" * 100}
+    rows = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in cases.items()], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.media_columns(rows, ["doc_id"]).collect()}
+    assert {i for i, r in got.items() if r["error"]} == {1, 2, 3, 4, 5, 6, 9} and got[8]["media_bytes"] is None and got[7]["payload_bytes"] == 192
+    assert got[1]["media_bytes"] == 0 and got[3]["codec"] is None and len(got[7]["tracks"]) == 1
+
+
+def test_media_columns_against_the_bytes(spark):
+    """The query's columns by a plain reading of the form it writes: one track of 8-bit samples in one run of bytes."""
+    import hashlib
+
+    texts = {1: "abc é", 2: None, 3: "x" * 7000}
+    out = media.media_columns(media.encode(docs(spark, list(texts.items())), ["doc_id"]), ["doc_id", "n_bytes"]).collect()
+    for r in out:
+        raw = (texts[r["doc_id"]] or "").encode()
+        body = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        data = media.write_container(body)
+        at = data.index(b"mdat") + 4
+        frames = [(at + i, at + i + 192) for i in range(0, len(body), 1920)]
+        assert data[at:] == body and (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], r["codec"], r["seconds"]) == (len(data), hashlib.sha256(data).hexdigest(), "raw", len(body) / 8000)
+        assert [(k["start"], k["end"]) for k in r["keyframes"]] == frames and r["n_samples"] == len(body) // 192
+        packed = b"".join(a.to_bytes(8, "big") + z.to_bytes(8, "big") for a, z in frames)
+        n = len(body)
+        assert r["feature"] == f"raw;8000;{n};{n};{n // 192};{len(frames)};{frames[0][0]}-{frames[0][1]};{frames[-1][0]}-{frames[-1][1]};{zlib.crc32(packed):08x}"
+
+
+def test_media_reads_all_tracks_and_short_sizes():
+    import struct
+
+    box, full = media._box, media._full
+
+    def trak(codec, sizes, bits, at):
+        if bits == 4:
+            raw = bytes((sizes[i] << 4) | (sizes[i + 1] if i + 1 < len(sizes) else 0) for i in range(0, len(sizes), 2))
+        else:
+            raw = b"".join(s.to_bytes(bits // 8, "big") for s in sizes)
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), full(b"stts", struct.pack(">III", 1, len(sizes), 5)), full(b"stsc", struct.pack(">I3I", 1, 1, len(sizes), 1)), full(b"stz2", struct.pack(">II", bits, len(sizes)), raw), full(b"stco", struct.pack(">II", 1, at)))
+        return box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 5 * len(sizes), 0, 0)), box(b"minf", stbl)))
+
+    make = lambda at: box(b"moov", trak(b"avc1", [2, 1, 3], 4, at), trak(b"mp4a", [1, 2], 16, at + 6), trak(b"text", [], 8, at))
+    at = len(make(0)) + 8
+    data = make(at) + box(b"mdat", b"abcdefghi")
+    got = media.tracks(data)
+    assert [t["codec"] for t in got] == ["avc1", "mp4a", "text"]
+    assert [media.payload(data, t["starts"], t["sizes"]) for t in got] == [b"abcdef", b"ghi", b""]
+    assert media._described(box(b"moov", trak(b"text", [], 8, 8)))["payload_bytes"] == 0
+
+
 def test_media_reads_other_layouts():
     """Varying sample sizes, 64-bit offsets, chunks out of order, no sync table, a box to the end of the file."""
     import struct
@@ -286,12 +338,12 @@ def test_pieces_decode_like_the_library(vocabulary):
 
 
 def test_pieces_edges_of_input(spark):
-    rows = [(1, None), (2, ""), (3, " "), (None, "x" * 40_000), (5, "▁ ￿"[:2]), (5, "▁ ")]
+    rows = [(1, None), (2, ""), (3, " "), (None, "x" * 40_000), (5, "▁ \uffff"), (5, "▁ "), (5, "\uffff▁ \U0010ffff")]
     d = docs(spark, rows).withColumn("score", F.lit("clash")).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
     out = pieces.encode(d, ["doc_id"], n=3).collect()
     assert all(r["decoded_ok"] for r in out) and {r["n_pieces"] for r in out if r["doc_id"] in (1, 2)} == {0}
     assert pieces.encode(docs(spark, []), ["doc_id"]).count() == 0
-    assert pieces.stage(spark, d, "").where("size(ids) = n_pieces").count() == 6
+    assert pieces.stage(spark, d, "").where("size(ids) = n_pieces and decoded_ok").count() == 7
 
 
 def test_kept_is_bounded():
