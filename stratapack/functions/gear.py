@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 
@@ -24,8 +25,8 @@ def _generate() -> tuple[int, ...]:
 
 GEAR = _generate()
 _LANES = np.array(GEAR, np.uint32)
-#: Strings that are worth a step in common.
-FEW = 24
+#: Lanes that are worth a step in common, lanes at most, and steps whose table values are looked up at a time.
+FEW, MOST, AHEAD = 16, 4096, 512
 
 
 @dataclass(frozen=True)
@@ -61,48 +62,79 @@ class Cuts:
         return ends + [len(data)] if start < len(data) else ends
 
     def ends_of_all(self, datas: list[bytes]) -> list[list[int]]:
-        """ends() of many strings: all advance by one byte in each step, until few are left, which go on alone."""
-        if self.read_grid or len(datas) < FEW:
-            return [self.ends(d) for d in datas]
-        sizes = np.array([len(d) for d in datas])
-        order = np.argsort(-sizes, kind="stable")
-        flat = np.frombuffer(b"".join(datas[i] for i in order), np.uint8)
-        sizes = sizes[order]
-        at = np.cumsum(sizes) - sizes
-        h, held = np.zeros(len(datas), np.uint32), np.zeros(len(datas), np.int64)
-        mask, one, top, wrap = np.uint32(self.mask), np.uint32(1), np.uint32(31), self.hash == "rotate"
-        # How many strings have a byte at each step: they are sorted by length.
-        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[FEW - 1])), side="right")
-        lanes, places = [], []
-        for t, k in enumerate(live.tolist()):
-            g, n = h[:k], held[:k]
-            turned = g << one
-            if wrap:
-                turned |= g >> top
-            np.add(turned, _LANES[flat[at[:k] + t]], out=g)
-            n += 1
-            cut = np.flatnonzero((n >= self.least) & (((g & mask) == 0) | (n >= self.most)))
-            if len(cut):
-                lanes.append(cut)
-                places.append(np.full(len(cut), t + 1))
-                g[cut] = 0
-                n[cut] = 0
+        """ends() of many strings. Strings are dealt into lanes of like length, one after the other in a lane, and all
+        lanes advance by one byte in each step. A string too long for that, beside the others, goes alone: where a
+        chunk ends depends on all bytes since the last end, so one string has no steps that could be taken apart."""
         out: list[list[int]] = [[] for _ in datas]
-        if lanes:
-            lane, place = np.concatenate(lanes), np.concatenate(places)
-            by = np.argsort(lane, kind="stable")
-            lane, place = lane[by], place[by]
-            edges = np.searchsorted(lane, np.arange(len(datas) + 1))
-            for j, i in enumerate(order.tolist()):
-                out[i] = place[edges[j] : edges[j + 1]].tolist()
-        for j, i in enumerate(order.tolist()):
-            n = int(sizes[j])
-            if n > len(live):
-                out[i] += [len(live) + e for e in self._scan(datas[i][len(live) :], int(h[j]), int(held[j]))[1]]
-            if n and (not out[i] or out[i][-1] < n):
-                out[i].append(n)
+        sizes = [len(d) for d in datas]
+        left = sum(sizes)
+        order = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: -sizes[i])
+        some = []
+        for i in order:
+            if sizes[i] * FEW > left or (self.read_grid and sizes[i] > self.read_grid):
+                out[i] = self.ends(datas[i])
+                left -= sizes[i]
+            else:
+                some.append(i)
+        if some:
+            for i, ends in zip(some, self._lanes([datas[i] for i in some], min(MOST, left // sizes[some[0]])), strict=True):
+                out[i] = ends
         return out
 
+    def _lanes(self, datas: list[bytes], lanes: int) -> list[list[int]]:
+        """ends() of strings that are not empty, the longest first, in so many lanes."""
+        loads = [(0, k) for k in range(lanes)]
+        held: list[list[int]] = [[] for _ in range(lanes)]
+        place = np.zeros(len(datas), np.int64)
+        for i, d in enumerate(datas):
+            load, k = heappop(loads)
+            held[k].append(i)
+            place[i] = load
+            heappush(loads, (load + len(d), k))
+        steps = max(load for load, _ in loads)
+        flat = np.frombuffer(b"".join(b"".join([datas[i] for i in own]).ljust(steps, b"\0") for own in held), np.uint8).reshape(lanes, steps)
+        lane = np.zeros(len(datas), np.int64)
+        for k, own in enumerate(held):
+            lane[own] = k
+        last = place + np.array([len(d) for d in datas])
+        by = np.argsort(last, kind="stable")
+        stops, owners = last[by], lane[by]
+        edge = np.flatnonzero(np.diff(stops, prepend=-1)).tolist() + [len(stops)]
+        h, start, turned, high = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int64), np.empty(lanes, np.uint32), np.empty(lanes, np.uint32)
+        mask, one, top, wrap = np.uint32(self.mask), np.uint32(1), np.uint32(31), self.hash == "rotate"
+        found, at, turn, due, stop = [], [], 0, self.most, int(stops[0])
+        for t0 in range(0, steps, AHEAD):
+            for t, g in enumerate(_LANES[np.ascontiguousarray(flat[:, t0 : t0 + AHEAD].T)], t0 + 1):
+                np.left_shift(h, one, out=turned)
+                if wrap:
+                    np.right_shift(h, top, out=high)
+                    np.bitwise_or(turned, high, out=turned)
+                np.add(turned, g, out=h)
+                np.bitwise_and(h, mask, out=high)
+                cut = None
+                if not high.all():
+                    cut = np.flatnonzero(high == 0)
+                    cut = cut[t - start[cut] >= self.least]
+                if t >= due:
+                    full = np.flatnonzero(t - start >= self.most)
+                    cut = full if cut is None else np.union1d(cut, full)
+                if t == stop:
+                    ended = owners[edge[turn] : edge[turn + 1]]
+                    cut = ended if cut is None else np.union1d(cut, ended)
+                    turn += 1
+                    stop = int(stops[edge[turn]]) if turn + 1 < len(edge) else -1
+                if cut is not None and len(cut):
+                    found.append(cut)
+                    at.append(t)
+                    h[cut] = 0
+                    start[cut] = t
+                if t >= due:
+                    due = int(start.min()) + self.most
+        ends = np.sort(np.concatenate(found) * (steps + 1) + np.repeat(at, [len(x) for x in found]))
+        first = lane * (steps + 1) + place
+        a, z = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, lane * (steps + 1) + last, side="right")
+        return [(ends[i:j] - f).tolist() for i, j, f in zip(a.tolist(), z.tolist(), first.tolist(), strict=True)]
+
     def _scan(self, data: bytes, h: int, held: int = 0) -> tuple[int, list[int], int]:
         """End of the last chunk closed, all ends, and the hash of what is open; held bytes came before the data."""
         gear, mask, least, most, start, out = GEAR, self.mask, self.least, self.most, -held, []

@@ -14,32 +14,51 @@ from pyspark.sql.window import Window
 from ..functions.gear import Cuts
 from ..util import ordered_index
 
-#: Chunks whose sizes are folded in one task.
-FOLD = 1 << 16
+#: Blocks' bytes that are folded in one task.
+RANGE = 256
 
 
-def chunk_files(files: DataFrame, cuts: Cuts, with_bytes: bool = True) -> DataFrame:
-    """(file_id, chunk_ord, start, end, len, hash[, bytes]) of files (file_id, content): one row per chunk, in a narrow
-    pass; the hash is Spark's own SHA-256."""
+#: Bytes of files that are chunked in common, and files at most.
+COMMON, FILES = 16 << 20, 1 << 14
+
+
+def chunk_files(files: DataFrame, cuts: Cuts, with_bytes: bool = True, key: str = "file_id") -> DataFrame:
+    """(key, chunk_ord, start, end, len, hash[, bytes]) of files (key, content): one row per chunk, in a narrow pass; the
+    hash is Spark's own SHA-256. A file is one string, so it must fit a task."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def cut(keys: list[pa.Array], datas: list[bytes]) -> pa.RecordBatch:
+        ends = cuts.ends_of_all(datas)
+        count = np.array([len(e) for e in ends], np.int64)
+        last = np.concatenate([np.array(e, np.int64) for e in ends])
+        own = np.repeat(np.arange(len(ends)), count)
+        order = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        first = np.where(order == 0, 0, np.concatenate([[0], last])[:-1])
+        sizes = np.array([len(d) for d in datas], np.int64)
+        # Chunks stand side by side in the files' bytes.
+        at = np.concatenate([[0], last + np.repeat(np.cumsum(sizes) - sizes, count)]).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(at), pa.py_buffer(b"".join(datas))])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys).take(pa.array(own)), pa.array(order.astype(np.int32)), pa.array(first), pa.array(last), parts], names=["key", "chunk_ord", "start", "end", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, datas, size = [], [], 0
         for b in batches:
-            datas = [d or b"" for d in b.column(1).to_pylist()]
-            ends = cuts.ends_of_all(datas)
-            count = np.array([len(e) for e in ends], np.int64)
-            last = np.concatenate([np.array(e, np.int64) for e in ends]) if ends else np.empty(0, np.int64)
-            first = np.concatenate([np.array([0, *e[:-1]], np.int64) for e in ends if e]) if len(last) else last
-            own = np.repeat(np.arange(len(ends)), count)
-            order = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            parts = [datas[i][a:z] for i, a, z in zip(own.tolist(), first.tolist(), last.tolist(), strict=True)]
-            cols = [b.column(0).take(pa.array(own)), pa.array(order.astype(np.int32)), pa.array(first), pa.array(last), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["file_id", "chunk_ord", "start", "end", "bytes"])
+            for k, data in enumerate(b.column(1).to_pylist()):
+                if size + len(data or b"") > COMMON or len(datas) == FILES:
+                    if datas:
+                        yield cut(keys, datas)
+                    keys, datas, size = [], [], 0
+                keys.append(b.column(0).slice(k, 1))
+                datas.append(data or b"")
+                size += len(datas[-1])
+        if datas:
+            yield cut(keys, datas)
 
     spark = files.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 500:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    out = files.select("file_id", "content").mapInArrow(run, "file_id bigint, chunk_ord int, start bigint, end bigint, bytes binary")
-    out = out.select("file_id", "chunk_ord", "start", "end", (F.col("end") - F.col("start")).cast("int").alias("len"), F.sha2("bytes", 256).alias("hash"), "bytes")
+    out = files.select(key, "content").mapInArrow(run, f"key {kind}, chunk_ord int, start bigint, end bigint, bytes binary")
+    out = out.select(F.col("key").alias(key), "chunk_ord", "start", "end", (F.col("end") - F.col("start")).cast("int").alias("len"), F.sha2("bytes", 256).alias("hash"), "bytes")
     return out if with_bytes else out.drop("bytes")
 
 
@@ -73,30 +92,43 @@ def closes(sizes: np.ndarray, limit: int, held: int) -> tuple[np.ndarray, int]:
         base = int(sums[at])
 
 
+def outcomes(sizes: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """What a range does with an open block that it is entered with: (least, n, left), the largest least first: from
+    least bytes on, n blocks close and left bytes stay open. least -1: nothing closes, left is the range's size.
+
+    The first block closes at chunk k for entries of at least limit - sums[k]; what follows depends on k alone. Entries
+    with one outcome are one row: chains of blocks meet soon, so rows are few however small the chunks are."""
+    sums = np.cumsum(sizes)
+    ks = np.arange(min(len(sums), int(np.searchsorted(sums, limit)) + 1))
+    least = np.maximum(0, limit - sums[ks])
+    at, n = ks.copy(), np.ones(len(ks), np.int64)  # the chunk that closes each chain's last block so far
+    while True:
+        nxt = np.searchsorted(sums, sums[at] + limit)
+        go = nxt < len(sums)
+        if not go.any():
+            break
+        at, n = np.where(go, nxt, at), n + go
+    left = sums[-1] - sums[at]
+    new = np.append(True, (n[:-1] != n[1:]) | (left[:-1] != left[1:]))
+    # Of entries with one outcome the last has the least bytes.
+    end = np.append(np.flatnonzero(new)[1:], len(ks)) - 1
+    out = [(int(least[i]), int(n[i]), int(left[i])) for i in end]
+    return out if least[-1] == 0 else [*out, (-1, 0, int(sums[-1]))]
+
+
 def solid_blocks(unique: DataFrame, limit: int) -> DataFrame:
-    """unique (chunk_idx, raw_size, ..) with block_id and off_in_block.
+    """unique (chunk_idx, raw_size, spool_offset, ..) with block_id and off_in_block.
 
-    A block closes with the chunk that takes it to the limit, so each depends on all before. Ranges of FOLD chunks are
-    folded apart: each says, for what an open block may hold on entry, how many blocks it closes and what it leaves
-    open. That is a few steps per range, since entry matters only until the first block closes. The driver chains
-    them, and each range is folded once more from what it is entered with.
+    A block closes with the chunk that takes it to the limit, so each depends on all before. Ranges of RANGE blocks'
+    bytes are folded apart: each says, for what an open block may hold on entry, how many blocks it closes and what it
+    leaves open. The driver chains these few outcomes per range, and each range is folded once more from what it is
+    entered with.
     """
-    rows = unique.withColumn("__r", F.floor(F.col("chunk_idx") / FOLD))
+    rows = unique.withColumn("__r", F.floor(F.col("spool_offset") / (RANGE * limit)))
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf.sort_values("chunk_idx")["raw_size"].to_numpy(np.int64)
-        sums = np.cumsum(sizes)
-        # The first block closes at chunk k for entries of at least limit - sums[k]; what follows depends on k alone.
-        entries = []
-        for k in range(len(sums)):
-            least = max(0, limit - int(sums[k]))
-            ends, left = closes(sizes[k + 1 :], limit, 0)
-            entries.append((least, len(ends) + 1, left))
-            if least == 0:
-                break
-        else:
-            entries.append((-1, 0, int(sums[-1])))
-        return pd.DataFrame([(int(pdf["__r"].iloc[0]), *e) for e in entries], columns=["r", "least", "n", "left"])
+        return pd.DataFrame([(int(pdf["__r"].iloc[0]), *e) for e in outcomes(sizes, limit)], columns=["r", "least", "n", "left"])
 
     plan = rows.select("__r", "chunk_idx", "raw_size").groupBy("__r").applyInPandas(steps, "r long, least long, n long, left long").toPandas()
     starts, block, held = [], 0, 0

@@ -16,6 +16,10 @@ class NoFiles(ValueError):
     """There is nothing to pack."""
 
 
+class SameName(ValueError):
+    """Two files have one path."""
+
+
 def _view(df: DataFrame, number: Column, path: Column, content: Column) -> DataFrame:
     body = F.encode(content, "UTF-8")
     return df.select(number.cast("bigint").alias("file_id"), path.alias("rel_path"), body.alias("content"), F.octet_length(body).cast("bigint").alias("size"), F.lit(420).alias("mode"), (F.lit(1_600_000_000_000) + number.cast("bigint") * 1000).alias("mtime_ms"))

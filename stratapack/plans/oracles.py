@@ -73,7 +73,39 @@ def _human(n: str) -> str:
     return f"CASE {out} END"
 
 
+def _crc_table() -> str:
+    """The table of CRC-32 by its rule: eight halvings, each with the polynomial if a bit falls out."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ 0xEDB88320 * (x & 1)
+        out.append(x)
+    return f"[{', '.join(map(str, out))}]::BIGINT[]"
+
+
+def _crc(hexed: str) -> str:
+    """CRC-32 of bytes in hex, folded byte by byte."""
+    each = f"list_transform(regexp_extract_all({hexed}, '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
+    "crc32_files": _with(FILES) + f" SELECT doc_id AS file_id, {_crc('x')} AS crc FROM files",
+    "zip_stored": f"""
+        WITH p AS (SELECT 'pages/' || page_id || '.html' AS rel_path, hex(encode(coalesce(html, ''))) AS x FROM pages),
+        s AS (SELECT rel_path, (len(x) // 2)::BIGINT AS size, {_crc('x')} AS crc FROM p)
+        SELECT rel_path, size, size AS comp_size, crc, row_number() OVER (ORDER BY rel_path) - 1 AS ord,
+          coalesce(sum(30 + octet_length(encode(rel_path)) + size) OVER (ORDER BY rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS header_offset FROM s""",
+    "codec_roundtrip": "SELECT page_id AS file_id, octet_length(encode(coalesce(html, '')))::BIGINT AS size, sha256(encode(coalesce(html, ''))) AS sha256 FROM pages",
+    "extract_roundtrip_fast": "SELECT 'pages/' || page_id || '.html' AS rel_path, sha256(encode(coalesce(html, ''))) AS sha256, octet_length(encode(coalesce(html, '')))::BIGINT AS raw_size FROM pages",
+    "extracted_files": _with(FILES) + " SELECT rel_path, size, sha256(unhex(x)) AS sha256, 1600000000000 + doc_id * 1000 AS mtime_ms FROM files",
+    "container_marks": _with(*_ALL) + """ SELECT 2 AS version, 'store' AS mode, 1 AS flags, file_count, chunk_count, total_raw, total_comp, data_start + comp_bytes AS chunk_index_off,
+        data_start + comp_bytes + 12 * chunk_count AS block_index_off, block_count FROM totals""",
+    "container_entries": _with(FILES, CHUNKS, DICT) + """, m AS (SELECT file_id, count(*)::INT AS n, string_agg(chunk_idx::VARCHAR, ',' ORDER BY chunk_ord) AS chunk_map FROM occ JOIN dict USING (hash) GROUP BY file_id)
+        SELECT f.file_id AS file_ord, rel_path, 420 AS mode, 1600000000000 + doc_id * 1000 AS mtime_ms, size AS raw_size, coalesce(n, 0)::INT AS chunk_count, coalesce(chunk_map, '') AS chunk_map
+        FROM files f LEFT JOIN m ON f.file_id = m.file_id""",
+    "container_chunks": _with(*_ALL) + """, places AS (SELECT block_id, raw_size AS block_size, data_start + coalesce(sum(raw_size) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS data_offset FROM blocks, totals)
+        SELECT chunk_idx, p.block_id, off_in_block, raw_size::BIGINT AS raw_size, data_offset, block_size, true AS stored FROM placed p JOIN places ON p.block_id = places.block_id""",
     "dedup_exact_docs": """
         WITH f AS (SELECT sha256(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents),
         p AS (SELECT h, count(*) AS n, max(size) AS size FROM f GROUP BY h),

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,9 @@ from ..functions import scalars as S
 from ..functions.gear import Cuts
 from ..operators import chunks as C
 from ..operators import files as Files
+from ..sources import container, filetree, sinks
 from ..streaming.incremental import new_chunks
-from ..util import ordered_index, staged
+from ..util import ordered_index, shared_dir, staged
 from . import archive
 
 #: Chunking and blocks of the queries: documents are small against the defaults.
@@ -248,16 +252,83 @@ def crc32_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Files.document_files(spark, sf_dir).select("file_id", F.crc32("content").alias("crc"))
 
 
-def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(codecs.deflate(x, 9)) for x in b.column(2).to_pylist()], pa.int64()), pa.array([zlib.crc32(x) for x in b.column(2).to_pylist()], pa.int64())], names=["rel_path", "size", "comp_size", "crc"])
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packed by the codec of mode fast, unpacked again, and digested."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column(1).to_pylist()
+            back = [p if s else codecs.decompress("fast", p, len(x)) for x, (p, s) in ((x, codecs.pack_block("fast", x)) for x in data)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(back, pa.binary())], names=["file_id", "content"])
+
+    out = Files.page_files(spark, sf_dir).select("file_id", "content").mapInArrow(run, "file_id bigint, content binary")
+    return out.select("file_id", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def _manifest(files: DataFrame, level: int) -> DataFrame:
+    """Entries of a ZIP of files, with the offsets of their local headers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(codecs.deflate(x, level)) for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64())], names=["rel_path", "size", "comp_size", "crc"])
+
+    rows = files.select("rel_path", "size", "content").mapInArrow(run, "rel_path string, size bigint, comp_size bigint, crc bigint")
+    rows = rows.withColumn("local", F.octet_length("rel_path") + 30 + F.col("comp_size"))
+    return ordered_index(rows, [Files.canonical_key(F.col("rel_path"))], "ord", {"header_offset": "local"}).drop("local")
 
 
 def zip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a ZIP of the pages, with the offsets of their local headers."""
-    files = Files.page_files(spark, sf_dir).select("rel_path", "size", "content").mapInArrow(_deflated, "rel_path string, size bigint, comp_size bigint, crc bigint")
-    files = files.withColumn("local", F.octet_length("rel_path") + 30 + F.col("comp_size"))
-    return ordered_index(files, [Files.canonical_key(F.col("rel_path"))], "ord", {"header_offset": "local"}).drop("local")
+    return _manifest(Files.page_files(spark, sf_dir), 9)
+
+
+def zip_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(Files.page_files(spark, sf_dir), 0)
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share, as a path."""
+    path = f"{shared_dir(spark).removeprefix('file://')}/stratapack/{tag}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+def _container(spark: SparkSession, sf_dir: str, mode: str = "store") -> str:
+    """The documents' container, written."""
+    path = f"{_folder(spark, 'container')}/documents.drk"
+    container.write(archive.pack(Files.document_files(spark, sf_dir), replace(OPTIONS, mode=mode)), path)
+    return path
+
+
+def container_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and footer of the written container."""
+    path = _container(spark, sf_dir)
+    return container.relation(spark, path, "header").join(F.broadcast(container.relation(spark, path, "footer")))
+
+
+def container_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File table and chunk maps as they are read from the container."""
+    return container.read(spark, _container(spark, sf_dir)).entries.withColumn("chunk_map", F.array_join(F.col("chunk_map").cast("array<string>"), ","))
+
+
+def container_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk index of the container, with the offset of each chunk's block."""
+    made = container.read(spark, _container(spark, sf_dir))
+    return made.chunks.join(made.blocks.select("block_id", "data_offset", F.col("raw_size").alias("block_size"), "stored"), "block_id")
+
+
+def extracted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container of mode fast, read, extracted to a folder, and the folder scanned."""
+    to = _folder(spark, "extracted")
+    sinks.extract_to(container.read(spark, _container(spark, sf_dir, "fast")).extract(), to).count()
+    found = filetree.with_content(filetree.scan(spark, [to], to))
+    return found.select("rel_path", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"), F.round("mtime_ms").cast("bigint").alias("mtime_ms"))
+
+
+def extract_roundtrip_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packed in mode fast with the chunking of large files, and extracted."""
+    made = archive.pack(Files.page_files(spark, sf_dir), archive.Options(mode="fast", block=1 << 20))
+    return made.extract().select("rel_path", F.sha2("content", 256).alias("sha256"), "raw_size")
 
 
 def incremental_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,8 +82,12 @@ def write_zip(files: DataFrame, path: str, level: int = 9) -> int:
             central.append(_CENTRAL.pack(CENTRAL_MARK, NEEDS, NEEDS, *shared, 0, 0, 0, 0, at) + name)
             n += 1
         at, table = f.tell(), b"".join(central)
-        f.write(table + _END.pack(END_MARK, 0, 0, n & 0xFFFF, n & 0xFFFF, len(table), at, 0))
+        if n < 0xFFFF and at + len(table) < 0xFFFFFFFF:
+            f.write(table + _END.pack(END_MARK, 0, 0, n, n, len(table), at, 0))
         size = f.tell()
+    if n >= 0xFFFF or at + len(table) >= 0xFFFFFFFF:
+        os.unlink(tmp)
+        raise UnsupportedFormat(f"{n} files and {at} bytes are more than a ZIP without extensions can list; pack as drk")
     os.replace(tmp, path)
     return size
 

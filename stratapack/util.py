@@ -11,18 +11,43 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where there is no other machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stratapack-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again, so later steps do not depend on executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/stratapack/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again, so later steps do not depend on executors that made it. Spark
+    deletes the shuffle files of the step as it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stratapack/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that no later result reads."""
+    spark, path = df.sparkSession, df._stage_path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ordered_index(df: DataFrame, order: list[Column], name: str, running: dict[str, str] | None = None) -> DataFrame:

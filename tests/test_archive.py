@@ -126,9 +126,10 @@ def test_pushdown_and_native_layout(spark, tmp_path):
 
 
 def test_blocks_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(C, "FOLD", 64)
+    monkeypatch.setattr(C, "RANGE", 4)
     sizes = np.random.default_rng(5).integers(1, 900, 2000).tolist()
-    df = spark.createDataFrame(list(enumerate(sizes)), "chunk_idx long, raw_size int")
+    before = np.concatenate([[0], np.cumsum(sizes)])[:-1].tolist()
+    df = spark.createDataFrame(list(zip(range(2000), sizes, before, strict=True)), "chunk_idx long, raw_size int, spool_offset long")
     got = [(r["block_id"], r["off_in_block"]) for r in C.solid_blocks(df, 5000).orderBy("chunk_idx").collect()]
     want, block, held = [], 0, 0
     for s in sizes:
@@ -139,6 +140,46 @@ def test_blocks_over_many_ranges(spark, monkeypatch):
     assert got == want
 
 
+def test_outcomes_of_a_range_are_those_of_each_entry():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        sizes, limit = r.integers(1, 40, int(r.integers(1, 60))), int(r.integers(1, 200))
+        found = C.outcomes(sizes, limit)
+        for held in range(limit):
+            ends, left = C.closes(sizes, limit, held)
+            hit = [x for x in found if 0 <= x[0] <= held]
+            assert (max(hit)[1:] if hit else (0, held + found[-1][2])) == (len(ends), left)
+    assert len(C.outcomes(np.full(65_536, 100), 1 << 20)) < 65_536
+
+
+def test_a_file_of_many_chunks_and_a_block_for_many_files(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    long = r.integers(0, 256, 20_000 * 300, dtype=np.uint8).tobytes()
+    same = r.integers(0, 256, 900, dtype=np.uint8).tobytes()
+    rows = [("long", bytearray(long))] + [(f"copy{i}", bytearray(same)) for i in range(400)]
+    files = spark.createDataFrame(rows, "rel_path string, content binary").selectExpr("rel_path", "content", "cast(octet_length(content) as bigint) as size", "420 as mode", "0L as mtime_ms")
+    monkeypatch.setattr(A, "SPLIT", 50_000)
+    made = A.pack(files, A.Options(mode="store", cuts=Cuts(avg=256, least=64, most=1024), block=64 << 10))
+    assert made.totals().first()["refs"] > 20_000
+    assert restored(made) == {n: bytes(b) for n, b in rows}
+    with pytest.raises(Files.SameName):
+        A.pack(files.unionByName(files))
+
+
+def test_the_last_rename_of_a_name_counts(spark, tmp_path):
+    write(tmp_path, {"d/a": b"A"})
+    made = pack_tree(spark, str(tmp_path), "d", A.Options(mode="store"))
+    renamed, report = made.rename(spark.createDataFrame([("d/a", f"n{i}") for i in range(50)], "old string, new string").coalesce(1))
+    assert [r["rel_path"] for r in renamed.list().collect()] == ["n49"] and [r["new"] for r in report.collect()] == ["n49"]
+
+
+def test_zip_refuses_what_it_cannot_list(spark, tmp_path):
+    many = spark.range(65_536).selectExpr("cast(id as string) as rel_path", "cast('' as binary) as content")
+    with pytest.raises(sinks.UnsupportedFormat):
+        sinks.write_zip(many, str(tmp_path / "o.zip"), 0)
+    assert not os.listdir(tmp_path)
+
+
 def test_ordered_index(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "k int, v int")
     rows = ordered_index(df, [F.col("k")], "n", {"run": "v"}).orderBy("k").collect()

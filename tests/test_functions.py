@@ -67,6 +67,22 @@ def test_read_grid():
     assert ends != whole.ends(data) and ends[-1] == len(data) and ends == sorted(set(ends))
 
 
+@pytest.mark.parametrize("grid", [100, 257, 4096])
+def test_read_grid_against_brute_force(grid):
+    """The hash goes on over the bytes in the order a reader feeds them: with each block, what is unfinished again."""
+    for seed, size in ((1, 0), (2, 99), (3, 20_000), (4, 9_999)):
+        data = np.random.default_rng(seed).integers(0, 256 if seed % 2 else 3, size, dtype=np.uint8).tobytes()
+        want, h, open_from = [], 0, 0
+        for block in range(0, size, grid):
+            length = 0
+            for at in range(open_from, min(size, block + grid)):
+                h, length = (((h * 2) % 2**32 | h // 2**31) + GEAR[data[at]]) % 2**32, length + 1
+                if length == 512 or (length >= 64 and h % 128 == 0):
+                    want.append(at + 1)
+                    h, length, open_from = 0, 0, at + 1
+        assert Cuts(128, 64, 512, read_grid=grid).ends(data) == want + [size] * (open_from < size)
+
+
 def test_shift_hash_comes_back_into_step():
     data = np.random.default_rng(2).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
     for kind, least in (("shift", 0.9), ("rotate", 0.0)):
