@@ -239,7 +239,7 @@ def signature(text: str | None) -> tuple[list[int], bytes]:
     for h in shingle_hashes(words, PAIR, 42):
         n += len(h)
         for t in range(TABLES):
-            x = h + _STEP * np.uint64(t + 1)
+            x = h + np.uint64(int(_STEP) * (t + 1) & 0xFFFFFFFFFFFFFFFF)
             x ^= x >> np.uint64(31)
             x *= _MIX
             x ^= x >> np.uint64(29)
@@ -312,7 +312,7 @@ SENT = 1 << 20
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the smallest doc_id (null last), then of the smallest text hashes.
 
-    Null texts are empty; texts without a word are alike only if they are equal; of repeated rows one stays. No rows:
+    Null texts are empty; texts without a word are copies of each other; of repeated rows one stays. No rows:
     no rows. Groups are found on narrow rows: texts are named by 128 bits of hashes, and only texts with copies or
     links are looked up among the documents, which do not move.
     """

@@ -34,7 +34,7 @@ LENGTH, GRAM, PART = 200, 32, 13
 WIDTH = LENGTH - GRAM + 1
 #: Bytes worked on at a time; longer texts are taken in pieces.
 PIECE = 1 << 18
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_A, _B, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 0xC2B2AE3D27D4EB4F
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,10 +47,10 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def identifiers(data: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Bucket identifiers at each depth (8 or more) of all suffixes that are long enough."""
+def identifiers(data: np.ndarray, depths: tuple[int, ...], salt: int = 0) -> dict[int, np.ndarray]:
+    """Bucket identifiers at each depth (8 or more) of all suffixes that are long enough; another salt, other names."""
     out, h = {}, 8
-    ids = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,)).copy() if len(data) >= 8 else np.empty(0, np.uint64)
+    ids = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,)) + np.uint64(salt) if len(data) >= 8 else np.empty(0, np.uint64)
     for depth in sorted(depths):
         while 2 * h <= depth:
             ids = _join(ids[:-h], ids[h:]) if len(ids) > h else ids[:0]
@@ -204,11 +204,13 @@ def _level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         k, n, pos = (b.column(i).to_numpy() for i in range(3))
-        ids, start = _joined(b.column(3).to_pylist(), (LENGTH,))
+        parts = b.column(3).to_pylist()
+        ids, start = _joined(parts, (LENGTH,))
+        again = identifiers(np.frombuffer(b"".join(parts), np.uint8), (LENGTH,), SALT)
         lo, span, a = _unpack(pos)
         i, own = _ranges(a, span + 1)
-        w = ids[LENGTH][start[own] + i]
-        yield _rows(w, w, k[own], n[own], _pack(lo[own] + i - a[own], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)))
+        # Buckets here are named by two identifiers, as those before are by their anchor's and their run's.
+        yield _rows(ids[LENGTH][start[own] + i], again[LENGTH][start[own] + i], k[own], n[own], _pack(lo[own] + i - a[own], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -302,7 +304,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated bytes and without characters cut in two; texts of which nothing is left go."""
+    """Texts without their repeated bytes and without characters cut in two; texts of which nothing is left go.
+
+    Null and short texts stay as they are (null becomes empty); equal texts of 200 bytes or more all go. n_chars, if docs
+    has it, is counted anew. No rows: no rows. Columns of docs keep their names, whatever they are."""
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), "text")
     out = remove_repeats(rows, as_text=True).where("n_removed = 0 or trim(kept) <> ''")
     new = {"text": F.col("kept"), "n_chars": F.length("kept")}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL, same_rows
-from stratapack.llm import mixing, quality_rules, registry, sharding
+from stratapack.llm import mixing, quality_rules, registry, sharding, simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,6 +107,82 @@ def test_mix_meets_targets(spark):
     assert all(abs(r["t"] - r["g"]) <= 1 for r in out)
 
 
+def test_mix_of_null_sources_equal_rows_and_null_ids(spark):
+    """A source named like the last code point is not the null source; equal rows are taken equally; reruns agree."""
+    rows = [(i, "\U0010ffff", 7) for i in range(30)] + [(100 + i, None, 5) for i in range(30)] + [(None, "m", 9)] * 40 + [(7, "m", 9)] * 40 + [(200 + i, "m", 1 + i) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n int")
+    one = mixing.mix(d, F.col("n"), F.array("source")).collect()
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["taken"], r["source_size"], r["target"])
+    assert sorted(map(key, one)) == sorted(map(key, mixing.mix(d.repartition(5), F.col("n"), F.array("source")).collect()))
+    by = {}
+    for r in one:
+        by.setdefault(r["source"], []).append(r)
+    assert {s: x[0]["source_size"] for s, x in by.items()} == {"\U0010ffff": 210, None: 150, "m": 720 + sum(range(1, 31))}
+    held = [x[0]["source_size"] for x in (by["m"], by["\U0010ffff"], by[None])]
+    assert [x[0]["target"] for x in (by["m"], by["\U0010ffff"], by[None])] == pytest.approx(mixing.fill(1.5 * sum(held), [3, 1, 2], [2 * h for h in held]))
+    assert len({r["taken"] for r in by["m"] if r["doc_id"] is None}) == len({r["taken"] for r in by["m"] if r["doc_id"] == 7}) == 1
+    assert all(abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 40 and all(r["taken"] <= 2 * r["size"] for r in x) for x in by.values())
+
+
+def test_a_host_is_rejected_through_judge(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, "short" if i < 95 else words, None, "bad", 0) for i in range(100)] + [(200 + i, words if i < 95 else "short", None, "good", 0) for i in range(100)] + [(400 + i, words, None, f"h{i % 20}", 0) for i in range(100)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, DOC)).collect()}
+    assert not any(got[i]["kept"] for i in range(100)) and sum(got[i]["base_failed"] for i in range(100)) == 95
+    assert all(got[200 + i]["kept"] == (i < 95) for i in range(100)) and all(got[400 + i]["kept"] for i in range(100))
+
+
+def test_rules_of_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(120_000)) + " w0 w1 w2"
+    r = quality_rules.judge(spark.createDataFrame([(1, text, None, "s", 0)], DOC)).first()
+    assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (120_003, 6, False)
+
+
+def test_near_copies_have_nine_in_ten_of_all_pairs(spark):
+    """Pairs of different texts with a Jaccard similarity of 0.8 or more on five words, by comparing all."""
+    texts = sorted({r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()})
+    grams, of = [], {}
+    for i, t in enumerate(texts):
+        w = simhash.words_of_text(t)
+        grams.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+        for g in grams[-1]:
+            of.setdefault(g, []).append(i)
+    near = {(a, b) for own in of.values() for n, a in enumerate(own) for b in own[n + 1 :]}
+    near = {(a, b) for a, b in near if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    found = {r["k"]: r["root"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "k long, text string")).collect()}
+    hit = [a in found and found[a] == found.get(b) for a, b in near]
+    assert len(hit) >= 5 and sum(hit) >= 0.9 * len(hit)
+
+
+CASES = [
+    (None, None, None, None, None), (None, "", "en", "a", 0), (1, " \t\n", "en", "a", 3), (2, "le chat et le chien dorment", "fr", None, 27), (2, "le chat et le chien dorment", "fr", None, 27),
+    (3, "the cat and the dog sleep", "en", "a", 25), (3, "the cat and the dog sleep", "en", "b", 25), (4, "the cat and the dog sleep", "en", "\U0010ffff", 25), (5, " ".join(f"w{i}" for i in range(40_000)), "en", "a", 0),
+]
+
+
+@pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_rows_and_none(spark, name):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, further columns of clashing names, no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(CASES, DOC)
+    for c in ("k", "root", "size", "taken", "target", "w", "m", "pos", "kept", "h", "g", "p", "stays", "score", "__n", "__row", "__text", "lang_pred", "evidence"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = stage(spark, docs, SMALL)
+    rows = out.collect()
+    last = name == corpus_pipeline.STAGES[-1][0]
+    assert out.columns == docs.columns or last
+    assert stage(spark, docs.where("false"), SMALL).count() == 0
+    if name == "language_id":
+        assert sorted(r["doc_id"] for r in rows) == [2, 2, 3, 3, 4]  # 5 is held out and has no n-gram that is known
+    elif name == "simhash_near_dedup":
+        # Texts without a word are copies of each other; an id comes before none.
+        assert sorted((r["doc_id"], r["text"][:8]) for r in rows) == [(1, " \t\n"), (2, "le chat "), (3, "the cat "), (5, "w0 w1 w2")]
+    elif last:
+        assert len(rows) == len(CASES) and all(r["decoded_ok"] and len(r["ids"]) == r["n_pieces"] for r in rows)
+    else:
+        assert {r["doc_id"] for r in rows} <= {None, 1, 2, 3, 4, 5} and all(r["k"] == "clash" for r in rows)
+
+
 def test_pipeline_runs_and_every_stage_decides(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs = docs.unionByName(spark.createDataFrame([(9001, "12345 ---", "en", "src0", 9), (9002, None, None, None, None)], docs.schema))

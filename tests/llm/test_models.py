@@ -44,6 +44,30 @@ def test_filter_has_no_false_negatives_and_many_languages():
     assert all(int(hits[g, (g % 70) // 64]) >> (g % 70 % 64) & 1 for g in range(500)) and (f.false < 1e-9).all()
 
 
+def test_predictions_against_plain_popcounts(spark):
+    """Hits of a plain set per language, less those expected by chance; the filter may add false hits, never lose one."""
+    r = random.Random(11)
+    words = {"en": ["the", "cat", "and", "dog", "house"], "fr": ["le", "chat", "et", "chien", "maison"], "de": ["der", "katze", "und", "hund", "haus"]}
+    train = [(i, " ".join(r.choice(words[k]) for _ in range(12)), k) for i, k in enumerate(list(words) * 30)]
+    model = language_id.learn(docs(spark, train, ", lang string"))
+    grams = lambda t: [language_id._plain(t)[i : i + 4] for i in range(len(language_id._plain(t)) - 3)]
+    counts = {k: {} for k in words}
+    for _, t, k in train:
+        for g in grams(t):
+            counts[k][g] = counts[k].get(g, 0) + 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    share = lambda g, k: counts[k].get(g, 0) / total[k]
+    planes = {k: {g for g in counts[k] if share(g, k) >= language_id.SHARE * max(share(g, x) for x in words)} for k in words}
+    asked = [(i, " ".join(r.choice(words[r.choice(list(words))]) for _ in range(9)) + " x" * (i % 3)) for i in range(40)]
+    got = {x["doc_id"]: x for x in language_id.predict(docs(spark, asked), model, ["doc_id"]).collect()}
+    for i, t in asked:
+        own = grams(t)
+        real = [max(0.0, (sum(g in planes[k] for g in own) - len(own) * f) / (1 - f)) for k, f in zip(model.languages, model.false, strict=True)]
+        assert got[i]["lang_pred"] == model.languages[real.index(max(real))] and math.isclose(got[i]["score"], max(real) / sum(real), rel_tol=1e-6)
+    few = language_id.learn(docs(spark, train, ", lang string"), sample=10)
+    assert few.languages == model.languages and (few.table.astype(bool).sum() < model.table.astype(bool).sum())
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "a", "é" * 96, "x" * 192, "y" * 193, "long " * 60_000]
     for t in texts:
