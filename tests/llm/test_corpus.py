@@ -132,6 +132,14 @@ def test_a_host_is_rejected_through_judge(spark):
     assert all(got[200 + i]["kept"] == (i < 95) for i in range(100)) and all(got[400 + i]["kept"] for i in range(100))
 
 
+def test_a_host_is_rejected_by_any_rule(spark):
+    words = [f"w{i}" for i in range(60)]
+    bad = {"symbols": " ".join(words) + " ###" * 9, "lines": "\n".join([" ".join(f"{w}v{i}" for i in range(7)) for w in words[:20]] + ["same"] * 20), "lengths": " ".join(w * 9 for w in words)}
+    rows = [(1000 * k + i, text, None, host, 0) for k, (host, text) in enumerate(bad.items()) for i in range(40)] + [(9000 + i, " ".join(words), None, f"h{i % 20}", 0) for i in range(400)]
+    got = quality_rules.judge(spark.createDataFrame(rows, DOC), keep=("doc_id", "source")).collect()
+    assert not any(r["base_failed"] for r in got) and {r["source"] for r in got if not r["kept"]} == set(bad)
+
+
 def test_rules_of_a_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(120_000)) + " w0 w1 w2"
     r = quality_rules.judge(spark.createDataFrame([(1, text, None, "s", 0)], DOC)).first()
