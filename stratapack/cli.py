@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--only", nargs="*")
     for name, short in (("list", "l"), ("info", "i"), ("test", "t")):
         sub.add_parser(name, aliases=[short]).add_argument("archive")
+    sub.add_parser("about")
     r = sub.add_parser("rename", aliases=["r"])
     r.add_argument("archive")
     r.add_argument("pairs", nargs="+", metavar="OLD=NEW")
@@ -56,6 +57,9 @@ def shown(spark: SparkSession, column, value):
 
 def run(args: list[str]) -> int:
     a = parser().parse_args(args)
+    if a.command == "about":
+        print(f"stratapack {__version__}: deduplicating archives as DataFrames; modes {', '.join(S.MODE_IDS)}; formats {', '.join(S.FORMAT_EXT)}")
+        return 0
     spark = session()
     kind = a.command[0] if a.command != "pack" else "c"
     kind = {"extract": "x"}.get(a.command, kind)

@@ -28,6 +28,19 @@ occ AS MATERIALIZED (SELECT file_id, (i - 1)::INT AS chunk_ord, CASE WHEN i = 1
     (e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END)::INT AS len,
     sha256(unhex(substr(x, 2 * CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END + 1, 2 * (e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END)))) AS hash FROM cut)"""
 
+#: Chunks where bytes come in blocks of 4096: with each block, the bytes of the unfinished chunk are hashed again.
+GRID = f"""
+bytes AS MATERIALIZED (SELECT file_id, x, size, list_transform(regexp_extract_all(x, '..'), lambda b: {{'h': ({_GEAR})[('0x' || b)::INT + 1], 'l': 0, 'p': 0, 'cuts': []::INT[]}}) AS s FROM files WHERE size > 0),
+grid AS (SELECT file_id, 0 AS k, {{'h': 0::BIGINT, 'l': 0, 'p': 0, 'cuts': []::INT[]}} AS r FROM bytes
+  UNION ALL
+  SELECT g.file_id, k + 1, list_reduce(list_prepend({{'h': g.r.h, 'l': 0, 'p': g.r.p - g.r.l, 'cuts': g.r.cuts}}, b.s[g.r.p - g.r.l + 1 : least(b.size, (k + 1) * 4096)]), lambda a, b: CASE
+    WHEN a.l + 1 >= 1024 OR (a.l + 1 >= 64 AND ((((a.h * 2) & 4294967295) | (a.h >> 31)) + b.h) & 255 = 0)
+    THEN {{'h': 0::BIGINT, 'l': 0, 'p': a.p + 1, 'cuts': list_append(a.cuts, a.p + 1)}}
+    ELSE {{'h': ((((a.h * 2) & 4294967295) | (a.h >> 31)) + b.h) & 4294967295, 'l': a.l + 1, 'p': a.p + 1, 'cuts': a.cuts}} END)
+  FROM grid g JOIN bytes b ON g.file_id = b.file_id WHERE k * 4096 < b.size),
+done AS (SELECT g.file_id, x, CASE WHEN r.l > 0 THEN list_append(r.cuts, r.p) ELSE r.cuts END AS e FROM grid g JOIN bytes b ON g.file_id = b.file_id WHERE k * 4096 >= b.size),
+pieces AS (SELECT file_id, x, e[i] AS stop, i, CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END AS start FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM done))"""
+
 DICT = """
 first AS (SELECT hash, min(file_id * 10000000 + chunk_ord) AS seen, max(len) AS raw_size FROM occ GROUP BY hash),
 dict AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seen) - 1 AS chunk_idx, hash, raw_size,
@@ -149,6 +162,7 @@ ORACLES: dict[str, str] = {
         SELECT ord, rel_path, done, '[' || repeat('█', n) || repeat('░', 28 - n) || '] ' || lpad(pct::INT::VARCHAR, 3, ' ') || '%' AS bar FROM b""",
     "permissions": """SELECT o_orderkey, ((o_custkey * 37 + 32768) & 511)::INT AS mode, round(o_totalprice)::BIGINT AS mtime_ms, substr((o_custkey % 1200)::VARCHAR, greatest(1, length((o_custkey % 1200)::VARCHAR) - 2))::INT AS parsed FROM orders""",
     "cdc_chunks": _with(FILES, CHUNKS) + " SELECT file_id, chunk_ord, start, stop, len, hash FROM occ",
+    "cdc_grid": _with(FILES, GRID) + " SELECT file_id, (i - 1)::INT AS chunk_ord, start::BIGINT AS start, stop::BIGINT AS stop, sha256(unhex(substr(x, 2 * start + 1, 2 * (stop - start)))) AS hash FROM pieces",
     "cdc_stats": _with(FILES, CHUNKS) + """, p AS (SELECT hash, count(*) AS n, max(len) AS len FROM occ GROUP BY hash)
         SELECT sum(n)::BIGINT AS refs, count(*) AS unique_chunks, sum(n * len)::BIGINT AS raw_bytes, sum(len)::BIGINT AS unique_bytes, min(len) AS shortest, max(len) AS longest FROM p""",
     "chunk_dictionary": _with(FILES, CHUNKS, DICT) + " SELECT chunk_idx, hash, raw_size, spool_offset FROM dict",

@@ -127,6 +127,12 @@ def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("file_id", "chunk_ord", "start", F.col("end").alias("stop"), "len", "hash")
 
 
+def cdc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents that a reader delivers in blocks of 4 KiB."""
+    files = C.chunk_files(_ranked(spark, sf_dir), replace(CUTS, read_grid=4096), with_bytes=False)
+    return files.select("file_id", "chunk_ord", "start", F.col("end").alias("stop"), "hash")
+
+
 def cdc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _chunks(spark, sf_dir).groupBy("hash").agg(F.count("*").alias("n"), F.max("len").alias("len"))
     return per.agg(F.sum("n").alias("refs"), F.count("*").alias("unique_chunks"), F.sum(F.col("n") * F.col("len")).alias("raw_bytes"), F.sum("len").cast("bigint").alias("unique_bytes"), F.min("len").alias("shortest"), F.max("len").alias("longest"))

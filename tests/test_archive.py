@@ -216,3 +216,4 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     out = capsys.readouterr().out
     assert "3 files" in out and "src/sub/c.bin" in out and "src/b.txt -> text/b.txt: renamed" in out
     assert struct.unpack(">4sB", open("o.drk", "rb").read(5))[1] == 2
+    assert cli.run(["about"]) == 0 and "modes ultra" in capsys.readouterr().out
