@@ -131,26 +131,22 @@ class Vocabulary:
 
     def forward(self, word: str) -> tuple[list[float], list[float], list]:
         """Best and second-best score at each place, and the arc of the best. Ties go to the arc that starts first."""
-        n, trie, low = len(word), self.trie, -math.inf
+        n, begin, low = len(word), self.trie.get, -math.inf
         first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         first[0] = 0.0
         for start in range(n):
-            f, s, end, kids = first[start], second[start], start, trie
-            node = trie.get(word[start])
+            f, s, end = first[start], second[start], start + 1
+            node = begin(word[start])
             if node is None or node[1] is None:
                 ids, w = self._spelled(word[start])
                 x, y = f + w, s + w
-                if x > first[start + 1]:
-                    second[start + 1] = max(first[start + 1], y)
-                    first[start + 1], back[start + 1] = x, (start, ids)
-                elif x > second[start + 1]:
-                    second[start + 1] = x
-            for char in word[start:]:
-                node = kids.get(char)
-                if node is None:
-                    break
+                if x > first[end]:
+                    second[end] = max(first[end], y)
+                    first[end], back[end] = x, (start, ids)
+                elif x > second[end]:
+                    second[end] = x
+            while node is not None:
                 kids, ids, w = node
-                end += 1
                 if ids is not None:
                     x = f + w
                     top = first[end]
@@ -160,6 +156,10 @@ class Vocabulary:
                         first[end], back[end] = x, (start, ids)
                     elif x > second[end]:
                         second[end] = x
+                if not kids or end == n:
+                    break
+                node = kids.get(word[end])
+                end += 1
         return first, second, back
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -198,24 +198,26 @@ class Vocabulary:
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text as scores and ids of 4 bytes each; one empty one of an empty text."""
         words = self.split(text)
-        got = list(map(self.best.__getitem__, words))
-        score = math.fsum([g[1] for g in got])
-        out = [(score, b"".join([g[0] for g in got]))]
-        if n == 1 or not words:
+        if not words:
+            return [(0.0, b"")]
+        best, scores, losses = zip(*map(self.best.__getitem__, words), strict=True)
+        score = math.fsum(scores)
+        out = [(score, b"".join(best))]
+        if n == 1:
             return out
-        loss = np.array([g[2] for g in got])
+        loss = np.array(losses)
         near = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 else self._least(loss, n - 1)
         choices = {}
         for i in sorted(int(x) for x in near if loss[x] < math.inf):
             of_n = self.many.setdefault(n, Kept(lambda w: self.nbest(w, n), KEEP // 8))
-            choices[i] = [(max(0.0, got[i][1] - s), ids) for s, ids in of_n[words[i]]]
+            choices[i] = [(max(0.0, scores[i] - s), ids) for s, ids in of_n[words[i]]]
         places = list(choices)
         none = (0,) * len(places)
         queue, seen = [(0.0, none)], {none}
         while queue and len(out) < n:
             lost, pick = heappop(queue)
             if any(pick):
-                parts = [g[0] for g in got]
+                parts = list(best)
                 for i, k in zip(places, pick, strict=True):
                     if k:
                         parts[i] = array("i", choices[i][k][1]).tobytes()
