@@ -177,9 +177,9 @@ class Grams:
 
 
 class Texts:
-    """A block's tokens, and its n-grams of one, two and three words."""
+    """A block's tokens, and its n-grams of one, two and, if most is 3, three words."""
 
-    def __init__(self, keys: bytes, flat: bytes, sizes: bytes, leads: bytes, out: list[bool], bits: int):
+    def __init__(self, keys: bytes, flat: bytes, sizes: bytes, leads: bytes, out: list[bool], bits: int, most: int = 3):
         self.words, self.flat, self.sizes, self.leads = unpacked(keys), *(unpacked(x).astype(np.int64) for x in (flat, sizes, leads))
         self.starts = np.cumsum(self.sizes) - self.sizes
         since = np.arange(len(self.flat)) - np.repeat(self.starts, self.sizes)
@@ -189,9 +189,11 @@ class Texts:
         n = np.bincount(self.flat[self.learned], minlength=len(self.words))
         by = np.argsort(self.words)
         one = Grams(by, self.words[by], n[by], self.flat)
-        pair_codes, two, whole = self._grams(self.flat, since >= 1, self.words, shift)
-        triple_codes, three, _ = self._grams(two.of, since >= 2, whole, shift)
-        self.orders, self.pairs, self.triples = (one, two, three), pair_codes, triple_codes
+        self.pairs, two, whole = self._grams(self.flat, since >= 1, self.words, shift)
+        self.orders = [one, two]
+        if most == 3:
+            self.triples, three, _ = self._grams(two.of, since >= 2, whole, shift)
+            self.orders.append(three)
 
     def _grams(self, history: np.ndarray, ok: np.ndarray, keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, Grams, np.ndarray]:
         """Codes (number of the history, then of the word) and n-grams of the next order, of the histories that end at
@@ -217,12 +219,13 @@ def _cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
 ASKS, ANSWERS = "shard int, block long, kind int, a binary, b binary", "shard int, block long, kind int, n long, a binary"
 
 
-def _ask(shards: int, bits: int):
+def _ask(shards: int, bits: int, kinds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, out, *parts in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                texts = Texts(*parts, out, bits)
-                for kind, g in enumerate(texts.orders):
+                texts = Texts(*parts, out, bits, kinds[-1] + 1)
+                for kind in kinds:
+                    g = texts.orders[kind]
                     cuts = _cuts(g.keys, 64 if kind == 0 else bits, shards)
                     own = np.flatnonzero(np.diff(cuts))
                     part = lambda x, rising: pa.array([packed(x[cuts[i] : cuts[i + 1]], rising) for i in own], pa.binary())  # noqa: B023, E731
@@ -364,13 +367,16 @@ def score(docs: DataFrame, out: str = "held_out", block: int = BLOCK) -> DataFra
     n_all, tokens = sums[0] or 0, sums[1] or 0
     bits = min(64, (3 * tokens).bit_length() + SPARE)
     shards = max(shuffle_partitions(spark), 3 * tokens // SHARD)
-    asks = blocks.select("block", "out", "keys", "flat", "sizes", "leads").mapInArrow(_ask(shards, bits), ASKS)
-    answers = staged(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(_tell, ANSWERS), "answers")
-    n_words = answers.where("block = -1").agg(F.sum("n")).first()[0] or 0
+    told = []
+    for kinds in ((0, 1), (2,)):  # triples after the others, so that only one half of the asks is on disk at a time
+        asks = blocks.select("block", "out", "keys", "flat", "sizes", "leads").mapInArrow(_ask(shards, bits, kinds), ASKS)
+        told.append(staged(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(_tell, ANSWERS), "answers"))
+    answers = told[0].unionByName(told[1])
+    n_words = told[0].where("block = -1").agg(F.sum("n")).first()[0] or 0
     parts = blocks.drop("n_train", "n_tokens").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score(bits, n_all, n_words), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     done = staged(parts, "scores")
-    unstage(blocks)
-    unstage(answers)
+    for x in (blocks, *told):
+        unstage(x)
     whole = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
