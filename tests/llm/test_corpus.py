@@ -50,10 +50,35 @@ def test_shards_fit(spark):
     assert sharding.shard(d, 1 << 40).select("shard_depth").distinct().collect()[0][0] == 0
 
 
-def test_fill_reshares_the_excess():
-    assert mixing.fill(150, [3, 1, 2], [100, 100, 100]) == [75, 25, 50]
-    assert mixing.fill(150, [3, 1, 2], [20, 200, 200]) == pytest.approx([20, 130 / 3, 260 / 3])
-    assert mixing.fill(10, [1, 1], [2, 3]) == [2, 3] and mixing.fill(0, [], []) == []
+def fill(total: float, weights: list[float], tops: list[float]) -> list[float]:
+    """The plain version: shares of total by weight, none above its top; the excess goes to the others by weight until none is above."""
+    left, rest, out = total, list(range(len(tops))), [0.0] * len(tops)
+    rest.sort(key=lambda i: tops[i] / weights[i])
+    heavy = sum(weights)
+    for i in rest:
+        out[i] = min(float(tops[i]), weights[i] * left / heavy)
+        if out[i] < tops[i]:
+            for j in rest[rest.index(i) :]:
+                out[j] = weights[j] * left / heavy
+            break
+        left -= tops[i]
+        heavy -= weights[i]
+    return out
+
+
+def goals(spark, total, tops):
+    """Of sources that hold half of their tops."""
+    named = spark.createDataFrame([(f"a{i:03}", x // 2) for i, x in enumerate(tops)], "s string, held long")
+    return [r["goal"] for r in mixing._goals(named, total, mixing.WEIGHTS, 2).orderBy("s").collect()]
+
+
+def test_fill_reshares_the_excess(spark):
+    assert fill(150, [3, 1, 2], [100, 100, 100]) == [75, 25, 50]
+    assert fill(150, [3, 1, 2], [20, 200, 200]) == pytest.approx([20, 130 / 3, 260 / 3])
+    assert fill(10, [1, 1], [2, 3]) == [2, 3] and fill(0, [], []) == []
+    r = random.Random(5)
+    for total, tops in ((150, [100, 100, 100]), (150, [20, 200, 200]), (10, [2, 4]), (0, []), (0, [0, 0]), (4000, [r.choice((0, 2, 40, 400)) for _ in range(60)])):
+        assert goals(spark, total, tops) == pytest.approx(fill(total, [mixing.WEIGHTS[i % 3] for i in range(len(tops))], tops))
 
 
 def best_cost(sizes, members, quotas, most):
@@ -102,6 +127,30 @@ def test_mix_of_overlapping_sources(spark):
     assert mixing.mix(d.where("false"), F.col("n"), F.col("m")).count() == 0
 
 
+def test_mix_is_the_same_whatever_is_sent(spark, monkeypatch):
+    """Sources that overlap with none are not bounded; lists too long to be sent are met by a shuffle."""
+    rows = [(i, f"s{i % 40}", 1 + i % 7) for i in range(200)] + [(None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n int")
+    want = sorted(map(str, mixing.mix(d, F.col("n"), F.array("source")).collect()))
+    monkeypatch.setattr(mixing, "SENT", 3)
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    assert sorted(map(str, mixing.mix(d, F.col("n"), F.array("source")).collect())) == want and len(want) == 201
+    with pytest.raises(ValueError, match="overlapping"):
+        mixing.mix(d, F.col("n"), F.when(F.col("doc_id") < 5, F.array(F.lit("x"), "source")).otherwise(F.array("source"))).collect()
+    none = mixing.mix(d, F.col("n"), F.lit(None).cast("array<string>")).agg(F.sum("taken"), F.count("*")).first()
+    assert tuple(none) == (0, 201)
+
+
+def test_flow_of_many_patterns():
+    """Fifty thousand patterns of twenty sources: all quotas are met, evenly."""
+    r = random.Random(2)
+    members = sorted({tuple(sorted(r.sample(range(20), r.randrange(1, 9)))) for _ in range(50_000)})
+    sizes = [r.randrange(1, 50) for _ in members]
+    quotas = [round(1.2 * sum(sizes) / 20)] * 20
+    used = [sum(f.values()) for f in mixing.route(sizes, members, quotas, 2)]
+    assert sum(used) == sum(quotas) and all(s <= u <= 2 * s for u, s in zip(used, sizes, strict=True))
+
+
 def test_mix_meets_targets(spark):
     out = mixing.query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
     assert all(abs(r["t"] - r["g"]) <= 1 for r in out)
@@ -119,7 +168,7 @@ def test_mix_of_null_sources_equal_rows_and_null_ids(spark):
         by.setdefault(r["source"], []).append(r)
     assert {s: x[0]["source_size"] for s, x in by.items()} == {"\U0010ffff": 210, None: 150, "m": 720 + sum(range(1, 31))}
     held = [x[0]["source_size"] for x in (by["m"], by["\U0010ffff"], by[None])]
-    assert [x[0]["target"] for x in (by["m"], by["\U0010ffff"], by[None])] == pytest.approx(mixing.fill(1.5 * sum(held), [3, 1, 2], [2 * h for h in held]))
+    assert [x[0]["target"] for x in (by["m"], by["\U0010ffff"], by[None])] == pytest.approx(fill(1.5 * sum(held), [3, 1, 2], [2 * h for h in held]))
     assert len({r["taken"] for r in by["m"] if r["doc_id"] is None}) == len({r["taken"] for r in by["m"] if r["doc_id"] == 7}) == 1
     assert all(abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 40 and all(r["taken"] <= 2 * r["size"] for r in x) for x in by.values())
 
