@@ -106,18 +106,23 @@ def _goals(sources: DataFrame, total: float, weights: tuple[float, ...], most: i
     return order.select("s", "held", goal.alias("goal"))
 
 
-def _met(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with found, a row per key; found is sent to the tasks if it is short enough, else met by a shuffle."""
-    return rows.join(F.broadcast(found) if found.limit(SENT + 1).count() <= SENT else found, key, how)
+def _up_to_sent(df: DataFrame) -> int:
+    """The number of rows, or SENT + 1 if there are more."""
+    return df.limit(SENT + 1).count()
+
+
+def _met(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """rows joined with found, a row per m; found is sent to the tasks if n, its rows, are few, else met by a shuffle."""
+    return rows.join(F.broadcast(found) if n <= SENT else found, "m")
 
 
 def _tangled(patterns: DataFrame, sources: DataFrame, most: int) -> DataFrame | None:
     """(m, tokens) of the patterns whose sources overlap, by the flow; None if no sources do. Of all other sources the
     one pattern is the source itself, and gives what the source is to get."""
-    flat = patterns.where(F.size("m") > 1).select(F.explode("m").alias("s")).distinct()
-    flat = staged(flat, "overlap")
-    if flat.isEmpty():
+    many = patterns.where(F.size("m") > 1)
+    if many.isEmpty():
         return None
+    flat = staged(many.select(F.explode("m").alias("s")).distinct(), "overlap")
     some = patterns.where(F.size("m") > 0).withColumn("s", F.col("m")[0])
     routed = some.join(flat, "s", "left_semi").select("m", "n").limit(MOST_PATTERNS + 1).collect()
     if len(routed) > MOST_PATTERNS:
@@ -135,17 +140,15 @@ def _edges(rows: DataFrame, left: DataFrame) -> DataFrame:
 
     Sums by DIGITS more of w tell in which part it lies, part by part, until all rows in it have one w.
     """
-    opened = staged(left.select("m", F.lit("").alias("part"), "rest"), "open")
-    digits, found = 0, []
-    while not opened.isEmpty():
+    opened, digits, found = left.select("m", F.lit("").alias("part"), "rest"), 0, []
+    while n := _up_to_sent(opened):
         digits += DIGITS
-        inside = _met(rows, opened.withColumnRenamed("part", "prefix"), "m").where(F.col("w").startswith(F.col("prefix")))
+        inside = _met(rows, opened.withColumnRenamed("part", "prefix"), n).where(F.col("w").startswith(F.col("prefix")))
         sums = inside.groupBy("m", "rest", F.substring("w", 1, digits).alias("part")).agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"))
         before = F.coalesce(F.sum("b").over(Window.partitionBy("m").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         at = staged(sums.withColumn("rest", F.col("rest") - before).where("rest >= 0 and rest < b"), "parts")
         found.append(at.where("lo = hi").select("m", F.col("lo").alias("edge"), F.expr("rest div n").alias("rest")))
-        unstage(opened)
-        opened = staged(at.where("lo < hi").select("m", "part", "rest"), "open")
+        opened = at.where("lo < hi").select("m", "part", "rest")
     return reduce(DataFrame.unionByName, found, left.where("false").select("m", F.lit("").alias("edge"), "rest"))
 
 
@@ -179,7 +182,7 @@ def mix(docs: DataFrame, size: Column, member: Column, weights: tuple[float, ...
     plan = staged(plan.drop("rest").join(edges, "m", "left").withColumns({"edge": F.coalesce("edge", F.lit("")), "rest": F.coalesce("rest", F.lit(0))}), "plan")
     for x in (rows, patterns, sources):
         unstage(x)
-    got = _met(told, plan, "m")
+    got = _met(told, plan, _up_to_sent(plan))
     last = F.when(F.col("w") < F.col("edge"), F.col("size")).when(F.col("w") == F.col("edge"), F.least("size", "rest")).otherwise(0)
     return got.select("__row.*", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"))
 
