@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, shuffle_partitions, small_batches, staged, unstage
@@ -216,92 +216,197 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Further tables of the near-copy search: fingerprints of word pairs, each of hashes of its own.
-TABLES, PAIR = 6, 2
-#: Bins of a band: texts whose sketches are equal in one band are compared, too.
-BAND = 8
-#: Words of a shingle by which colliding texts are compared, bins of the sketch that compares them, least estimate: 0.8
-#: less one deviation of an estimate from so many bins.
-COMPARED, BINS, LIKE = 5, 256, 0.775
+#: Further fingerprints of the near-copy search, each of hashes of its own.
+TABLES = 8
+#: Words of a shingle by which colliding texts are compared, and the least Jaccard similarity as a fraction.
+COMPARED, LIKE = 5, (4, 5)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: A byte's bits in a byte each, the highest first.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def signature(text: str | None) -> tuple[list[int], bytes]:
-    """The fingerprint, TABLES fingerprints of word pairs, and the least hash of shingles in each of BINS bins (2 bytes
-    each, 0 for none)."""
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _mixed_votes(h: np.ndarray) -> np.ndarray:
+    """For each further table, how many of the hashes have each bit set once they are mixed for it."""
+    x = h[:, None] + _STEP * np.arange(1, TABLES + 1, dtype=np.uint64)
+    x ^= x >> np.uint64(31)
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    x *= _STEP
+    x ^= x >> np.uint64(32)
+    x = x.astype(">u8").view(np.uint8).reshape(len(h), TABLES * 8)
+    votes = np.zeros(TABLES * 64, np.int64)
+    for i in range(0, len(x), 255):  # as many as a byte counts
+        votes += _LANES[x[i : i + 255]].sum(axis=0).view(np.uint8)
+    return votes.reshape(TABLES, 64)
+
+
+def signature(text: str | None) -> list[int]:
+    """The fingerprint, and TABLES fingerprints of the text's distinct words and word pairs."""
     words = words_of_text(text)
     first, n = np.zeros(64, np.int64), 0
     for h in shingle_hashes(words, 4, 42):
         first += _votes(h)
         n += len(h)
-    fps = [_majority(first, n)]
-    votes, n = np.zeros((TABLES, 64), np.int64), 0
-    for h in shingle_hashes(words, PAIR, 42):
-        n += len(h)
-        for t in range(TABLES):
-            x = h + np.uint64(int(_STEP) * (t + 1) & 0xFFFFFFFFFFFFFFFF)
-            x ^= x >> np.uint64(31)
-            x *= _MIX
-            x ^= x >> np.uint64(29)
-            x *= _STEP
-            votes[t] += _votes(x ^ (x >> np.uint64(32)))
-    fps += [_majority(v, n) for v in votes]
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(BINS, none)
-    for h in shingle_hashes(words, COMPARED, 42):
-        np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
-    return fps, np.where(least == none, 0, least % np.uint64(65535) + np.uint64(1)).astype("<u2").tobytes()
+    own = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, repeat(42))), ">u8").astype(np.uint64)
+    parts = np.concatenate([_distinct(own), _distinct(own[:-1] * _MIX + own[1:])])
+    votes = np.zeros((TABLES, 64), np.int64)
+    for i in range(0, len(parts), PIECE):
+        votes += _mixed_votes(parts[i : i + PIECE])
+    return [_majority(first, n), *np.packbits(votes * 2 > len(parts), axis=1).view(">u8").ravel().tolist()]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [signature(t) for t in b.column(1).to_pylist()]
-        fps = np.array([f for f, _ in made], np.uint64).reshape(-1).astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * (TABLES + 1)), pa.array(fps))
-        yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([x for _, x in made], pa.binary())], names=["k", "fps", "sketch"])
+        fps = np.array([signature(t) for t in b.column(1).to_pylist()], np.uint64).reshape(-1).astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (TABLES + 1)), pa.array(fps))
+        yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["k", "fps"])
+
+
+def compared(text: str | None) -> np.ndarray:
+    """Distinct hashes of what texts are compared by; texts without a word have one of their own."""
+    words = words_of_text(text)
+    return _distinct(np.concatenate([*shingle_hashes(words, COMPARED, 42)])) if words else np.zeros(1, np.uint64)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two texts' shingles have a Jaccard similarity of LIKE or more."""
+    if LIKE[1] * min(len(x), len(y)) < LIKE[0] * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return LIKE[1] * common >= LIKE[0] * (len(both) - common)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their sketches -> those estimated as alike."""
+    """Pairs (a, b) with their texts -> those that are alike. Pairs of one a often come together."""
+    last, own = None, None
     for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
-            # Texts without a word have nothing to tell them apart.
-            good = ((x == y) & (x > 0)).sum(axis=1) >= LIKE * ((x > 0) | (y > 0)).sum(axis=1)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+        keep = []
+        for k, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if own is None or k != last:
+                last, own = k, compared(x)
+            keep.append(alike(own, compared(y)))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
-    """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k; staged.
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, g, c, text) -> (k, g, c, n, s) for each of the n shingles s of the text."""
+    for b in batches:
+        for i, t in enumerate(b.column(3).to_pylist()):
+            s = compared(t).astype(np.int64)
+            same = [pa.array(np.full(len(s), b.column(j)[i].as_py(), np.int64)) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(s), len(s), np.int64)), pa.array(s)], names=["k", "g", "c", "n", "s"])
+
+
+def colliding(texts: DataFrame) -> DataFrame:
+    """(k, g) of texts (k long, text) that collide with another in the search of simhash_components or in one of TABLES
+    further ones, directly or by a chain of collisions; g is the least k of the chain. Staged.
 
-    Links are those of texts that collide in the search of simhash_components, in one of TABLES further searches or in a
-    band of their sketches, and are found alike: texts that repeat a line have close fingerprints however else they differ, and 64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed.
+    64 bits of four-word shingles differ in over 4 for most copies with one word in twenty changed; those of words and
+    word pairs, repeats left out, do for fewer, and each further table has another chance.
     """
-    small_batches(texts.sparkSession)
-    sig = staged(texts.mapInArrow(_signatures, "k long, fps array<long>, sketch binary").dropDuplicates(["k"]), "signatures")
+    sig = staged(texts.mapInArrow(_signatures, "k long, fps array<long>").dropDuplicates(["k"]), "signatures")
     flat = sig.select("k", F.posexplode("fps").alias("t", "fp"))
     reps = staged(flat.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")), "fps")
     # One table after the other, so that only one's variants are on disk at a time.
     parts = [staged(ball_links(reps.where(F.col("t") == t).select("t", "fp")), "links") for t in range(TABLES + 1)]
     links = reduce(DataFrame.unionByName, parts)
     one = links.join(reps.select("t", F.col("fp").alias("u"), F.col("r").alias("a")), ["t", "u"])
-    two = one.join(reps.select("t", F.col("fp").alias("v"), F.col("r").alias("b")), ["t", "v"]).select("t", "a", "b")
-    same = flat.join(reps.where("n > 1").drop("n"), ["t", "fp"]).where("k <> r").select("t", F.col("k").alias("a"), F.col("r").alias("b"))
-    # 0.8 alike, a band of eight bins is equal with a chance of 0.17, so one of the 32 is in over 99 of 100 pairs.
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), lambda i: F.struct(i.alias("t"), F.substring("sketch", i * (2 * BAND) + 1, F.lit(2 * BAND)).alias("s")))
-    cells = sig.select("k", F.explode(bands).alias("x")).where(F.col("x.s") != F.lit(bytes(2 * BAND))).select("k", "x.t", F.xxhash64("x.s", "x.t").alias("fp"))
-    heads = staged(cells.groupBy("t", "fp").agg(F.min("k").alias("r"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    banded = cells.join(heads, ["t", "fp"]).select("t", F.col("k").alias("a"), F.col("r").alias("b"))
-    pairs = staged(two.unionByName(same).unionByName(banded).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    for x in (reps, heads, *parts):
+    two = one.join(reps.select("t", F.col("fp").alias("v"), F.col("r").alias("b")), ["t", "v"]).select("a", "b")
+    same = flat.join(reps.where("n > 1").drop("n"), ["t", "fp"]).where("k <> r").select(F.col("k").alias("a"), F.col("r").alias("b"))
+    edges = staged(two.unionByName(same).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "collisions")
+    for x in (reps, sig, *parts):
+        unstage(x)
+    found = staged(connected_components(edges).select(F.col("node").alias("k"), F.col("root").alias("g")), "groups")
+    unstage(edges)
+    return found
+
+
+def alike_within(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, root) of texts (k long, text) that are linked to another of their group (k, g; g is the group's least k), root
+    being the least k; staged. Links are all pairs in a group that are alike by their shingles themselves.
+
+    First every text is compared with the group's least one. Where that leaves some apart, pairs are found by prefixes:
+    in any one order of a group's shingles, two alike texts share one among the first n - ceil(LIKE * n) + 1 of both
+    (n: a text's shingles). Shingles whose texts are linked already come first in it, rare ones next. Texts of a prefix
+    shingle are compared with the least of them, then all that are not linked by then, so every pair is decided.
+    """
+    num, den = LIKE
+    few = groups.count() <= SENT
+    named = texts.join(F.broadcast(groups) if few else groups, "k")
+    held = staged(named.select("k", "g", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["k"]), "held")
+    heads = held.where("k = g").select("g", F.col("text").alias("x"))
+    asked = held.where("k <> g").join(heads, "g").select(F.col("g").alias("a"), F.col("k").alias("b"), "x", F.col("text").alias("y"))
+    star = staged(asked.mapInArrow(_alike, "u long, v long"), "alike")
+    links = [star]
+
+    # Groups that are not one yet. A pair with g is decided, so g is left out, and so are groups of two.
+    state = groups.join(star.select(F.col("v").alias("k"), F.lit(True).alias("met")), "k", "left").where("k <> g")
+    state = state.select("k", "g", F.when(F.col("met"), F.col("g")).otherwise(F.col("k")).alias("c"))
+    state = staged(state, "state")
+    # Both sides of a join are plain tables here, so that a large group's rows are split.
+    apart = staged(state.groupBy("g").agg(F.count("*").alias("n"), F.count(F.when(F.col("c") != F.col("g"), 1)).alias("m")).where("n > 1 and m > 0").select("g"), "apart")
+    left = staged(state.join(apart, "g").select("k", "g", "c"), "left")
+    gone = [held, state, apart, left]
+    if not left.isEmpty():
+        rows = left.join(held.select("k", "text"), "k").select("k", "g", "c", "text").mapInArrow(_shingles, "k long, g long, c long, n long, s long")
+        rows = staged(rows, "shingles")
+        often = staged(rows.groupBy("g", "s").agg(F.count("*").alias("f"), (F.min("c") != F.max("c")).alias("cross")).where("f > 1"), "often")
+        # Shingles of one text only are first in its order and need no rows.
+        shared = rows.join(often, ["g", "s"])
+        order, of = Window.partitionBy("k").orderBy("cross", "f", "s"), Window.partitionBy("k")
+        ranked = shared.withColumn("at", F.col("n") - F.count("*").over(of) + F.row_number().over(order))
+        first = staged(ranked.where(f"cross and at <= n - ceil({num} * n / {den}) + 1").select("g", "s", "k", "n", "at"), "prefixes")
+        for x in (rows, often):
+            unstage(x)
+
+        def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+            """Pairs of a prefix shingle that are apart, of lengths and places that allow them to be alike."""
+            x = x.select("g", "s", *(F.col(i).alias(f"{i}1") for i in ("k", "n", "at", "c")))
+            got = x.join(y, ["g", "s"]).where("k1 < k and c1 <> c")
+            got = got.where(f"{den} * least(n1, n) >= {num} * greatest(n1, n) and {num + den} * (1 + least(n1 - at1, n - at)) >= {num} * (n1 + n)")
+            return got.select(F.col("k1").alias("a"), F.col("k").alias("b")).distinct()
+
+        def decided(asked: DataFrame) -> DataFrame:
+            two = asked.join(held.select(F.col("k").alias("b"), F.col("text").alias("y")), "b").join(held.select(F.col("k").alias("a"), F.col("text").alias("x")), "a")
+            return staged(two.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long"), "alike")
+
+        now = staged(first.join(left.select("k", "c"), "k"), "prefixes")
+        least = staged(now.groupBy("g", "s").agg(F.min(F.struct("k", "n", "at", "c")).alias("m")).select("g", "s", "m.*"), "least")
+        asked = staged(pairs(least, now), "pairs")
+        links.append(decided(asked))
+        for x in (now, least):
+            unstage(x)
+        comps = connected_components(star.join(left.select(F.col("k").alias("v")), "v").select("u", "v").unionByName(links[1]))
+        now = staged(first.join(left.select("k").join(comps.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("c")), "k"), "prefixes")
+        more = staged(now.groupBy("g", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "s"), "more")
+        rest = staged(now.join(more, ["g", "s"]), "rest")
+        others = staged(pairs(rest, rest).join(asked, ["a", "b"], "left_anti"), "pairs")
+        links.append(decided(others))
+        gone += [first, asked, now, more, rest, others]
+    found = staged(connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "k"), "roots")
+    for x in (*gone, *links):
         unstage(x)
-    asked = pairs.join(sig.select(F.col("k").alias("a"), F.col("sketch").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sketch").alias("y")), "b")
-    alike = staged(asked.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long"), "alike")
-    unstage(sig)
-    unstage(pairs)
-    found = staged(connected_components(alike).withColumnRenamed("node", "k"), "roots")
-    unstage(alike)
+    return found
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(k, root) of texts (k long, a text's own number; text) that are linked to another, root being the least k; staged.
+
+    Candidates are found by fingerprints alone, and every pair of colliding texts is then decided by its shingles: texts
+    that repeat a line have close fingerprints however else they differ.
+    """
+    small_batches(texts.sparkSession)
+    groups = colliding(texts)
+    found = alike_within(groups, texts)
+    unstage(groups)
     return found
 
 

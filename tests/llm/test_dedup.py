@@ -135,6 +135,67 @@ def test_pairs_at_the_least_likeness_are_found(spark):
     assert simhash.stage(spark, spark.createDataFrame(rows, SCHEMA), "").count() <= 42
 
 
+def test_colliding_texts_under_the_least_likeness_stay(spark):
+    r = random.Random(10)
+    rows = []
+    for _ in range(40):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        other = [x if i % 40 or not 0 < i < 400 else f"v{i}" for i, x in enumerate(base)]
+        a, b = ({tuple(t[i : i + 5]) for i in range(396)} for t in (base, other))
+        assert 0.77 < len(a & b) / len(a | b) < 0.8
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((base, other))]
+    assert simhash.stage(spark, spark.createDataFrame(rows, SCHEMA), "").count() == 80
+
+
+def plain_shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def plain_links(texts, near):
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if near(i, j)]
+    return [(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def drifting(r, families, size):
+    """Texts of families whose members are changed again and again, so that most differ from the least of them."""
+    texts = []
+    for _ in range(families):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(40, 120))]
+        for _ in range(size):
+            texts.append(" ".join(words))
+            for _ in range(r.randrange(1, 4)):
+                words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+    return texts
+
+
+def test_every_pair_of_a_group_is_decided(spark):
+    r = random.Random(11)
+    line = " ".join(f"same{i}" for i in range(12))
+    texts = drifting(r, 8, 12) + [t + f" {line}" for t in drifting(r, 4, 8)]
+    five = " ".join(f"t{i}" for i in range(13))  # 9 shingles; without the first or last word 8
+    texts += [five, five.split(" ", 1)[1], five.rsplit(" ", 1)[0], five[3:-4] + " u v", "", " \t", "a b", "A  b", "a b c"]
+    want = groups(range(len(texts)), plain_links(texts, lambda i, j: True))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {x["k"]: x["root"] for x in simhash.alike_within(rows.select("k", F.lit(0).cast("long").alias("g")), rows).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+    # Most links are not with the least text of the group, nor of the family.
+    assert len(set(want.values())) > 12 and sum(1 for i, x in want.items() if i != x) > 40
+
+
+def test_near_copies_are_all_pairs_that_collide_and_are_alike(spark):
+    r = random.Random(12)
+    texts = drifting(r, 12, 8) + [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + " one line that is said again" * 40 for _ in range(12)]
+    fps = [simhash.signature(t) for t in texts]
+    near = lambda i, j: any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i], fps[j], strict=True))
+    chain = groups(range(len(texts)), [(i, j) for j in range(len(texts)) for i in range(j) if near(i, j)])
+    want = groups(range(len(texts)), plain_links(texts, lambda i, j: chain[i] == chain[j]))
+    got = {x["k"]: x["root"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "k long, text string")).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want and len(got) > 60
+    assert len(set(chain.values())) < len(set(want.values()))
+
+
 def test_texts_that_only_repeat_one_line_stay(spark):
     r = random.Random(8)
     line = " ".join(f"same{i}" for i in range(11))
