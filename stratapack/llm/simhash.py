@@ -297,12 +297,27 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, g, c, text) -> (k, g, c, n, s) for each of the n shingles s of the text."""
+    """(g, text) -> (g, s) for each shingle s of the text."""
     for b in batches:
-        for i, t in enumerate(b.column(3).to_pylist()):
+        for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = compared(t).astype(np.int64)
-            same = [pa.array(np.full(len(s), b.column(j)[i].as_py(), np.int64)) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(s), len(s), np.int64)), pa.array(s)], names=["k", "g", "c", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), g, np.int64)), pa.array(s)], names=["g", "s"])
+
+
+#: n: a text's shingles; more, less: those that its group does not usually have, and the usual ones that it lacks.
+_DEVIATION = "k long, g long, n long, more long, less long, own int, s long"
+
+
+def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, g, text, usual) -> a row for each shingle s beyond the usual ones (own 1) or lacking (own 0), and one without s."""
+    for b in batches:
+        for i, t in enumerate(b.column(2).to_pylist()):
+            x, usual = compared(t).astype(np.int64), b.column(3)[i].values.to_numpy()
+            more, less = np.setdiff1d(x, usual, assume_unique=True), np.setdiff1d(usual, x, assume_unique=True)
+            m = len(more) + len(less) + 1
+            same = [np.full(m, v, np.int64) for v in (b.column(0)[i].as_py(), b.column(1)[i].as_py(), len(x), len(more), len(less))]
+            own, s = np.repeat(np.array([1, 0, 0], np.int32), [len(more), len(less), 1]), np.concatenate([more, less, [0]])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(own), pa.array(s, mask=np.arange(m) == m - 1)], names=["k", "g", "n", "more", "less", "own", "s"])
 
 
 def colliding(texts: DataFrame) -> DataFrame:
@@ -333,10 +348,14 @@ def alike_within(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """(k, root) of texts (k long, text) that are linked to another of their group (k, g; g is the group's least k), root
     being the least k; staged. Links are all pairs in a group that are alike by their shingles themselves.
 
-    First every text is compared with the group's least one. Where that leaves some apart, pairs are found by prefixes:
-    in any one order of a group's shingles, two alike texts share one among the first n - ceil(LIKE * n) + 1 of both
-    (n: a text's shingles). Shingles whose texts are linked already come first in it, rare ones next. Texts of a prefix
-    shingle are compared with the least of them, then all that are not linked by then, so every pair is decided.
+    First every text is compared with the group's least one. Where that leaves some apart, texts are told by how they
+    deviate from the shingles that over half of the group have: by those they have beyond them and those they lack. Two
+    texts differ by what only one of them deviates by, so what a whole group has in common brings no pairs about. Texts
+    that share no deviation are alike only if both are close to the usual, and then also to the text closest to it, with
+    which all are compared. Others meet at the first deviation they share in one order of the group's, those whose texts
+    are linked already first, rare ones next: all before it are differences, and pairs with too many are left out.
+    Texts of a deviation are compared with the least of them, then all that are not linked by then, so every pair is
+    decided.
     """
     num, den = LIKE
     few = groups.count() <= SENT
@@ -356,35 +375,66 @@ def alike_within(groups: DataFrame, texts: DataFrame) -> DataFrame:
     left = staged(state.join(apart, "g").select("k", "g", "c"), "left")
     gone = [held, state, apart, left]
     if not left.isEmpty():
-        rows = left.join(held.select("k", "text"), "k").select("k", "g", "c", "text").mapInArrow(_shingles, "k long, g long, c long, n long, s long")
-        rows = staged(rows, "shingles")
+        named = left.join(held.select("k", "text"), "k")
+        often = staged(named.select("g", "text").mapInArrow(_shingles, "g long, s long").groupBy("g", "s").agg(F.count("*").alias("f")).where("f > 1"), "often")
+        sizes = staged(left.groupBy("g").agg(F.count("*").alias("m")), "sizes")
+        usual = staged(often.join(sizes, "g").where("2 * f > m").groupBy("g").agg(F.collect_list("s").alias("usual")), "usual")
+        asked = named.join(usual, "g", "left").select("k", "g", "text", F.coalesce("usual", F.array().cast("array<long>")).alias("usual"))
+        rows = staged(asked.mapInArrow(_deviations, _DEVIATION), "deviations")
+        for x in (often, sizes, usual):
+            unstage(x)
+
+        # If any text is so close to the usual that the two cannot but be alike, then so is the closest.
+        far = F.expr(f"{num + den} * (more + less) - {den - num} * n")
+        closest = rows.where("s is null").groupBy("g").agg(F.min(F.struct(far.alias("far"), "k")).alias("m")).select("g", F.col("m.k").alias("a"))
+        closest = staged(closest.join(held.select(F.col("k").alias("a"), F.col("text").alias("x")), "a"), "closest")
+        asked = held.join(closest, "g").where("k <> g and k <> a").select("a", F.col("k").alias("b"), "x", F.col("text").alias("y"))
+        links.append(staged(asked.mapInArrow(_alike, "u long, v long"), "alike"))
+        near = left.join(closest.select("g", "a"), "g").join(links[1].select(F.col("v").alias("k"), F.lit(True).alias("near")), "k", "left")
+        near = staged(near.withColumn("near", F.col("near").isNotNull() | (F.col("k") == F.col("a"))), "near")
+        both = staged(near.groupBy("g").agg(F.max(F.col("near") & (F.col("c") == F.col("g"))).alias("one")), "both")
+        now = F.when(F.col("c") == F.col("g"), F.col("g")).when(F.col("near"), F.when(F.col("one"), F.col("g")).otherwise(F.col("a"))).otherwise(F.col("k"))
+        linked = staged(near.join(both, "g").select("k", now.alias("c")), "linked")
+        all_rows, rows = rows, staged(rows.where("s is not null").join(linked, "k"), "deviations")
+        for x in (all_rows, closest, near, both):
+            unstage(x)
+
         often = staged(rows.groupBy("g", "s").agg(F.count("*").alias("f"), (F.min("c") != F.max("c")).alias("cross")).where("f > 1"), "often")
-        # Shingles of one text only are first in its order and need no rows.
-        shared = rows.join(often, ["g", "s"])
-        order, of = Window.partitionBy("k").orderBy("cross", "f", "s"), Window.partitionBy("k")
-        ranked = shared.withColumn("at", F.col("n") - F.count("*").over(of) + F.row_number().over(order))
-        first = staged(ranked.where(f"cross and at <= n - ceil({num} * n / {den}) + 1").select("g", "s", "k", "n", "at"), "prefixes")
+        # Deviations of one text only are first in its order and need no rows.
+        shared, of = rows.join(often, ["g", "s"]), Window.partitionBy("k")
+        before = of.orderBy("cross", "f", "s").rowsBetween(Window.unboundedPreceding, -1)
+        done = lambda whole, own: F.col(whole) - F.sum(own).over(of) + F.coalesce(F.sum(own).over(before), F.lit(0))
+        lack = 1 - F.col("own")
+        ranked = shared.withColumns({"more0": done("more", F.col("own")), "less0": done("less", lack)})
+        ranked = ranked.withColumns({"more1": F.col("more") - F.col("more0") - F.col("own"), "less1": F.col("less") - F.col("less0") - lack})
+        # What comes before a deviation: 0, after: 1. No text has more differences than these from one that is like it.
+        first = ranked.where(f"cross and {den} * more0 <= {den - num} * n and {num} * (more0 + less0) <= {den - num} * n")
+        place = ["n", "more0", "less0", "more1", "less1"]
+        first = staged(first.select("g", "s", "k", *place), "prefixes")
         for x in (rows, often):
             unstage(x)
 
         def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-            """Pairs of a prefix shingle that are apart, of lengths and places that allow them to be alike."""
-            x = x.select("g", "s", *(F.col(i).alias(f"{i}1") for i in ("k", "n", "at", "c")))
-            got = x.join(y, ["g", "s"]).where("k1 < k and c1 <> c")
-            got = got.where(f"{den} * least(n1, n) >= {num} * greatest(n1, n) and {num + den} * (1 + least(n1 - at1, n - at)) >= {num} * (n1 + n)")
-            return got.select(F.col("k1").alias("a"), F.col("k").alias("b")).distinct()
+            """Pairs apart that share a deviation, the first one if what is before and after it allows them to be alike."""
+            at = {i: f"{i}_" for i in ("k", "c", *place)}
+            x = x.select("g", "s", *(F.col(i).alias(j) for i, j in at.items()))
+            only_x = "more0_ + less0 + greatest(0, more1_ - more1) + greatest(0, less1 - less1_)"
+            only_y = "more0 + less0_ + greatest(0, more1 - more1_) + greatest(0, less1_ - less1)"
+            got = x.join(y, ["g", "s"]).where(f"k_ < k and c_ <> c and {num + den} * least(n_ - ({only_x}), n - ({only_y})) >= {num} * (n_ + n)")
+            return got.select(F.col("k_").alias("a"), F.col("k").alias("b")).distinct()
 
         def decided(asked: DataFrame) -> DataFrame:
             two = asked.join(held.select(F.col("k").alias("b"), F.col("text").alias("y")), "b").join(held.select(F.col("k").alias("a"), F.col("text").alias("x")), "a")
             return staged(two.select("a", "b", "x", "y").mapInArrow(_alike, "u long, v long"), "alike")
 
-        now = staged(first.join(left.select("k", "c"), "k"), "prefixes")
-        least = staged(now.groupBy("g", "s").agg(F.min(F.struct("k", "n", "at", "c")).alias("m")).select("g", "s", "m.*"), "least")
+        now = staged(first.join(linked, "k"), "prefixes")
+        least = staged(now.groupBy("g", "s").agg(F.min(F.struct("k", "c", *place)).alias("m")).select("g", "s", "m.*"), "least")
         asked = staged(pairs(least, now), "pairs")
         links.append(decided(asked))
-        for x in (now, least):
+        for x in (now, least, linked):
             unstage(x)
-        comps = connected_components(star.join(left.select(F.col("k").alias("v")), "v").select("u", "v").unionByName(links[1]))
+        known = reduce(DataFrame.unionByName, links[1:])
+        comps = connected_components(star.join(left.select(F.col("k").alias("v")), "v").select("u", "v").unionByName(known))
         now = staged(first.join(left.select("k").join(comps.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("c")), "k"), "prefixes")
         more = staged(now.groupBy("g", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "s"), "more")
         rest = staged(now.join(more, ["g", "s"]), "rest")

@@ -184,6 +184,49 @@ def test_every_pair_of_a_group_is_decided(spark):
     assert len(set(want.values())) > 12 and sum(1 for i, x in want.items() if i != x) > 40
 
 
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):  # changed in up to three words, which is alike to the first text, or in far more
+        text = list(words)
+        for at in r.sample(range(150), r.randrange(4) if i % 3 == 0 else r.randrange(4, 9)):
+            text[at] = f"v{r.randrange(10**6)}" if r.randrange(3) else ""
+        texts.append(" ".join(text))
+    want = groups(range(len(texts)), plain_links(texts, lambda i, j: True))
+    made = []
+    keep = lambda df, tag: [out := staged(df, tag), tag == "pairs" and made.append(out.count())][0]
+    monkeypatch.setattr(simhash, "staged", keep)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {x["k"]: x["root"] for x in simhash.alike_within(rows.select("k", F.lit(0).cast("long").alias("g")), rows).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+    assert sum(1 for i, x in want.items() if i == x) > 100 and len(got) > 90
+    assert len(made) == 2 and sum(made) < 4 * len(texts)
+
+
+@pytest.mark.parametrize("shared", [0, 3, 12, 40])
+def test_every_pair_is_decided_whatever_a_group_has_in_common(spark, shared):
+    r = random.Random(14 + shared)
+    line = " ".join(f"same{i}" for i in range(shared))
+    texts = sorted({f"{t} {line}".strip() for t in drifting(r, 5, 16)}, key=lambda t: r.random())
+    want = groups(range(len(texts)), plain_links(texts, lambda i, j: True))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {x["k"]: x["root"] for x in simhash.alike_within(rows.select("k", F.lit(0).cast("long").alias("g")), rows).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want and len(got) > 40
+
+
+def test_texts_around_a_usual_one_that_none_is_are_linked(spark):
+    r = random.Random(15)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(f"o{i}" for i in range(9))]  # the least, alike to none
+    texts += [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(5, 115, 10)]
+    texts += [" ".join(x if r.randrange(6) else f"y{i}{j}" for j, x in enumerate(base)) for i in range(9)]
+    want = groups(range(len(texts)), plain_links(texts, lambda i, j: True))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {x["k"]: x["root"] for x in simhash.alike_within(rows.select("k", F.lit(0).cast("long").alias("g")), rows).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want and set(got.values()) == {1}
+
+
 def test_near_copies_are_all_pairs_that_collide_and_are_alike(spark):
     r = random.Random(12)
     texts = drifting(r, 12, 8) + [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + " one line that is said again" * 40 for _ in range(12)]
