@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,52 @@ def test_nbest_against_all_paths(vocabulary):
             assert math.isclose(first[-1], alone[0][0]) and (len(alone) == 1 or math.isclose(second[-1], alone[1][0]))
 
 
+def odd_texts(r, n):
+    chars = "aaeehinrstt     ,.\n\tÀéß▁日😀\x00\uffff\U0010ffff#0"
+    some = ["", " ", "▁", "x" * 70, "the cat sat", "日本" * 40, "\x00", "\x00\x00"]
+    return some + ["".join(r.choice(chars) for _ in range(r.randrange(1, 200))) for _ in range(n)]
+
+
+def test_lattices_made_together_are_those_made_alone(vocabulary):
+    v, r = vocabulary, random.Random(5)
+    words = list({w for t in odd_texts(r, 300) for w in v.split(t)})
+    words += ["".join(r.choice("thein▁") for _ in range(k)) for k in range(1, pieces.LONG + 3) for _ in range(20)]
+    words = list(dict.fromkeys(words))
+    assert v.words(words) == [v.word(w) for w in words] and v.words([]) == []
+    assert any(len(w) > pieces.LONG for w in words)
+
+
+def test_texts_in_groups_are_encoded_as_alone(vocabulary, monkeypatch):
+    v, texts = vocabulary, odd_texts(random.Random(6), 200)
+    for n in (1, 4):
+        alone = [v.encode(t, n) for t in texts]
+        assert list(v.encode_all(texts, n)) == alone
+        for group in (1, 300, 5000):  # texts over a group's size, and groups of few and of many texts
+            monkeypatch.setattr(pieces, "GROUP", group)
+            assert list(v.encode_all(texts, n)) == alone
+        monkeypatch.undo()
+        monkeypatch.setattr(v, "mix", np.zeros_like(v.mix))  # all hashes collide
+        assert list(v.encode_all(texts, n)) == alone
+        monkeypatch.undo()
+    assert list(v.encode_all([], 4)) == [] and list(v.encode_all(["", ""], 4)) == [[(0.0, b"")]] * 2
+
+
+def test_a_batch_looks_up_each_lattice_once_and_makes_them_together(monkeypatch):
+    v = pieces.Vocabulary(*pieces.Vocabulary.read(pieces.MODEL))
+    texts = [f"the cat {'abcdefghij'[i % 10]}nthe sat on the mat, the cat sat " * 5 for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(pieces, "_of", lambda model: v)
+    slow, scalar = [], v.forward
+    monkeypatch.setattr(v, "forward", lambda word: slow.append(word) or scalar(word))
+    (out,) = pieces._encode(None, 4, False)(iter([batch]))
+    assert all(out.column("decoded_ok").to_pylist()) and not slow
+    asked, v.best = [], pieces.Kept(v.word, pieces.KEEP)
+    make = v.words
+    monkeypatch.setattr(v, "words", lambda words: asked.append(list(words)) or make(words))
+    assert list(pieces._encode(None, 4, False)(iter([batch]))) == [out]
+    assert len(asked) == 1 and sorted(asked[0]) == sorted({w for t in texts for w in v.split(t)})
+
+
 def test_pieces_decode_like_the_library(vocabulary):
     import sentencepiece
 
