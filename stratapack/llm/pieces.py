@@ -38,7 +38,7 @@ MARK, LITERAL = "▁", "\ud800"
 #: Lattices that a worker keeps in each of two generations, and the longest that is kept or made with others.
 KEEP, LONG = 120_000, 32
 #: Characters of texts that are taken together (a longer text is alone), and lattices that are made together.
-GROUP, TOGETHER = 1 << 19, 4096
+GROUP, TOGETHER = 1 << 18, 4096
 #: What a byte piece costs beside the rarest piece, in nats.
 BYTE = 2.0
 #: Characters below this have a place of their own in the table of neighbours; then the mark, then all others.
@@ -115,28 +115,28 @@ class Vocabulary:
     def _lay_out(self) -> None:
         """The trie as arrays. A node's kids lie at its base plus their character's class, in slots that bear its number;
         class 0 is of characters in no piece, and the last node has no kids and is no piece."""
-        nodes, kids = [[self.trie, None, 0.0]], []
+        nodes, eldest = [[self.trie, None, 0.0]], []
         for node in nodes:
-            kids.append({c: len(nodes) + i for i, c in enumerate(node[0])})
+            eldest.append(len(nodes))
             nodes.extend(node[0].values())
         nodes.append([{}, None, 0.0])
-        of = {c: k for k, c in enumerate(sorted({c for k in kids for c in k}), 1)}
+        of = {c: k for k, c in enumerate(sorted({c for node in nodes for c in node[0]}), 1)}
         self.kind = np.zeros(0x110000, np.int32)
         self.kind[[ord(c) for c in of]] = list(of.values())
         size = 2 * len(nodes) + len(of) + 1
         owner, child, base, draw = [-1] * size, [0] * size, [0] * len(nodes), random.Random(0)
-        for k in sorted(range(len(kids)), key=lambda k: -len(kids[k])):
-            kinds, at = [of[c] for c in kids[k]], 0
+        for k in sorted(range(len(nodes)), key=lambda k: -len(nodes[k][0])):
+            kinds, at = [of[c] for c in nodes[k][0]], 0
             while any(owner[at + c] >= 0 for c in kinds):
                 at = draw.randrange(2 * len(nodes))
             base[k] = at
-            for c, x in zip(kinds, kids[k].values(), strict=True):
-                owner[at + c], child[at + c] = k, x
+            for x, c in enumerate(kinds):
+                owner[at + c], child[at + c] = k, eldest[k] + x
         self.base, self.owner, self.child = (np.array(x, np.int32) for x in (base, owner, child))
         self.weight = np.array([-math.inf if x[1] is None else x[2] for x in nodes])
         self.piece = np.array([-1 if x[1] is None else x[1][0] for x in nodes], np.int32)
         self.begin = np.full(len(of) + 1, len(nodes) - 1, np.int32)
-        self.begin[[of[c] for c in kids[0]]] = list(kids[0].values())
+        self.begin[[of[c] for c in self.trie]] = np.arange(len(self.trie)) + eldest[0]
 
     @classmethod
     def read(cls, path: str) -> tuple[list[str], list[int], list[int]]:
@@ -178,8 +178,8 @@ class Vocabulary:
     def _different(self, text: str, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Different lattices, and the number of each lattice's own."""
         if len(codes) <= GROUP:
-            of = np.repeat(np.arange(len(start)), size)
-            place = np.arange(len(codes)) - start[of]
+            of = np.repeat(np.arange(len(start), dtype=np.int32), size)
+            place = np.arange(len(codes), dtype=np.int32) - start[of]
             _, once, number = np.unique(np.add.reduceat((codes + 1).astype(np.uint64) * self.mix[place % LONG], start), return_index=True, return_inverse=True)
             like = once[number]
             if (size[like] == size).all() and (codes[start[like][of] + place] == codes).all():
@@ -356,7 +356,7 @@ class Vocabulary:
         cuts = self._cuts(codes)
         cuts[0] = True
         cuts[ends[ends < len(text)]] = True
-        start = np.flatnonzero(cuts)
+        start = np.flatnonzero(cuts).astype(np.int32 if len(text) < 1 << 31 else np.int64)
         words, number = self._different(text, codes, start, np.diff(start, append=len(text)))
         best, scores, losses = zip(*self.best.each(words, self.words), strict=True)
         scores, losses, a = np.array(scores), np.array(losses), 0
